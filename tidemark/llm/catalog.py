@@ -1,12 +1,14 @@
 """Queries of this package and their SQL, for the driver's entry."""
 from __future__ import annotations
 
-from . import audio, chat, quality, token_counts
+from . import audio, bpe, chat, packing, quality, token_counts
 
 QUERIES = {
     f.__name__: f
     for f in (
+        bpe.op2_byte_bpe,
         chat.op5_chat_formatting,
+        packing.op6_packing,
         audio.op7_media_columns,
         token_counts.op8_token_counts,
         quality.op9_quality_rules,
