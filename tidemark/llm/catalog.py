@@ -1,7 +1,7 @@
 """Queries of this package and their SQL, for the driver's entry."""
 from __future__ import annotations
 
-from . import audio, bpe, chat, packing, quality, token_counts
+from . import audio, bpe, chat, neardup, packing, quality, token_counts
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         audio.op7_media_columns,
         token_counts.op8_token_counts,
         quality.op9_quality_rules,
+        neardup.op10_near_duplicates,
     )
 }
 ORACLES: dict[str, str] = {}
