@@ -1,12 +1,13 @@
 """Queries of this package and their SQL, for the driver's entry."""
 from __future__ import annotations
 
-from . import audio, bpe, chat, neardup, packing, quality, token_counts
+from . import audio, bpe, chat, neardup, packing, quality, secrets, token_counts
 
 QUERIES = {
     f.__name__: f
     for f in (
         bpe.op2_byte_bpe,
+        secrets.op4_secret_scan,
         chat.op5_chat_formatting,
         packing.op6_packing,
         audio.op7_media_columns,
