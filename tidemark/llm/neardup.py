@@ -44,23 +44,26 @@ _SOLID = np.ones(256, bool)
 _SOLID[list(WHITE)] = False
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, ASCII letters in lower case: a polynomial of the word's bytes, then mixed with its length."""
-    raw = np.frombuffer(text.lower(), np.uint8)
-    solid = _SOLID[raw]
+def word_places(raw: np.ndarray, solid_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, sizes and 64-bit hashes of runs of the given bytes: a polynomial of the bytes, mixed with the size."""
+    solid = solid_bytes[raw]
     edge = np.diff(np.concatenate([[0], solid.view(np.int8), [0]]))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return starts, starts, np.zeros(0, np.uint64)
     sizes = ends - starts
-    at = np.arange(len(raw))
     begun = np.zeros(len(raw), np.int64)
     begun[starts] = starts
-    place = at - np.maximum.accumulate(begun)  # from the word's start
+    place = np.arange(len(raw)) - np.maximum.accumulate(begun)  # from the word's start
     place[~solid] = 0
     value = (raw + np.uint64(1)) * _powers(int(sizes.max()))[place]
     value[~solid] = 0
-    return mix(np.add.reduceat(value, starts) ^ (sizes.astype(np.uint64) << np.uint64(48)))
+    return starts, sizes, mix(np.add.reduceat(value, starts) ^ (sizes.astype(np.uint64) << np.uint64(48)))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word, ASCII letters in lower case."""
+    return word_places(np.frombuffer(text.lower(), np.uint8), _SOLID)[2]
 
 
 @lru_cache(8)
