@@ -3,10 +3,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality
+from tidemark.llm import neardup, packing, pii, quality, toxicity
 
-STAGES = [("quality rules", quality.stage)]
-#: Its stages are models and scans that SQL cannot express; tests compare them with brute force.
+STAGES = [
+    ("quality rules", quality.stage),
+    ("toxicity", toxicity.stage),
+    ("near-duplicates", neardup.stage),
+    ("personal data", pii.stage),
+    ("packing", packing.stage),
+]
+#: Trained networks and sketches are no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

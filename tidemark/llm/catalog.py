@@ -1,13 +1,14 @@
 """Queries of this package and their SQL, for the driver's entry."""
 from __future__ import annotations
 
-from . import audio, bpe, chat, neardup, packing, quality, secrets, token_counts, toxicity
+from . import audio, bpe, chat, neardup, packing, pii, quality, secrets, token_counts, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         toxicity.op1_toxicity,
         bpe.op2_byte_bpe,
+        pii.op3_personal_data,
         secrets.op4_secret_scan,
         chat.op5_chat_formatting,
         packing.op6_packing,
