@@ -1,0 +1,38 @@
+"""Queries with SQL, on the driver's smallest tables and on awkward rows."""
+import os
+
+import pytest
+
+from tidemark.llm import catalog
+
+DATA = "/root/testdata/sf0.001"
+
+
+def compare(spark, where, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        path = f"{where}/{t}.parquet"
+        con.execute(f"create view {t} as select * from '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    df = catalog.QUERIES[name](spark, where)
+    cols = sorted(df.columns)
+    want = con.sql(catalog.ORACLES[name])
+    assert sorted(want.columns) == cols
+    assert sorted(map(str, (tuple(r[c] for c in cols) for r in df.collect()))) == sorted(map(str, want.project(", ".join(cols)).fetchall()))
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_driver_tables(spark, name):
+    compare(spark, DATA, name)
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_awkward_rows(spark, name, tmp_path):
+    texts = [None, "", " ", "a b c d e f a b c d e f g h i j", "x | y | z\nplain words on this line.\n\n", "WOW!! NOW!! YES!! OH!!", "short line", "short end.\") ", "All Rights Reserved by somebody here", "%%% a### b$$$ c", "é漢 » • › | x", "tab\tand\x0bmore\r\nnext one here",
+             "a \\ b <|end|> [INST] </s><s>", "one two three. " * 40]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i // 3, i % 3, ["user", "assistant", None][i % 3], t) for i, t in enumerate(texts)] + [(9, 0, "assistant", "again"), (9, 0, "assistant", "again")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    compare(spark, str(tmp_path), name)

@@ -1,7 +1,7 @@
 """Queries of this package and their SQL, for the driver's entry."""
 from __future__ import annotations
 
-from . import audio, bpe, chat, neardup, packing, pii, quality, secrets, token_counts, toxicity
+from . import audio, bpe, chat, neardup, oracles, packing, pii, quality, secrets, token_counts, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -18,4 +18,4 @@ QUERIES = {
         neardup.op10_near_duplicates,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
