@@ -1,7 +1,9 @@
 """DuckDB SQL of the queries that SQL can express."""
 from __future__ import annotations
 
+from . import secrets
 from .chat import CONTROLS
+from .neardup import SHINGLE, THRESHOLD
 from .quality import BOILERPLATE, BOILERPLATE_WORDS, MOST_LOST, SHORT_LINE
 
 _CONTROL = "|".join([r"\\", *(c.decode().replace("|", r"\|").replace("[", r"\[").replace("]", r"\]") for c in CONTROLS)])
@@ -40,4 +42,36 @@ b as (select w.r, doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and lost <= {MOST_LOST} as kept, lines_punctuation, lines_navigation, lines_boilerplate, lost from b join v using (r)"""
 
-ORACLES = {"op5_chat_formatting": OP5, "op9_quality_rules": OP9}
+_quoted = lambda p: p.replace("'", "''").replace("(?<![0-9a-f])", "").replace("(?<![A-Za-z0-9+/_=-])", "")  # noqa: E731  greedy matches begin at their run's start anyway
+_KINDS = list(zip(secrets.KINDS, map(_quoted, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.CANDIDATE)), (2, 0, 0, 0)))
+_FOUND = " union all ".join(
+    f"select r, {k} as rk, '{kind}' as kind, regexp_extract_all(text, '{p}', 0) as m, regexp_extract_all(text, '{p}', {group}) as v, string_split_regex(text, '{p}') as g from d where regexp_matches(text, '{p}')"
+    for k, (kind, p, group) in enumerate(_KINDS)
+)
+_ALLOWED = " or ".join(f"regexp_matches(m, '{_quoted(p)}')" for p in secrets.ALLOW)
+
+OP4 = rf"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents), mm as ({_FOUND}),
+e as (select r, rk, kind, unnest(m) as m, unnest(v) as v, unnest(g[1:len(m)]) as g, unnest(range(1, len(m) + 1)) as i from mm),
+p as (select *, cast(sum(length(g) + length(m)) over (partition by r, rk order by i) as bigint) as en from e), s as (select r, rk, kind, en - length(m) as st, en, m, v from p),
+base as (select * from s where rk < 3 and (rk > 0 or length(v) >= {secrets.ASSIGN_LEAST})),
+cand as (select row_number() over () as c, r, st, en, m from s where rk = 3 and not ({_ALLOWED}) and not exists (select 1 from base b where b.r = s.r and b.st < s.en and s.st < b.en)),
+k as (select c, m, unnest(range(1, length(m) - {secrets.WINDOW - 2})) as k from cand), ch as (select c, k, substr(m, k + j, 1) as x from k cross join range(0, {secrets.WINDOW}) t(j)),
+cn as (select c, k, x, count(*) as n from ch group by all), h as (select c, k, log2({secrets.WINDOW}) - sum(n * log2(n)) / {secrets.WINDOW} as h from cn group by 1, 2),
+hot as (select c, min(k) as a, max(k) + {secrets.WINDOW - 1} as b from h join cand using (c) where h >= case when regexp_matches(m, '^[0-9a-fA-F]*$') then {secrets.HEX_BITS} else {secrets.OTHER_BITS} end group by c),
+spans as (select r, rk, kind, st, en from base union all select r, 3, 'entropy', st + a - 1, st + b from hot join cand using (c)),
+t as (select r, count(*) filter (rk = 0) as n_assign, count(*) filter (rk = 1) as n_access, count(*) filter (rk = 2) as n_hex, count(*) filter (rk = 3) as n_entropy,
+ coalesce(string_agg(kind || ':' || st || ':' || en, ',' order by st, rk) filter (rk < 3), '') as base, string_agg(kind || ':' || st || ':' || en, ',' order by st, rk) as spans from spans group by r)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_entropy, 0) as n_entropy from d left join t using (r)"""
+
+#: For tables whose doc_ids are neither null nor repeated. Equal sets are one class, called by its smallest document.
+OP10 = rf"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as ws from documents),
+g as (select doc_id, case when len(ws) = 0 then [] when len(ws) < {SHINGLE} then [array_to_string(ws, ' ')] else list_sort(list_distinct(list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: array_to_string(ws[i:i + {SHINGLE - 1}], ' ')))) end as sh from w),
+d as (select doc_id, len(sh) as n, md5(array_to_string(sh, chr(10))) as h, sh from g), c as (select h, min(doc_id) as id, any_value(sh) as sh, any_value(n) as n from d where n > 0 group by h),
+u as (select id, n, unnest(sh) as s from c),
+pairs as (select a.id as a, b.id as b from u a join u b on a.s = b.s and a.id < b.id group by 1, 2 having 100 * count(*) >= {THRESHOLD} * (any_value(a.n) + any_value(b.n) - count(*))),
+both_ways as (select a, b from pairs union all select b, a from pairs),
+reach(id, root) as (select id, id from c union select b.b, r.root from reach r join both_ways b on b.a = r.id),
+roots as (select id, min(root) as root from reach group by 1)
+select d.doc_id, d.n as n_shingles, coalesce(root, d.doc_id) as component_id, coalesce(root, d.doc_id) = d.doc_id as kept from d left join c on c.h = d.h and d.n > 0 left join roots using (id)"""
+
+ORACLES = {"op10_near_duplicates": OP10, "op4_secret_scan": OP4, "op5_chat_formatting": OP5, "op9_quality_rules": OP9}
