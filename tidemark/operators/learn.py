@@ -344,6 +344,86 @@ def hdbscan(points: DataFrame, min_size: int = 15) -> DataFrame:
     return points.sparkSession.createDataFrame(list(zip(ids, hdbscan_labels(x, min_size).tolist())), "id long, label int")
 
 
+def optimize_components(points: DataFrame, ns: range = range(3, 11), k: int = 5, seeds: int = 3) -> DataFrame:
+    """(n, silhouette, inertia) of k-means on the first n axes; n of as many as rows or coordinates are passed over."""
+    from . import metrics as M
+
+    width, rows = len(points.first().x), points.count()
+    usable = [n for n in ns if n < min(width, rows)]
+    if not usable:
+        raise ValueError("no number of components is below the rows and coordinates")
+    out = None
+    for n in usable:
+        scores = pca(points.select("id", "x"), n)
+        own = scores.join(kmeans(scores, k, seeds), "id")
+        row = M.inertia(own).crossJoin(M.silhouettes(own).agg(F.avg("s").alias("silhouette"))).select(F.lit(n).alias("n"), "silhouette", "inertia")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def loadings(points: DataFrame, n: int = 5) -> DataFrame:
+    """(feature, component, pca, svd): absolute loadings by eigenvectors of the correlations and by the singular vectors of
+    the standardised matrix, which agree up to sign. The Gram matrix is summed by Spark; the driver sees coordinates squared."""
+    scaled = standardize(points.select("id", "x"))
+    axes = np.abs(PCA(k=n, inputCol="v", outputCol="s").fit(scaled.select(array_to_vector("x").alias("v"))).pc.toArray())
+    flat = scaled.select("id", F.posexplode("x").alias("i", "v"))
+    gram_rows = flat.join(flat.select("id", F.col("i").alias("j"), F.col("v").alias("u")), "id").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("u")).alias("g")).collect()
+    gram = np.zeros((axes.shape[0],) * 2)
+    for r in gram_rows:
+        gram[r.i, r.j] = r.g
+    singular = np.abs(np.linalg.eigh(gram)[1][:, ::-1][:, :n])
+    rows = [(f, c + 1, float(axes[f, c]), float(singular[f, c])) for f in range(axes.shape[0]) for c in range(n)]
+    return points.sparkSession.createDataFrame(rows, "feature int, component int, pca double, svd double")
+
+
+def label_summary(points: DataFrame, labels: DataFrame) -> DataFrame:
+    """(n_clusters, n_noise, noise_pct, silhouette); the last is null under two clusters."""
+    from . import metrics as M
+
+    met = points.select("id", "x").join(labels.filter("label >= 0").select("id", "label"), "id")
+    head = labels.agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n_clusters"), F.count_if(F.col("label") < 0).alias("n_noise"), F.bround(F.avg((F.col("label") < 0).cast("int")) * 100, 1).alias("noise_pct"))
+    sil = M.silhouettes(met).agg(F.avg("s").alias("s"))
+    return head.crossJoin(sil).select("n_clusters", "n_noise", "noise_pct", F.when(F.col("n_clusters") >= 2, F.col("s")).alias("silhouette"))
+
+
+def sweep(points: DataFrame, name: str, values, make) -> DataFrame:
+    """``label_summary`` of ``make(points, value)`` for each value, in a column ``name``."""
+    out = None
+    for v in values:
+        row = label_summary(points, make(points, v)).select(F.lit(v).alias(name), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def dbscan_sweep(points: DataFrame, eps=(0.5, 1.0, 1.5, 2.0, 2.5, 3.0), min_samples: int = 5) -> DataFrame:
+    from .density import dbscan
+
+    return sweep(points, "eps", eps, lambda p, e: dbscan(p.select("id", "x"), e, min_samples))
+
+
+def hdbscan_sweep(points: DataFrame, sizes=(5, 10, 15, 20)) -> DataFrame:
+    return sweep(points, "min_size", sizes, lambda p, n: hdbscan(p, n))
+
+
+def spectral_sweep(points: DataFrame, ks: range = range(2, 8), neighbors: int = 10, starts: int = 5) -> DataFrame:
+    return sweep(points, "k", ks, lambda p, k: spectral(p, k, neighbors, starts))
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    """A saved forest or tree."""
+    from pyspark.ml.util import DefaultParamsReader
+    from pyspark.sql import SparkSession
+
+    kind = DefaultParamsReader.loadMetadata(path, SparkSession.getActiveSession())["class"]
+    from pyspark.ml.classification import DecisionTreeClassificationModel, RandomForestClassificationModel
+
+    return (RandomForestClassificationModel if "RandomForest" in kind else DecisionTreeClassificationModel).load(path)
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """``weight``: n / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))

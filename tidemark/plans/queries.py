@@ -14,6 +14,7 @@ from ..operators import learn as L
 from ..operators import metrics as M
 from ..operators import portfolio as P
 from ..operators import regimes as R
+from ..operators import reports as V
 from ..operators import series as S
 from ..operators import stats as T
 from . import inputs as I
@@ -741,6 +742,71 @@ def label_codes(s, d):
     return sources.labels(I.read(s, d, "events").select(F.col("ts").cast("date").alias("date"), F.col("event_type").alias("primary_class")))
 
 
+# What plots read, and the rest.
+
+
+@query(f"with {I.SQL_LONG} select series, date, cast(value is not null as int) as known from m")
+def coverage_matrix(s, d):
+    return V.coverage_matrix(I.gapped(s, d))
+
+
+@query(f"with {_SQL_L} select date, cast(date + 92 as date) as until, label, cast(label % 5 as int) as color from labels_q")
+def regime_timeline(s, d):
+    return V.timeline(I.labels(s, d))
+
+
+@query(f"with {_SQL_SCORES} select k, round(silhouette, 6) as silhouette, round(inertia / max(inertia) over (), 6) as calinski_scaled, round(1.0 / (gap + 1), 6) as davies_inverse from sc")
+def scaled_scores(s, d):
+    return rounded(V.scaled_scores(_scores(s, d).select("k", "silhouette", F.col("inertia").alias("calinski_harabasz"), (F.col("gap") + 1).alias("davies_bouldin"))))
+
+
+@query(f"with {_SQL_L}, p as (select date, cast(case when month(date) = 12 then -1 else (label + 1) % 4 end as int) as label from labels_q) select p.date, p.label as predicted, a.label as actual from p join labels_q a using (date) where p.label >= 0")
+def predicted_vs_actual(s, d):
+    actual = I.labels(s, d)
+    predicted = actual.select("date", F.when(F.month("date") == 12, -1).otherwise((F.col("label") + 1) % 4).cast("int").alias("label"))
+    return V.predicted_vs_actual(predicted, actual)
+
+
+@query(
+    f"""with {I.SQL_STATS}, o as (select label, series, value from r join labels_q using (date)), sp as (select label, series, min(value) as lo, max(value) as hi, count(*) as total from o group by 1, 2 having count(*) >= 3),
+ b as (select label, series, cast(case when hi = lo then 1 else least(floor((value - lo) * 15 / (hi - lo)) + 1, 15) end as int) as bin, lo, hi, total, count(*) as n from o join sp using (label, series) group by all)
+ select label, series, bin, round(lo + (bin - 1) * ((hi - lo) / 15), 6) + 0.0 as low, n, round(n / nullif(total * ((hi - lo) / 15), 0), 6) as density from b"""
+)
+def return_histograms(s, d):
+    return rounded(V.return_histograms(I.returns(s, d), I.labels(s, d)))
+
+
+@query(f"with {_SQL_L}, {I.SQL_MACRO}, a as (select date, label, row_number() over (order by date) as i from labels_q), b as (select date as date_2, round(gdp, 6) as gdp_2, row_number() over (order by date) as i from macro where gdp is not null and month(date) <> 3) select date, label, date_2, gdp_2 from a join b using (i)")
+def positional_zip(s, d):
+    return rounded(V.zip_by_position(I.labels(s, d), I.macro(s, d).filter("month(date) <> 3").select("date", "gdp")))
+
+
+@query(f"with {_SQL_L}, {I.SQL_MACRO} select date, round(price_div, 6) as price_div, coalesce(label, -1) as market_code from (select date, sp500 / dividend as price_div from macro where date between date '1996-01-01' and date '2000-12-31') left join (select * from labels_q where label <> 1) using (date)")
+def legacy_merge(s, d):
+    wide = X.cross_ratios(I.macro(s, d)).filter("date between date '1996-01-01' and date '2000-12-31'")
+    return rounded(wide.join(I.labels(s, d).filter("label <> 1"), "date", "left").select("date", "price_div", F.coalesce("label", F.lit(-1)).alias("market_code")))
+
+
+@query(f"with {_SQL_L}, t as (select date, lead(label, 2) over (order by date) as y from labels_q) select date, cast(y = 1 as int) as label from t where y is not null")
+def forward_targets(s, d):
+    return L.forward_targets(I.labels(s, d), 2, 1)
+
+
+@query(f"with {_SQL_L}, n as (select label, count(*) as n, count(*) over () as k, sum(count(*)) over () as total from labels_q group by 1) select date, label, round(total / (k * n), 6) as weight from labels_q join n using (label)")
+def class_weights(s, d):
+    return rounded(L.class_weights(I.labels(s, d)).select("date", "label", "weight"))
+
+
+@query(f"with {I.SQL_MACRO} select date, round(sp500, 6) as sp500 from macro order by date desc limit 1")
+def latest_row(s, d):
+    return rounded(I.macro(s, d).select("date", "sp500").orderBy(F.desc("date")).limit(1))
+
+
+@query(f"with {I.SQL_LONG} select round(min(value), 4) as low, round(max(value), 4) as high, series from m group by series")
+def bounding_box(s, d):
+    return rounded(I.gapped(s, d).groupBy("series").agg(F.min("value").alias("low"), F.max("value").alias("high")), 4)
+
+
 # Models: no SQL says them; tests hold their properties.
 
 
@@ -780,6 +846,23 @@ def hdbscan_labels(s, d):
     return L.hdbscan(I.points(s, d))
 
 
+@query()
+def svd_loadings(s, d):
+    return rounded(L.loadings(I.points(s, d), 3), 4)
+
+
+@query()
+def dbscan_sweep(s, d):
+    return rounded(L.dbscan_sweep(I.points(s, d), (0.8, 1.2)), 4)
+
+
+@query()
+def forward_rf(s, d):
+    rows = I.macro(s, d).join(I.labels(s, d), "date").select("date", "label", F.array("sp500", "gdp", "cpi").alias("x"))
+    model = L.train_classifier(L.forward_targets(rows, 1, 1), trees=10, depth=5)
+    return rounded(L.predict(model, rows).select("date", "label", "predicted", F.col("probabilities")[1].alias("prob")), 4)
+
+
 @query()
 def rf_regime(s, d):
     e = I.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
