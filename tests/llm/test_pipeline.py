@@ -72,3 +72,19 @@ def _tokens(texts):
 def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus[0]).collect()
     assert len(out) > 300 and {r.offset for r in out} >= {0}
+
+
+def test_stages_on_awkward_rows(spark, corpus):
+    rows = [(None, None, None, None, None, 1, "x"), (5, "", "en", "s", 0, 2, "y"), (5, "", "en", "s", 0, 2, "y"), (6, "word " * 30000, None, "s", None, 3, "z"), (7, "a b", "en", None, 3, 4, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, TEXT2 int, score string")
+    given = [docs, docs.limit(0)]
+    counts = []
+    for df in given:
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, df, corpus[0])
+            got = out.collect()
+            if k < 4:
+                assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            counts.append(len(got))
+    # No row has ten words but one, which repeats itself; none is toxic; the repeated document stays once a row; all are packed.
+    assert counts[0] == 0 and counts[1] == 5 and counts[2] == 5 and counts[3] == 5 and counts[4] >= 5 and counts[5:] == [0] * 5
