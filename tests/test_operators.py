@@ -254,6 +254,9 @@ def test_checkpoints(spark, tmp_path):
     assert [m["name"] for m in c.list()] == ["b"]
     c.clear_all()
     assert c.list() == []
+    for day, n in (("2024-01-01", 3), ("2024-01-02", 5), ("2024-01-01", 4)):
+        c.save_snapshot(df.limit(n), "s", day)
+    assert c.load_snapshot("s", "2024-01-01").count() == 4 and c.load_snapshot("s", "2024-01-02").count() == 5
 
 
 def test_sources(spark, tmp_path):

@@ -39,6 +39,15 @@ class Checkpoints:
             raise FileNotFoundError(f"{self.folder}/{name}.parquet")
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def save_snapshot(self, df: DataFrame, name: str, date: str) -> None:
+        """The state of a table on a date; that date's rows alone are replaced."""
+        rows = df.withColumn("snapshot_date", F.lit(date).cast("date"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(f"{self.folder}/{name}.parquet")
+
+    def load_snapshot(self, name: str, date: str) -> DataFrame:
+        """One partition is read."""
+        return self.load(name).filter(F.col("snapshot_date") == F.lit(date).cast("date")).drop("snapshot_date")
+
     def meta(self, name: str) -> dict | None:
         """The manifest; None if it is missing or no JSON."""
         if not self._fs().exists(self._path(f"{name}.meta.json")):
