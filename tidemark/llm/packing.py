@@ -7,6 +7,8 @@ are rounded down, the rest is filled first-fit decreasing, and documents, ranked
 """
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +28,7 @@ GAP = 0.001
 #: Ranks within a class are counted in this many salted runs, so one common length isn't ranked in one task.
 SALTS = 64
 #: Distinct words that a worker remembers; it forgets all of them when there are more.
-CACHE = 400_000
+CACHE = 600_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -39,17 +41,62 @@ def default_tokenizer() -> str:
 
 
 class Words:
-    """Token ids of texts, word by word: the tokenizer's matches never reach over white space."""
+    """Token ids of texts, word by word: the tokenizer's matches never reach over white space.
+
+    Words are normalised and split as the tokenizer does; its merges run in tiktoken, many words at a time. The mark of a
+    word's end becomes the byte 0, merged with the byte before it at first, as the ranks of those pairs are the lowest. Words
+    with control characters go to the tokenizer itself.
+    """
+
+    END = "\0"
 
     def __init__(self, spec: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        plain = json.loads(spec)
+        pattern = plain["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.find = regex.compile(f"{pattern}|\\n").findall
+        suffix = plain["model"]["end_of_word_suffix"]
+        special = {t["id"] for t in plain["added_tokens"]}
+        # The alphabet of byte-level vocabularies: printable bytes stand for themselves, others follow from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in shown]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
+        ranks = {}
+        for token, i in plain["model"]["vocab"].items():
+            if i not in special:
+                tail = token.endswith(suffix)
+                ranks[bytes(byte_of[c] for c in token.removesuffix(suffix)) + b"\0" * tail] = i
+        self.merges = tiktoken.Encoding("words", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={})
+        self.line = ranks[b"\n\0"]
+        self.odd = re.compile(rb"[\x00-\x1f\x7f]|\xc2[\x80-\x9f]")
+
+    def _learn(self, new: list[bytes]) -> None:
+        if self.odd.search(b" ".join(new)):
+            odd = [w for w in new if self.odd.search(w)]
+            for w, e in zip(odd, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            new = [w for w in new if not self.odd.search(w)]
+        if not new:
+            return
+        # Letters are lowered one by one: a sigma that ends a word is no exception.
+        text = unicodedata.normalize("NFC", b"\n".join(new).decode("utf-8", "replace")).replace("Σ", "σ").lower()
+        ids = self.merges.encode_to_numpy(self.END.join(self.find(text)) + self.END, disallowed_special=()).astype("<u4")
+        ends = [*np.flatnonzero(ids == self.line).tolist(), len(ids)]
+        raw, at = ids.tobytes(), 0
+        for w, end in zip(new, ends, strict=True):
+            self.known[w] = raw[4 * at : 4 * end]
+            at = end + 1
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -60,10 +107,8 @@ class Words:
             known.clear()
             new = set().union(*words)
         new = list(new)
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(new), 20_000):
+            self._learn(new[at : at + 20_000])
         for ws in words:
             yield b"".join(map(known.__getitem__, ws))
 
