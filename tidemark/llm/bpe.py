@@ -27,7 +27,8 @@ from ._common import arrow_map, blobs, pick, read, slices
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
-#: Parts that a block's words are dealt into; each part of all blocks is met in one task.
+#: Least number of parts that a block's words are dealt into; each part of all blocks is met in one task, so there are as many
+#: as the session has shuffle partitions, which a cluster sets by its input.
 PARTS = 64
 
 _ROWS = "block string, part long, sub long, data binary"
@@ -217,6 +218,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str |
     pattern = pattern or default_pattern()
     table = sc.broadcast(ranks)
     docs = pick(df, "doc_id", "text")
+    parts = max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -243,9 +245,9 @@ def encode(df: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str |
                 out.append(pack(np.array([len(x) // 4 for x in found], np.uint32), planes(np.frombuffer(b"".join(found), "<u4"))))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("part"), batch.column("sub"), pa.array(out, pa.binary())], names=["block", "part", "sub", "data"])
 
-    words = _blocks(docs, pattern, PARTS, True).repartition("part").sortWithinPartitions("part", "block")
+    words = _blocks(docs, pattern, parts, True).repartition("part").sortWithinPartitions("part", "block")
     answers = arrow_map(words, lookup, _ROWS)
-    met = _blocks(docs, pattern, PARTS, False).unionByName(answers).repartition("block").sortWithinPartitions("block", "part")
+    met = _blocks(docs, pattern, parts, False).unionByName(answers).repartition("block").sortWithinPartitions("block", "part")
 
     if digests:
         schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
