@@ -75,6 +75,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def lowest(df: DataFrame, key: str, most: int, spare: int = 200) -> DataFrame:
+    """``df`` with ``h``, a hash of ``key``, less rows that cannot be among the ``most`` of lowest hash.
+
+    A sample for training takes the lowest hashes. Where there are far more rows than ``spare`` times the sample, a bound on
+    the hash that so many are expected to pass comes first, so what tasks send on does not grow with the input. The sample is
+    the same with and without it.
+    """
+    h = df.withColumn("h", F.xxhash64(key))
+    n = df.count()
+    return h if n <= spare * most else h.filter(F.col("h") <= int(-(2**63) + 2**64 * (spare * most / n)))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; only where it is unset (tests), a folder under the working directory."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, blobs, pick, read, slices
+from ._common import arrow_map, blobs, lowest, pick, read, slices
 from ._nets import Adam, init, lstm, lstm_back, scatter_rows
 
 #: Kinds in the order in which spans of one start are listed; tags are 0 for none, then these.
@@ -328,8 +328,9 @@ def train(texts: list[str], seed: int = 0) -> Tagger:
 
 def fit(docs: DataFrame) -> Tagger:
     """On the ``SAMPLE`` documents with a digit or an at sign that have the lowest hash, among those not too long."""
-    rows = pick(docs, "doc_id", "text").filter(F.length("text") <= MOST_CHARS).filter(F.col("text").rlike("[0-9@]"))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).select("text").collect()
+    rows = lowest(pick(docs, "doc_id", "text"), "doc_id", SAMPLE)
+    rows = rows.filter(F.length("text") <= MOST_CHARS).filter(F.col("text").rlike("[0-9@]"))
+    sample = rows.orderBy("h", "doc_id", "text").limit(SAMPLE).select("text").collect()
     return train([r.text for r in sample])
 
 
