@@ -61,6 +61,7 @@ def test_components_match_all_pairs(spark):
 def test_blocks_of_probes(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     monkeypatch.setattr(neardup, "PROBES", 3)
+    monkeypatch.setattr(neardup, "RUN", 2)
     check(spark, make(np.random.default_rng(7), 3, 30))
 
 

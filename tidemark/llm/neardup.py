@@ -29,6 +29,8 @@ THRESHOLD = 85
 BANDS, ROWS = 30, 5
 #: Members of a bucket in one block of the exhaustive comparison, and probes in one.
 BLOCK, PROBES = 2048, 512
+#: Members that are compared with one copy of their bucket's smallest.
+RUN = 1024
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -194,13 +196,12 @@ class Index:
 
 def _verify_stars(pairs: DataFrame, texts: DataFrame, threshold: int, size: int) -> DataFrame:
     """Links among ``pairs`` (pivot, id): a pivot's set stands first among its rows and is made once."""
-    own = pairs.select("pivot", "id").join(texts, "id")
-    heads = pairs.select(F.col("pivot").alias("id")).distinct().join(texts, "id").select(F.col("id").alias("pivot"), "id", "text")
-    # A pivot with many members is dealt to several runs, each with the pivot's text in front.
-    runs = 16
-    salted = own.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs)))
-    needed = salted.select("pivot", "run").distinct().join(heads, "pivot")
-    rows = salted.select("pivot", "run", "id", "text", F.lit(1).alias("member")).unionByName(needed.select("pivot", "run", "id", "text", F.lit(0).alias("member")))
+    # A pivot with many members is dealt to runs of about RUN of them, each with the pivot's text in front.
+    runs = cut(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs")))
+    dealt = cut(pairs.join(runs, "pivot").select("pivot", "id", F.pmod(F.xxhash64("id"), F.col("runs")).alias("run")))
+    heads = dealt.select("pivot", "run").distinct().join(texts.withColumnRenamed("id", "pivot"), "pivot")
+    members = dealt.join(texts, "id").select("pivot", "run", "id", "text", F.lit(1).alias("member"))
+    rows = members.unionByName(heads.select("pivot", "run", F.col("pivot").alias("id"), "text", F.lit(0).alias("member")))
     rows = rows.repartition("pivot", "run").sortWithinPartitions("pivot", "run", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +231,8 @@ def _verify_rest(buckets: DataFrame, texts: DataFrame, threshold: int, size: int
     """
     by_root = buckets.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("top"))
-    rows = buckets.join(main, "key")
+    # Both sides come from tables, so the join of a hot key's rows can be split; a sum on the key right below would forbid it.
+    rows = buckets.join(cut(main), "key")
     probe_blocks = F.ceil((F.col("members") - F.col("top")) / PROBES).cast("int")
     member_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = rows.select("key", "id", "root", (F.col("root") != F.col("main")).alias("probe"), probe_blocks.alias("pb"), member_blocks.alias("mb"))
@@ -283,12 +285,12 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, size: int = SHING
     shared = cut(entries.join(pivots, "key"))
     members = shared.select("id").distinct()
     texts = docs.withColumnRenamed("doc_id", "id").join(members, "id", "left_semi")
-    pairs = shared.filter("id <> pivot").select("pivot", "id").distinct()
+    pairs = cut(shared.filter("id <> pivot").select("pivot", "id").distinct())
     stars = cut(_verify_stars(pairs, texts, threshold, size))
     with_root = cut(shared.select("key", "id").join(components(members, stars), "id"))
     several = with_root.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
     # With two members the star has compared them.
-    unsettled = with_root.join(several.filter("lo <> hi and n > 2").select("key"), "key")
+    unsettled = with_root.join(cut(several.filter("lo <> hi and n > 2").select("key")), "key")
     rest = cut(_verify_rest(cut(unsettled), texts, threshold, size))
     # A row of a class hangs on the class; a document of several rows hangs on all of their classes.
     named = full.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.select("set_a", "set_b", "n_shingles", "id"), ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "id")
