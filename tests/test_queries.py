@@ -50,3 +50,39 @@ def test_one_shuffle_for_stacked_windows(spark):
 def test_scan_reads_two_columns(spark):
     plan = QUERIES["value_counts_share"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_type:string>" in plan
+
+
+@pytest.mark.parametrize(
+    "name,operator,rows",
+    [("kmeans_sweep", "kmeans_sweep", None), ("balanced_kmeans", "balanced_kmeans", None), ("dbscan_sweep", "dbscan_sweep", None), ("gmm_bic", "gmm_sweep", 24), ("gap_statistic", "gap_statistic", 10)],
+)
+def test_sweeps_run_whole_grids(spark, monkeypatch, name, operator, rows):
+    from tidemark.plans import queries
+
+    own, given = getattr(queries.L, operator), []
+
+    def take(points, *a, **k):
+        given.append((a, k))
+        return own(points, *a, **k) if rows else points.select("id").withColumn("resp", points["id"])
+
+    monkeypatch.setattr(queries.L, operator, take)
+    out = QUERIES[name](spark, DATA)
+    assert given == [((), {})]
+    assert rows is None or out.count() == rows
+
+
+def test_forests_have_default_trees(spark, monkeypatch):
+    from tidemark.plans import queries
+
+    own, given = queries.L.train_classifier, []
+
+    def take(df, kind="rf", trees=200, depth=None, **k):
+        given.append((trees, depth))
+        return own(df, kind, 2, 2, **k)
+
+    monkeypatch.setattr(queries.L, "train_classifier", take)
+    QUERIES["rf_regime"](spark, DATA)
+    assert given == [(200, None)]
+    out = QUERIES["forward_rf"](spark, DATA)
+    assert set(given[1:]) == {(50, 30)}
+    assert {r.horizon for r in out.select("horizon").distinct().collect()} == {1, 2, 4, 8}

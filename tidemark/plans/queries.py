@@ -818,22 +818,22 @@ def pca_scores(s, d):
 
 @query()
 def kmeans_sweep(s, d):
-    return rounded(L.kmeans_sweep(I.points(s, d), range(2, 5), 2), 4)
+    return rounded(L.kmeans_sweep(I.points(s, d)), 4)
 
 
 @query()
 def balanced_kmeans(s, d):
-    return L.balanced_kmeans(I.points(s, d), 5, 3)
+    return L.balanced_kmeans(I.points(s, d))
 
 
 @query()
 def gmm_bic(s, d):
-    return rounded(L.gmm_sweep(I.points(s, d), range(2, 4), seeds=1).drop("resp"), 4)
+    return rounded(L.gmm_sweep(I.points(s, d)).drop("resp"), 4)
 
 
 @query()
 def gap_statistic(s, d):
-    return rounded(L.gap_statistic(I.points(s, d), range(2, 5), 4, 2), 4)
+    return rounded(L.gap_statistic(I.points(s, d)), 4)
 
 
 @query()
@@ -853,20 +853,24 @@ def svd_loadings(s, d):
 
 @query()
 def dbscan_sweep(s, d):
-    return rounded(L.dbscan_sweep(I.points(s, d), (0.8, 1.2)), 4)
+    return rounded(L.dbscan_sweep(I.points(s, d)), 4)
 
 
 @query()
 def forward_rf(s, d):
     rows = I.macro(s, d).join(I.labels(s, d), "date").select("date", "label", F.array("sp500", "gdp", "cpi").alias("x"))
-    model = L.train_classifier(L.forward_targets(rows, 1, 1), trees=10, depth=5)
-    return rounded(L.predict(model, rows).select("date", "label", "predicted", F.col("probabilities")[1].alias("prob")), 4)
+    out = None
+    for h, by_label in L.train_forward(rows).items():
+        for k, model in by_label.items():
+            own = L.predict(model, rows).select("date", "label", F.lit(h).alias("horizon"), F.lit(k).alias("regime"), "predicted", F.col("probabilities")[1].alias("prob"))
+            out = own if out is None else out.unionByName(own)
+    return rounded(out, 4)
 
 
 @query()
 def rf_regime(s, d):
     e = I.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    model = L.train_classifier(e, "rf", trees=20, depth=6)
+    model = L.train_classifier(e)
     return L.predict(model, e).select("id", "label", "predicted")
 
 
