@@ -51,3 +51,11 @@ def test_many_blocks_and_alike_blocks(library):
         out = [(d, x.tolist()) for d, x in bpe.open_block(data, answers)]
         assert out == [(1, library.encode_ordinary("the same text here")), (None, [])]
     assert len(names) == 1
+
+
+def test_blocks_of_one_shape_and_other_words(spark, library):
+    texts = ["foo", "bar", "baz", "qux", "the", "cat"]
+    rows = spark.sparkContext.parallelize([(None, t) for t in texts], len(texts))  # a partition, and so a block, each
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.ids for r in bpe.encode(df).collect())
+    assert got == sorted(library.encode_ordinary(t) for t in texts)

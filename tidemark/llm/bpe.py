@@ -8,7 +8,7 @@
    the table of token bytes (50,256 rows, a fixed size, hence broadcast).
 
 What is shuffled is the block's positions once and its distinct words there and back, compressed, not a row a pre-token.
-Blocks are named by their content, so both passes over the input name them alike; the input must be replayable (a scan or a
+Blocks are named by their content, words included, so both passes over the input name them alike; the input must be replayable (a scan or a
 checkpointed frame).
 """
 from __future__ import annotations
@@ -153,8 +153,9 @@ class Block:
         ids = np.array([i or 0 for i in self.ids], np.int64)
         seq = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         data = pack(nulls, ids, np.array([len(r) for r in rows], np.int64), planes(seq), planes(sizes), planes(rank[flat] if len(flat) else flat))
-        name = hashlib.sha1(data).hexdigest() + f"-{len(self.ids)}"
-        return name, sorted(dealt.items()), data
+        name = hashlib.sha1(data)
+        name.update(np.array([len(w) for w in raw], np.uint32).tobytes() + b"".join(raw))
+        return name.hexdigest() + f"-{len(self.ids)}", sorted(dealt.items()), data
 
 
 def open_block(data: bytes, ids: list[np.ndarray]) -> Iterator[tuple[int | None, np.ndarray]]:
