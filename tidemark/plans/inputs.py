@@ -5,8 +5,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import quarter_end
+from ..operators import learn as L
 from ..operators import portfolio as P
 from ..operators import series as S
+from ..session import ensure_checkpoint_dir
 
 QE = "last_day(cast(date_trunc('quarter', {0}) as date) + interval 2 month)"
 
@@ -98,3 +100,14 @@ SQL_POINTS = "pts as (select vec_id as id, label, embedding[1:5]::double[] as x
 def points(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("id"), "label", F.transform(F.slice("embedding", 1, 5), lambda v: v.cast("double")).alias("x"))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """All coordinates."""
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+
+
+def scores(spark: SparkSession, d: str) -> DataFrame:
+    """What models without SQL cluster: scores of all vectors on their first five principal axes."""
+    ensure_checkpoint_dir(spark)
+    return L.pca(vectors(spark, d), 5).checkpoint()

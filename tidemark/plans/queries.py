@@ -818,42 +818,42 @@ def pca_scores(s, d):
 
 @query()
 def kmeans_sweep(s, d):
-    return rounded(L.kmeans_sweep(I.points(s, d)), 4)
+    return rounded(L.kmeans_sweep(I.scores(s, d)), 4)
 
 
 @query()
 def balanced_kmeans(s, d):
-    return L.balanced_kmeans(I.points(s, d))
+    return L.balanced_kmeans(I.scores(s, d))
 
 
 @query()
 def gmm_bic(s, d):
-    return rounded(L.gmm_sweep(I.points(s, d)).drop("resp"), 4)
+    return rounded(L.gmm_sweep(I.scores(s, d)).drop("resp"), 4)
 
 
 @query()
 def gap_statistic(s, d):
-    return rounded(L.gap_statistic(I.points(s, d)), 4)
+    return rounded(L.gap_statistic(I.scores(s, d)), 4)
 
 
 @query()
 def spectral_labels(s, d):
-    return L.spectral(I.points(s, d), 4)
+    return L.spectral(I.scores(s, d), 4)
 
 
 @query()
 def hdbscan_labels(s, d):
-    return L.hdbscan(I.points(s, d))
+    return L.hdbscan(I.scores(s, d))
 
 
 @query()
 def svd_loadings(s, d):
-    return rounded(L.loadings(I.points(s, d), 3), 4)
+    return rounded(L.loadings(I.vectors(s, d), 3), 4)
 
 
 @query()
 def dbscan_sweep(s, d):
-    return rounded(L.dbscan_sweep(I.points(s, d)), 4)
+    return rounded(L.dbscan_sweep(I.scores(s, d)), 4)
 
 
 @query()
