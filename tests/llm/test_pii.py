@@ -101,3 +101,10 @@ def test_find(spark, model):
 def test_reconcile_and_mask():
     assert pii.reconcile([(5, 0, 9), (20, 1, 30)], [(0, 3, 5), (8, 3, 12), (9, 2, 20), (25, 0, 27), (30, 0, 40)]) == [(0, 3, 5), (5, 0, 9), (9, 2, 20), (20, 1, 30), (30, 0, 40)]
     assert pii.mask("ab cd ef", [(0, 0, 2), (3, 1, 7), (6, 2, 8)]) == "<EMAIL> <IP>"
+
+
+def test_rare_digits_are_trained_on(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 1000 = 7, concat('line ', id), 'no such thing') as text")
+    monkeypatch.setattr(pii, "SAMPLE", 3)
+    monkeypatch.setattr(pii, "train", sorted)
+    assert pii.fit(docs) == ["line 1007", "line 2007", "line 7"]

@@ -88,3 +88,11 @@ def test_no_or_one_label(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert all(r.score < 0.5 for r in toxicity.score(docs, toxicity.fit(docs, none)).collect())
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), none)).count() == 0
+
+
+def test_rare_label_is_trained_on(spark):
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    marks = spark.range(6000).selectExpr("id as doc_id", "cast(id % 1500 = 7 as int) as toxic")
+    toxic = [i for i in range(7, 6000, 1500) if zlib.crc32(str(i).encode()) % 5]
+    found = toxicity.training_rows(docs, marks, sample=4)
+    assert sorted(t for t, y in found if y) == sorted(f"text {i}" for i in toxic) and len(found) == 4 + len(toxic)

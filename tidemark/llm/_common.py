@@ -78,7 +78,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def lowest(df: DataFrame, key: str, most: int, spare: int = 200) -> DataFrame:
     """``df`` with ``h``, a hash of ``key``, less rows that cannot be among the ``most`` of lowest hash.
 
-    A sample for training takes the lowest hashes. Where there are far more rows than ``spare`` times the sample, a bound on
+    A sample for training takes the lowest hashes of ``df``, which comes with the sample's filters applied. Where there are far more rows than ``spare`` times the sample, a bound on
     the hash that so many are expected to pass comes first, so what tasks send on does not grow with the input. The sample is
     the same with and without it.
     """
