@@ -42,22 +42,34 @@ b as (select w.r, doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and lost <= {MOST_LOST} as kept, lines_punctuation, lines_navigation, lines_boilerplate, lost from b join v using (r)"""
 
-_quoted = lambda p: p.replace("'", "''").replace("(?<![0-9a-f])", "").replace("(?<![A-Za-z0-9+/_=-])", "")  # noqa: E731  greedy matches begin at their run's start anyway
-_KINDS = list(zip(secrets.KINDS, map(_quoted, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.CANDIDATE)), (2, 0, 0, 0)))
-_FOUND = " union all ".join(
-    f"select r, {k} as rk, '{kind}' as kind, regexp_extract_all(text, '{p}', 0) as m, regexp_extract_all(text, '{p}', {group}) as v, string_split_regex(text, '{p}') as g from d where regexp_matches(text, '{p}')"
-    for k, (kind, p, group) in enumerate(_KINDS)
-)
-_ALLOWED = " or ".join(f"regexp_matches(m, '{_quoted(p)}')" for p in secrets.ALLOW)
-
-OP4 = rf"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents), mm as ({_FOUND}),
+_quoted = lambda p: p.replace("'", "''").replace("(?<![0-9a-f])", "").replace("(?<![A-Za-z0-9+/_=-])", "").replace("(?<![A-Za-z0-9])", "")  # noqa: E731  greedy matches begin at their run's start anyway
+_ASSIGN, _ACCESS, _HEX, _KEYS, _CANDIDATE, _SEGMENT = map(_quoted, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.KEYS, secrets.CANDIDATE, secrets.SEGMENT))
+
+
+def _found(table: str, rank: int, kind: str, pattern: str, group: int = 0) -> str:
+    return f"""select r, {rank} as rk, '{kind}' as kind, regexp_extract_all(text, '{pattern}', 0) as m, regexp_extract_all(text, '{pattern}', {group}) as v,
+ string_split_regex(text, '{pattern}') as g from {table} where regexp_matches(text, '{pattern}')"""
+
+
+def _blanked(table: str, pattern: str, keep: str = "true", group: int = 0) -> str:
+    """The table with spaces for matches whose ``keep``, of the match x and the value y, holds."""
+    return f"""select r, array_to_string(list_transform(range(1, len(m) + 2), lambda i: coalesce(g[i], '') || coalesce(case when {keep.replace("{x}", "m[i]").replace("{y}", "v[i]")} then repeat(' ', length(m[i])) else m[i] end, '')), '') as text
+ from (select r, regexp_extract_all(text, '{pattern}', 0) as m, regexp_extract_all(text, '{pattern}', {group}) as v, string_split_regex(text, '{pattern}') as g from {table})"""
+
+
+_SUSPECT = "not (" + " or ".join(f"regexp_matches({{x}}, '{_quoted(p)}')" for p in secrets.ALLOW) + ")"
+_BITS = " ".join(f"when regexp_matches(m, '{p}') then {least}" for p, least in secrets.CLASSES)
+
+OP4 = rf"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+d1 as ({_blanked('d', _ASSIGN, f'length({{y}}) >= {secrets.ASSIGN_LEAST}', 2)}), d2 as ({_blanked('d1', _KEYS)}), d3 as ({_blanked('d2', _CANDIDATE, _SUSPECT)}),
+mm as ({_found('d', 0, 'assign', _ASSIGN, 2)} union all {_found('d', 1, 'access', _ACCESS)} union all {_found('d', 2, 'hex', _HEX)} union all {_found('d2', 3, 'entropy', _CANDIDATE)} union all {_found('d3', 4, 'entropy', _SEGMENT)}),
 e as (select r, rk, kind, unnest(m) as m, unnest(v) as v, unnest(g[1:len(m)]) as g, unnest(range(1, len(m) + 1)) as i from mm),
 p as (select *, cast(sum(length(g) + length(m)) over (partition by r, rk order by i) as bigint) as en from e), s as (select r, rk, kind, en - length(m) as st, en, m, v from p),
 base as (select * from s where rk < 3 and (rk > 0 or length(v) >= {secrets.ASSIGN_LEAST})),
-cand as (select row_number() over () as c, r, st, en, m from s where rk = 3 and not ({_ALLOWED}) and not exists (select 1 from base b where b.r = s.r and b.st < s.en and s.st < b.en)),
+cand as (select row_number() over () as c, r, st, en, m from s where rk >= 3 and {_SUSPECT.replace('{x}', 'm')}),
 k as (select c, m, unnest(range(1, length(m) - {secrets.WINDOW - 2})) as k from cand), ch as (select c, k, substr(m, k + j, 1) as x from k cross join range(0, {secrets.WINDOW}) t(j)),
 cn as (select c, k, x, count(*) as n from ch group by all), h as (select c, k, log2({secrets.WINDOW}) - sum(n * log2(n)) / {secrets.WINDOW} as h from cn group by 1, 2),
-hot as (select c, min(k) as a, max(k) + {secrets.WINDOW - 1} as b from h join cand using (c) where h >= case when regexp_matches(m, '^[0-9a-fA-F]*$') then {secrets.HEX_BITS} else {secrets.OTHER_BITS} end group by c),
+hot as (select c, min(k) as a, max(k) + {secrets.WINDOW - 1} as b from h join cand using (c) where h >= case {_BITS} end group by c),
 spans as (select r, rk, kind, st, en from base union all select r, 3, 'entropy', st + a - 1, st + b from hot join cand using (c)),
 t as (select r, count(*) filter (rk = 0) as n_assign, count(*) filter (rk = 1) as n_access, count(*) filter (rk = 2) as n_hex, count(*) filter (rk = 3) as n_entropy,
  coalesce(string_agg(kind || ':' || st || ':' || en, ',' order by st, rk) filter (rk < 3), '') as base, string_agg(kind || ':' || st || ':' || en, ',' order by st, rk) as spans from spans group by r)

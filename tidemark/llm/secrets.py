@@ -1,12 +1,17 @@
 """Operator 4, secret scans, in DataFrame functions alone.
 
-Base patterns are found by regular expressions; places come from the lengths of what lies between the matches. The method
-adds spans: candidate strings of token characters, a window of WINDOW characters slid over each, its Shannon entropy kept by
-incremental counts, a threshold per character class, and an allow list that suppresses harmless candidates.
+Base patterns are found by regular expressions; places come from running sums of the lengths of matches and of what lies
+between them. The method adds spans: base spans are blanked, candidate strings of token characters are taken from the rest, a
+window of WINDOW characters is slid over each, its Shannon entropy kept by incremental counts, with a threshold for each
+character class, and an allow list suppresses harmless candidates.
+
+Every step is linear in the text: patterns repeat single characters only (Java recurses on repeated groups), values that a
+lambda uses more than once are bound by ``_let``, and arrays grow within blocks of fixed size.
 """
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,97 +25,174 @@ ASSIGN_LEAST = 6
 #: Leftmost greedy matches are whole runs, so a least length in the pattern drops the same matches as a later test.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
+#: What is blanked once assignments are.
+KEYS = r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}"
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Part of a candidate that an allowed whole does not excuse.
+SEGMENT = r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}"
 WINDOW = 20
-#: Least entropy in bits a character: of strings of hex digits, and of others.
-HEX_BITS, OTHER_BITS = 3.0, 3.8
-#: Candidates that are never secrets: without a digit or a letter, UUIDs, dates, placeholders, words joined by dashes or slashes.
+#: Character classes, the first that fits a candidate, with the least entropy in bits a character.
+CLASSES = (
+    (r"^[0-9a-fA-F]*$", 3.0),
+    (r"^[0-9a-z+/_=-]*$", 3.7),
+    (r"^[0-9A-Z+/_=-]*$", 3.7),
+    (r"", 3.8),
+)
+#: Candidates that are never secrets: without a digit or a letter, UUIDs, placeholders, words joined by marks, alphabets.
 ALLOW = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|sample|placeholder|changeme|dummy|xxxx|your[_-]",
-    r"^[A-Za-z]*([-_/=+][A-Za-z]*)*([-_/=+]?[0-9]{1,4})?$",
+    r"^[A-Za-z+/_=-]*[0-9]{0,4}$",
     r"(?i)0123456789|abcdefghij",
 )
+#: Elements of an array that one fold appends to.
+RUN = 128
 
 
-def _empty() -> Column:
-    return F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,match:string>>)")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _placed(text: Column, pattern: str, rank: int, value_group: int = 0, least: int = 0) -> Column:
-    """Matches with their places in code points; those whose group is shorter than ``least`` are dropped."""
-    match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    gap = F.split(text, pattern, -1)
-    rows = F.arrays_zip(match.alias("match"), value.alias("value"), F.transform(F.slice(gap, F.lit(1), F.size(match)), F.char_length).alias("gap"))
-    # A running end: what lies before the match and the match itself.
-    start = F.struct(F.lit(0).alias("at"), _empty().alias("out"))
+def _appended(values: Column) -> Column:
+    """Running sums of a short array."""
+    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["gap"]
-        end = at + F.char_length(x["match"])
-        one = F.struct(at.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(KINDS[rank]).alias("kind"), x["match"].alias("match"))
-        out = F.when(F.char_length(x["value"]) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+        at = acc["at"] + x
+        return F.struct(at.alias("at"), F.array_append(acc["out"], at).alias("out"))
+
+    return F.aggregate(values, begin, step, lambda acc: acc["out"])
+
+
+def running(values: Column) -> Column:
+    """Running sums of an array of int: of each run of RUN elements, then of the runs' totals."""
+
+    def of(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda k: _appended(F.slice(v, k * RUN + 1, F.lit(RUN))))
+        return _let(runs, lambda r: _let(_appended(F.transform(r, lambda x: F.element_at(x, -1))), lambda t: F.flatten(F.transform(r, lambda x, k: F.transform(x, lambda y: y + F.when(k > 0, F.get(t, k - 1)).otherwise(0))))))
+
+    return _let(values, lambda v: F.when(F.size(v) == 0, F.expr("cast(array() as array<int>)")).otherwise(of(v)))
+
+
+def _rows(text: Column, pattern: str, group: int) -> Column:
+    """Matches in order: match, value of the group, and what lies between it and the match before."""
+    match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return _let(match, lambda m: F.arrays_zip(m.alias("match"), value.alias("value"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)).alias("gap")))
+
+
+def _placed(text: Column, pattern: str, rank: int, keep: Callable[[Column], Column] | None = None, group: int = 0) -> Column:
+    """Matches whose ``keep`` (of match and value) holds, with their places in code points."""
+
+    def of(rows: Column) -> Column:
+        ends = running(F.transform(rows, lambda x: F.char_length(x["gap"]) + F.char_length(x["match"])))
+        kept = rows if keep is None else F.filter(F.transform(rows, lambda x, k: F.struct(x["match"].alias("match"), x["value"].alias("value"), k.alias("k"))), keep)
+
+        def span(x: Column, end: Column) -> Column:
+            start = (end - F.char_length(x["match"])).cast("int")
+            return F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(KINDS[rank]).alias("kind"), x["match"].alias("match"))
+
+        if keep is None:
+            return _let(ends, lambda e: F.transform(kept, lambda x, k: span(x, F.get(e, k))))
+        return _let(ends, lambda e: F.transform(kept, lambda x: span(x, F.get(e, x["k"]))))
 
     # Most texts have no match: one pass tells.
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(_empty())
+    return F.when(text.rlike(pattern), _let(_rows(text, pattern, group), of)).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,match:string>>)"))
+
+
+def _blanked(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, group: int = 0) -> Column:
+    """``text`` with spaces for the matches whose ``keep`` holds; places stay."""
+
+    def one(x: Column) -> Column:
+        blank = F.repeat(F.lit(" "), F.char_length(x["match"]))
+        return F.concat(x["gap"], blank if keep is None else F.when(keep(x), blank).otherwise(x["match"]))
+
+    joined = F.concat(F.array_join(F.transform(_rows(text, pattern, group), one), ""), F.element_at(F.split(text, pattern, -1), -1))
+    return F.when(text.rlike(pattern), joined).otherwise(text)
 
 
 def _hot_span(candidate: Column, window: int = WINDOW) -> Column:
     """struct(first, last): code points from the first to the last window at or over the threshold, 1-based; 0 if none is."""
-    chars = F.split(candidate, "")
-    bits = F.when(candidate.rlike("^[0-9a-fA-F]*$"), F.lit(HEX_BITS)).otherwise(F.lit(OTHER_BITS))
-    f = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)))
-    counts = F.array_repeat(F.lit(0), len(ALPHABET) + 1)  # place 0 is nobody's
-    begin = F.struct(counts.alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("first"), F.lit(0).alias("last"))
-
-    def step(acc: Column, i: Column) -> Column:
-        come = F.instr(F.lit(ALPHABET), F.get(chars, i - 1))
-        go = F.when(i > window, F.instr(F.lit(ALPHABET), F.get(chars, i - 1 - window))).otherwise(F.lit(0))
-        gone = F.get(acc["counts"], go)
-        less = F.when(i > window, F.get(f, gone) - F.get(f, gone - 1)).otherwise(F.lit(0.0))
-        was = F.get(acc["counts"], come) - F.when(come == go, F.lit(1)).otherwise(F.lit(0))
-        total = acc["sum"] - less + F.get(f, was + 1) - F.get(f, was)
-        after = F.transform(acc["counts"], lambda c, j: c + F.when(j == come, 1).otherwise(0) - F.when((j == go) & (go > 0), 1).otherwise(0))
-        hot = (i >= window) & (F.lit(math.log2(window)) - total / window >= bits)
-        first = F.when((acc["first"] == 0) & hot, i - window + 1).otherwise(acc["first"])
-        last = F.when(hot, i).otherwise(acc["last"])
-        return F.struct(after.alias("counts"), total.alias("sum"), first.cast("int").alias("first"), last.cast("int").alias("last"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.size(chars)), begin, step, lambda acc: F.struct(acc["first"], acc["last"]))
-
-
-def _entropy(text: Column, base: Column) -> Column:
-    """Windows of high entropy, but for allowed candidates and places that a base span covers."""
-    harmless = lambda s: F.array(*(s.rlike(p) for p in ALLOW))
-    runs = F.filter(_placed(text, CANDIDATE, 3), lambda x: ~F.exists(harmless(x["match"]), lambda y: y))
-    free = F.filter(runs, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    bits = F.lit(CLASSES[-1][1])
+    for pattern, least in reversed(CLASSES[:-1]):
+        bits = F.when(candidate.rlike(pattern), F.lit(least)).otherwise(bits)
+    # What a character adds to the sum of n log n when its count rises from c to c + 1.
+    f = [c * math.log2(c) if c else 0.0 for c in range(window + 2)]
+    gain = F.array(*(F.lit(f[c + 1] - f[c]) for c in range(window + 1)))
+    # Counts by character are the letters of a string, "a" for none, which overlay updates in place.
+    begin = F.struct(F.lit("a" * len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+    place = lambda c: F.instr(F.lit(ALPHABET), c)
+    count = lambda counts, at: F.ascii(F.substring(counts, at, F.lit(1))) - 97
+    put = lambda counts, at, n: F.overlay(counts, F.char(n + 97), at, F.lit(1))
+
+    def fold(chars: Column, bits: Column, gain: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            def leave(at: Column) -> Column:
+                return _let(count(acc["counts"], at) - 1, lambda n: F.struct(put(acc["counts"], at, n).alias("counts"), (acc["sum"] - F.get(gain, n)).alias("sum")))
+
+            def come(s: Column, at: Column) -> Column:
+                return _let(count(s["counts"], at), lambda n: F.struct(put(s["counts"], at, n + 1).alias("counts"), (s["sum"] + F.get(gain, n)).alias("sum")))
+
+            gone = F.when(i > window, _let(place(F.get(chars, i - 1 - window)), leave)).otherwise(F.struct(acc["counts"].alias("counts"), acc["sum"].alias("sum")))
+            both = _let(gone, lambda s: _let(place(F.get(chars, i - 1)), lambda at: come(s, at)))
+
+            def close(s: Column) -> Column:
+                hot = (i >= window) & (F.lit(math.log2(window)) - s["sum"] / window >= bits)
+                first = F.when((acc["first"] == 0) & hot, i - window + 1).otherwise(acc["first"])
+                return F.struct(s["counts"].alias("counts"), s["sum"].alias("sum"), first.cast("int").alias("first"), F.when(hot, i).otherwise(acc["last"]).cast("int").alias("last"))
+
+            return _let(both, close)
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), begin, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+    return _let(F.split(candidate, ""), lambda chars: _let(bits, lambda b: _let(gain, lambda g: fold(chars, b, g))))
+
+
+def _narrowed(spans: Column) -> Column:
+    """From candidates with their places, those with hot windows, narrowed to them."""
 
     def narrow(x: Column) -> Column:
-        hot = _hot_span(x["match"])
-        start = (x["start"] + hot["first"] - 1).cast("int")
-        end = (x["start"] + hot["last"]).cast("int")
-        inner = F.substring(x["match"], hot["first"], hot["last"] - hot["first"] + 1)
-        return F.when(hot["last"] > 0, F.struct(start.alias("start"), F.lit(3).alias("rank"), end.alias("end"), F.lit("entropy").alias("kind"), inner.alias("match")))
+        def of(hot: Column) -> Column:
+            start, end = (x["start"] + hot["first"] - 1).cast("int"), (x["start"] + hot["last"]).cast("int")
+            inner = F.substring(x["match"], hot["first"], hot["last"] - hot["first"] + 1)
+            return F.when(hot["last"] > 0, F.struct(start.alias("start"), F.lit(3).alias("rank"), end.alias("end"), F.lit("entropy").alias("kind"), inner.alias("match")))
+
+        return _let(_hot_span(x["match"]), of)
+
+    return F.filter(F.transform(spans, narrow), lambda x: x.isNotNull())
+
 
-    return F.filter(F.transform(free, narrow), lambda x: x.isNotNull())
+def _suspect(x: Column) -> Column:
+    """Whether no allow-list pattern fits a match."""
+    out = F.lit(True)
+    for pattern in ALLOW:
+        out = out & ~x["match"].rlike(pattern)
+    return out
 
 
 def secret_scan(df: DataFrame) -> DataFrame:
     """doc_id, base and added spans (arrays of start, rank, end, kind, match) for each row of ``df`` (doc_id, text).
 
     Null text counts as empty and has no spans. Repeated rows and null ids stay; other columns are ignored; an empty frame
-    gives an empty frame. Places are code points, ends exclusive.
+    gives an empty frame. Places are code points, ends exclusive. Texts of any length are scanned whole, in time and memory in
+    proportion to them. Base spans are found in the text as it is; for added ones assignments are blanked, then access keys
+    and hex strings of the rest. A candidate on the allow list is not scanned, but for parts between marks that are long
+    enough and not on the list themselves.
     """
     rows = pick(df, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
-    base = F.array_sort(F.concat(_placed(text, ASSIGN, 0, 2, ASSIGN_LEAST), _placed(text, ACCESS, 1), _placed(text, HEX, 2)))
-    return rows.withColumn("base", base).withColumn("added", _entropy(text, F.col("base"))).drop("text")
+    long_value = lambda x: F.char_length(x["value"]) >= ASSIGN_LEAST
+    base = F.array_sort(F.concat(_placed(text, ASSIGN, 0, long_value, 2), _placed(text, ACCESS, 1), _placed(text, HEX, 2)))
+    rows = rows.select("doc_id", base.alias("base"), _blanked(text, ASSIGN, long_value, 2).alias("text"))
+    rows = rows.select("doc_id", "base", _blanked(text, KEYS).alias("text"))
+    rows = rows.select("doc_id", "base", _placed(text, CANDIDATE, 3, _suspect).alias("whole"), _blanked(text, CANDIDATE, _suspect).alias("text"))
+    rows = rows.select("doc_id", "base", F.concat("whole", _placed(text, SEGMENT, 3, _suspect)).alias("runs"))
+    return rows.select("doc_id", "base", F.array_sort(_narrowed(F.col("runs"))).alias("added"))
 
 
 def _say(spans: Column) -> Column:
