@@ -1,4 +1,5 @@
 """Operator 3: base patterns against plain regular expressions, the CRF against enumeration, held-out spans."""
+import hashlib
 import itertools
 import re
 
@@ -42,7 +43,7 @@ def test_crf_and_viterbi_match_enumeration():
     score = lambda e, p: sum(e[t, k] for t, k in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:]))
     want = np.mean([np.log(sum(np.exp(score(emit[:, b], p)) for p in paths)) - score(emit[:, b], tags[:, b]) for b in range(2)])
     assert abs(loss - want) < 1e-9
-    best = pii.viterbi(emit, trans)
+    best = pii.viterbi(emit.transpose(0, 2, 1), trans)
     for b in range(2):
         assert tuple(best[:, b]) == max(paths, key=lambda p: score(emit[:, b], p))
     for array, grad in ((emit, d_emit), (trans, d_trans)):
@@ -83,6 +84,45 @@ def test_windows_do_not_depend_on_neighbours(model):
     assert (alone == both[1]).all() and len(both[2]) == 0
 
 
+def test_every_window_is_decoded(model):
+    """Tags equal those of windows decoded one at a time by the layers that training uses, digits in them or not."""
+    rng = np.random.default_rng(3)
+    texts = [pii.made_up(rng)[0] * int(rng.integers(1, 9)) for _ in range(60)] + ["plain words and nothing else " * 40, "", "x", "a" * pii.WINDOW, "b" * (pii.WINDOW + 1), "c" * (pii.WINDOW + pii.STRIDE + 1)]
+    chars = [pii.points(t) for t in texts]
+    count = 0
+    for c, got in zip(chars, model.tags_of(chars)):
+        want = np.zeros(len(c), np.int8)
+        near = np.full(len(c), -1)
+        last = max(0, -(-(len(c) - pii.WINDOW) // pii.STRIDE)) if len(c) else -1
+        for k in range(last + 1):
+            a = k * pii.STRIDE
+            row = np.full((pii.WINDOW, 1), pii.VOCAB - 1)
+            part = c[a : a + pii.WINDOW]
+            row[: len(part), 0] = part
+            tags = pii.viterbi(np.ascontiguousarray(model.emissions(row)[0].transpose(0, 2, 1)), model.p["trans"])[:, 0]
+            count += 1
+            for i in range(len(part)):
+                far = min(10**6 if a == 0 else i, 10**6 if k == last else pii.WINDOW - 1 - i)
+                if far >= near[a + i]:
+                    near[a + i], want[a + i] = far, tags[i]
+        assert (got == want).all()
+    assert count > 150
+
+
+def test_query(spark, tmp_path):
+    texts = [None, "", "no data", "a@b.c é 😀 1.2.3.4 x +1 (434) 555-7062, 4921758104870150", "please call (212) 555-0187 and ask for tom"] * 3
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    say = lambda xs: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in xs)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = pii.fit(docs)
+    for r in pii.op3_personal_data(spark, str(tmp_path)).collect():
+        base = plain(texts[r.doc_id] or "")
+        full = pii.all_spans([texts[r.doc_id] or ""], model)[0][1]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for _, k, _ in base) for j in range(4)]
+        assert r.base_sha256 == hashlib.sha256(say(base).encode()).hexdigest() and r.spans == say(full) and r.n_spans == len(full)
+        assert set(base) <= set(full)
+
+
 def test_find(spark, model):
     texts = [None, "", "no data", "a@b.c é 😀 1.2.3.4 x +1 (434) 555-7062, 4921758104870150", "9" * 5000, "1 " * 3000, "é" * 20000 + " a.b@c.de"]
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, "x@y.zz", 1), (3, texts[3], 1)]

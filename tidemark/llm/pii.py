@@ -1,11 +1,9 @@
 """Operator 3, personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions on top.
 
 The network is trained in numpy from labelled spans: documents of a bounded sample, labelled by the base patterns, and made-up
-values in their text, labelled as written. Overlapping windows of characters are decoded by Viterbi; a character's tag is that
-of the window in whose middle it lies nearest; runs of a tag become spans. Base spans always stay; spans of the network that
-touch none of them are added.
-
-A window without a digit or an at sign holds no personal data of these kinds by definition and is tagged so undecoded.
+values in their text, labelled as written. Overlapping windows cover every character of every text, and all of them are decoded
+by Viterbi; a character's tag is that of the window in whose middle it lies nearest; runs of a tag become spans. Base spans
+always stay; spans of the network that touch none of them are added.
 """
 from __future__ import annotations
 
@@ -18,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, blobs, lowest, pick, read, slices
-from ._nets import Adam, init, lstm, lstm_back, scatter_rows
+from ._nets import Adam, LstmReader, init, lstm, lstm_back, scatter_rows
 
 #: Kinds in the order in which spans of one start are listed; tags are 0 for none, then these.
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 5
-WINDOW, STRIDE = 64, 32
+#: Characters of a window that is decoded, how far the next one begins, and characters of one that is trained on.
+WINDOW, STRIDE, TRAINED = 160, 128, 64
 HIDDEN, DIM, VOCAB = 16, 12, 130
 #: Documents that training reads at most, the length of the longest, and the windows that are made up.
 SAMPLE, MOST_CHARS, MADE_UP = 300, 6000, 2500
@@ -98,23 +97,23 @@ def base_spans(text: str) -> list[Span]:
 
 def points(text: str) -> np.ndarray:
     """Character numbers: ASCII as it is, all others alike."""
-    cp = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    return np.where(cp < 128, cp, 128).astype(np.int64)
+    return np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 128).astype(np.uint8)
 
 
 def viterbi(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Best tags: emit (T, B, tags), trans (from, to)."""
-    steps, rows, tags = emit.shape
-    score, back = emit[0], np.empty((steps, rows, tags), np.int8)
+    """Best tags: emit (T, tags, B), trans (from, to). Of equal ones, the lowest tag."""
+    steps, tags, rows = emit.shape
+    score, some = np.empty_like(emit), np.empty((tags, tags, rows), emit.dtype)
+    score[0] = emit[0]
+    step = np.ascontiguousarray(trans, emit.dtype)[:, :, None]
     for t in range(1, steps):
-        all_ = score[:, :, None] + trans
-        back[t] = all_.argmax(1)
-        score = all_.max(1) + emit[t]
+        np.add(score[t - 1][:, None, :], step, out=some)
+        np.max(some, axis=0, out=score[t])
+        score[t] += emit[t]
     out = np.empty((steps, rows), np.int8)
-    out[-1] = score.argmax(1)
-    rows_ = np.arange(rows)
+    out[-1] = score[-1].argmax(0)
     for t in range(steps - 1, 0, -1):
-        out[t - 1] = back[t, rows_, out[t]]
+        out[t - 1] = (score[t - 1] + step[:, out[t], 0]).argmax(0)
     return out
 
 
@@ -170,47 +169,59 @@ class Tagger:
         grads["in"], grads["in_bias"], grads["chars"] = self.p["chars"].T @ rows, rows.sum(0), rows @ self.p["in"].T
         return grads, loss
 
+    def decode(self, chars: np.ndarray) -> np.ndarray:
+        """Tags of windows: chars (T, B)."""
+        if not hasattr(self, "readers"):
+            table = self.p["chars"] @ self.p["in"] + self.p["in_bias"]
+            self.readers = [LstmReader(table[:, : 4 * HIDDEN], self.p["ahead"]), LstmReader(table[:, 4 * HIDDEN :], self.p["back"])]
+            self.states = np.empty((2, 0, 0, HIDDEN), np.float32)
+        steps, rows = chars.shape
+        if self.states.shape[1:3] != (steps, rows):
+            self.states = np.empty((2, steps, rows, HIDDEN), np.float32)
+        symbols = chars.astype(np.intp)
+        for k, reader in enumerate(self.readers):
+            reader.read(symbols, self.states[k], k == 1)
+        ahead, back = self.states.reshape(2, -1, HIDDEN)
+        emit = (ahead @ self.p["out"][:HIDDEN] + back @ self.p["out"][HIDDEN:] + self.p["out_bias"]).reshape(steps, rows, TAGS)
+        return viterbi(np.ascontiguousarray(emit.transpose(0, 2, 1)), self.p["trans"])
+
+    def __getstate__(self) -> dict:
+        return {"p": self.p}
+
     def tags(self, chars: np.ndarray) -> np.ndarray:
         """A tag for each character of a text of any length."""
         return self.tags_of([chars])[0]
 
     def tags_of(self, texts: list[np.ndarray]) -> list[np.ndarray]:
-        """Windows of all texts are decoded together; only those with a digit or an at sign need be."""
-        wanted, owner = [], []
-        for i, chars in enumerate(texts):
-            k = np.flatnonzero((chars >= 48) & (chars <= 57) | (chars == 64)) // STRIDE
-            last = max(0, -(-(len(chars) - WINDOW) // STRIDE))
-            starts = np.unique(np.minimum(np.maximum(np.concatenate([k - 1, k]), 0), last)) * STRIDE
-            wanted.append(starts)
-            owner.append(np.full(len(starts), i))
-        starts, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (wanted, owner))
-        out = [np.zeros(len(c), np.int8) for c in texts]
-        # How near a character's chosen window has it to its middle.
-        near = [np.full(len(c), -1, np.int16) for c in texts]
-        depth = np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW)).astype(np.int16)
-        for at in range(0, len(starts), DECODED):
-            some = range(at, min(at + DECODED, len(starts)))
-            chars = np.full((WINDOW, len(some)), VOCAB - 1, np.int64)
-            for col, w in enumerate(some):
-                one = texts[owner[w]][starts[w] : starts[w] + WINDOW]
-                chars[: len(one), col] = one
-            tags = viterbi(self.emissions(chars)[0], self.p["trans"])
-            for col, w in enumerate(some):
-                a, i = starts[w], owner[w]
-                n = min(WINDOW, len(texts[i]) - a)
-                d = depth[:n]
-                # Text ends are no window's edge.
-                if a == 0:
-                    d = np.maximum(d, (WINDOW - 1 - np.arange(n)).astype(np.int16))
-                better = d > near[i][a : a + n]
-                out[i][a : a + n][better] = tags[:n, col][better]
-                near[i][a : a + n][better] = d[better]
-        return out
+        """Windows of all texts are decoded together, DECODED at a time; each gives the tags of the characters that have it nearest."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint8), *texts])
+        ends = np.cumsum(sizes)
+        count = np.where(sizes > 0, np.maximum(0, -(-(sizes - WINDOW) // STRIDE)) + 1, 0)
+        owner = np.repeat(np.arange(len(texts)), count)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        begin = (ends - sizes)[owner] + place * STRIDE
+        end = ends[owner]
+        # Where two windows overlap, each has half; text ends are no window's edge.
+        edge = (WINDOW - STRIDE) // 2
+        low = begin + np.where(place > 0, edge, 0)
+        high = np.where(place < count[owner] - 1, begin + WINDOW - edge, end)
+        out = np.empty(len(flat), np.int8)
+        for a in range(0, len(owner), DECODED):
+            some = slice(a, a + DECODED)
+            at = begin[some] + np.arange(WINDOW)[:, None]
+            inside = at < end[some]
+            tags = self.decode(np.where(inside, flat[np.minimum(at, len(flat) - 1)], VOCAB - 1))
+            own = inside & (at >= low[some]) & (at < high[some])
+            out[at[own]] = tags[own]
+        return np.split(out, ends[:-1]) if len(texts) else []
 
 
 def spans_of(text: str, tags: np.ndarray) -> list[Span]:
     """Runs of a tag, without white space and marks at their ends, if they have characters and digits enough."""
-    edge = np.flatnonzero(np.concatenate([[True], tags[1:] != tags[:-1], [True]])) if len(tags) else []
+    if not tags.any():
+        return []
+    edge = np.flatnonzero(np.concatenate([[True], tags[1:] != tags[:-1], [True]]))
     out = []
     for a, b in zip(edge[:-1], edge[1:]):
         kind = int(tags[a]) - 1
@@ -303,18 +314,18 @@ def train(texts: list[str], seed: int = 0) -> Tagger:
         for a, kind, b in spans:
             t[a:b] = kind + 1
         for s in starts:
-            row, mark = np.full(WINDOW, VOCAB - 1, np.int64), np.zeros(WINDOW, np.int64)
-            row[: len(c[s : s + WINDOW])] = c[s : s + WINDOW]
-            mark[: len(c[s : s + WINDOW])] = t[s : s + WINDOW]
+            row, mark = np.full(TRAINED, VOCAB - 1, np.int64), np.zeros(TRAINED, np.int64)
+            row[: len(c[s : s + TRAINED])] = c[s : s + TRAINED]
+            mark[: len(c[s : s + TRAINED])] = t[s : s + TRAINED]
             chars.append(row)
             tags.append(mark)
 
     for text in texts:
         spans = base_spans(text)
-        add(text, spans, [max(0, a - int(rng.integers(0, WINDOW))) for a, _, _ in spans[:8]] + [int(rng.integers(0, max(1, len(text) - WINDOW)))])
+        add(text, spans, [max(0, a - int(rng.integers(0, TRAINED))) for a, _, _ in spans[:8]] + [int(rng.integers(0, max(1, len(text) - TRAINED)))])
     for _ in range(MADE_UP):
         text, spans = made_up(rng)
-        add(text, spans, [int(rng.integers(0, max(1, len(text) - WINDOW)))])
+        add(text, spans, [int(rng.integers(0, max(1, len(text) - TRAINED)))])
     chars, tags = np.array(chars).T, np.array(tags).T
     model, adam = Tagger(p), Adam(p, 0.01)
     for epoch in range(EPOCHS):
@@ -354,12 +365,9 @@ def find(df: DataFrame, model: Tagger) -> DataFrame:
 
 
 def all_spans(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
+    """Base spans and all spans of each text."""
     base = [base_spans(t) for t in texts]
-    look = [i for i, t in enumerate(texts) if "@" in t or _DIGIT.search(t)]
-    full = list(base)
-    for i, tags in zip(look, model.tags_of([points(texts[i]) for i in look])):
-        full[i] = reconcile(base[i], spans_of(texts[i], tags))
-    return list(zip(base, full))
+    return [(b, reconcile(b, spans_of(t, tags))) for b, t, tags in zip(base, texts, model.tags_of([points(t) for t in texts]))]
 
 
 def _say(spans):
@@ -370,7 +378,7 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = find(docs, fit(docs))
     count = lambda name: F.size(F.filter("base", lambda x: x["kind"] == name)).cast("long")
-    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(_say(F.col("base")), 256).alias("base_sha256"), _say(F.col("full")).alias("spans"))
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(_say(F.col("base")), 256).alias("base_sha256"), _say(F.col("full")).alias("spans"), F.size("full").cast("long").alias("n_spans"))
 
 
 def mask(text: str, spans: list[Span]) -> str:
@@ -384,7 +392,11 @@ def mask(text: str, spans: list[Span]) -> str:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their personal data replaced by ``<EMAIL>``, ``<IP>``, ``<CARD>`` and ``<PHONE>``."""
+    """All documents, their personal data replaced by ``<EMAIL>``, ``<IP>``, ``<CARD>`` and ``<PHONE>``.
+
+    Null texts stay null and empty ones empty, repeated rows stay rows of their own, texts of any length are masked whole; an
+    empty frame gives an empty frame, and columns other than those of ``documents`` go.
+    """
     model = spark.sparkContext.broadcast(fit(docs))
     rows = pick(docs, "doc_id", "text", "lang", "source")
 
