@@ -67,7 +67,9 @@ def test_audio(spark):
         assert (rate, back) == (8000, want) and r.payload_bytes == len(want) and r.media_bytes == len(r.media)
         assert r.payload_sha256 == hashlib.sha256(want).hexdigest() and r.tail_crc32 == zlib.crc32(want[-16:])
         assert r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest()
-        assert all(len(x) == audio.BLOCK * audio.MELS for x in r.tensors) and len(r.tensors) == len(r.spans)
+        table = audio.read_tensors(bytes(r.tensors))
+        assert table.schema.field("tensor").type.shape == [audio.BLOCK, audio.MELS] and table.num_rows == len(r.spans)
+        assert [(x.start_ms, x.end_ms) for x in r.spans] == list(zip(table["start_ms"].to_pylist(), table["end_ms"].to_pylist()))
     assert audio.media_features(frame(spark).limit(0)).count() == 0
 
 
@@ -94,8 +96,65 @@ def test_resample_and_segments():
             want.append((start, i))
         state = now
     assert audio.segments(energy) == want
-    t = audio.tensor_column(np.zeros((3, audio.BLOCK, audio.MELS), np.float32))
-    assert t.type.shape == [audio.BLOCK, audio.MELS]
+
+
+def plain_mel(samples):
+    """Log-mel energies by sums as they are defined, in double precision."""
+    x = (np.array(list(samples), float) - 128) / 128
+    taps = np.arange(audio.UP * audio.TAPS)
+    h = np.sinc((taps - (len(taps) - 1) / 2) / max(audio.UP, audio.DOWN)) * np.hanning(len(taps) + 2)[1:-1]
+    h *= audio.UP / h.sum()
+    y = []
+    for n in range(-(-len(x) * audio.UP // audio.DOWN)):  # x with zeros between, filtered, every DOWN-th taken
+        y.append(sum(h[k] * x[(n * audio.DOWN - k) // audio.UP] for k in range(len(h)) if (n * audio.DOWN - k) % audio.UP == 0 and 0 <= (n * audio.DOWN - k) // audio.UP < len(x)))
+    frames = max(1, -(-(len(y) - audio.FRAME) // audio.HOP) + 1)
+    y = np.concatenate([y, np.zeros(frames * audio.HOP + audio.FRAME)])
+    rate = audio.RATE * audio.UP / audio.DOWN
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(mel(40.0), mel(rate / 2), audio.MELS + 2)]
+    bins = np.arange(audio.FRAME // 2 + 1)
+    wave = np.exp(-2j * np.pi * np.outer(bins, np.arange(audio.FRAME)) / audio.FRAME)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.FRAME) / (audio.FRAME - 1))
+    out = np.zeros((frames, audio.MELS))
+    for k in range(frames):
+        power = np.abs(wave @ (window * y[k * audio.HOP : k * audio.HOP + audio.FRAME])) ** 2
+        for m in range(audio.MELS):
+            lo, mid, hi = edges[m : m + 3]
+            f = bins * rate / audio.FRAME
+            weight = np.clip(np.minimum((f - lo) / (mid - lo), (hi - f) / (hi - mid)), 0, None)
+            out[k, m] = np.log(power @ weight + 1e-6)
+    return out
+
+
+def test_media_query(spark, tmp_path):
+    """Stored form, tensors, spans, segments and feature of the query against direct sums."""
+    texts = [None, "", "a", "é 漢字 some words of a short text", "one two three four five six. " * 40, "THE END\n" * 130 + "zzzz" * 900]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = audio.op7_media_columns(spark, str(tmp_path))
+    assert out.schema["tensors"].metadata["shape"] == [audio.BLOCK, audio.MELS]
+    for r in out.collect():
+        raw = (texts[r.doc_id] or "").encode()
+        want = raw + b" " * (192 - len(raw) % 192 if len(raw) % 192 or not raw else 0)
+        assert audio.from_wav(bytes(r.media)) == (8000, want) and r.n_bytes == len(raw) and r.payload_bytes == len(want)
+        assert r.payload_sha256 == hashlib.sha256(want).hexdigest() and r.tail_crc32 == zlib.crc32(want[-16:])
+        assert r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest() and r.media_bytes == len(r.media)
+        mel = plain_mel(want)
+        table = audio.read_tensors(bytes(r.tensors))
+        got = table["tensor"].combine_chunks().to_numpy_ndarray().reshape(-1, audio.MELS)
+        assert len(got) == -(-len(mel) // audio.BLOCK) * audio.BLOCK and np.abs(got[: len(mel)] - mel).max() < 0.02 and not got[len(mel) :].any()
+        ms = 1000 * audio.HOP * audio.DOWN / (audio.UP * audio.RATE)
+        assert [(x.start_ms, x.end_ms) for x in r.spans] == [(k * ms, min(k + audio.BLOCK, len(mel)) * ms) for k in range(0, len(mel), audio.BLOCK)]
+        energy = got[: len(mel)].mean(axis=1)
+        mean, dev, on, runs = float(energy.mean()), float(energy.std()), False, []
+        for k, e in enumerate([*energy.tolist(), -np.inf]):
+            if not on and e > mean + audio.HIGH * dev:
+                on, runs = True, [*runs, [k, k]]
+            elif on and e < mean + audio.LOW * dev:
+                on, runs[-1][1] = False, k
+        assert [(x.start_ms, x.end_ms) for x in r.segments] == [(a * ms, (b or len(mel)) * ms) for a, b in runs]
+        said = dict(x.split("=") for x in r.feature.split(";"))
+        assert (int(said["frames"]), int(said["segments"]), int(said["voiced"])) == (len(mel), len(runs), sum(b - a for a, b in runs))
+        assert np.abs(np.array(said["mel"].split(","), float) - mel.mean(axis=0)).max() < 0.02
 
 
 def test_escape_round_trip():

@@ -2,6 +2,9 @@
 
 The payload of a text is kept as unsigned 8-bit PCM in a WAV container. The stored bytes are read back, resampled by a
 polyphase filter, cut into overlapped frames, mapped to log-mel energies and segmented by a hysteresis on frame energy.
+
+Spark has no column type of a fixed shape, so a row's tensors are one binary value: an Arrow stream with a fixed-shape tensor
+column and the start and end of each tensor, which ``read_tensors`` or any Arrow reader opens without a copy.
 """
 from __future__ import annotations
 
@@ -13,7 +16,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._common import arrow_map, blobs, pick, read, slices
 
@@ -31,9 +36,11 @@ HIGH, LOW = 0.5, -0.25
 
 SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string, media binary, tensors array<array<float>>, spans array<struct<start_ms:double,end_ms:double>>, "
+    "media_sha256 string, feature string, media binary, tensors binary, spans array<struct<start_ms:double,end_ms:double>>, "
     "segments array<struct<start_ms:double,end_ms:double>>"
 )
+#: What Spark's schema says of the tensors.
+SHAPE = {"format": "arrow stream", "tensor": "float32", "shape": [BLOCK, MELS]}
 
 
 def payload(text: bytes) -> bytes:
@@ -133,41 +140,50 @@ def features(samples: bytes) -> tuple[np.ndarray, list[tuple[float, float]], lis
     return tensor.reshape(blocks, BLOCK, MELS), spans, voiced, digest
 
 
-def tensor_column(tensors: np.ndarray) -> pa.FixedShapeTensorArray:
-    """Arrow column of fixed-shape tensors, for files that keep the shape (Spark sees the storage as arrays of floats)."""
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(tensors))
+_STORED = pa.schema([("tensor", pa.fixed_shape_tensor(pa.float32(), [BLOCK, MELS])), ("start_ms", pa.float64()), ("end_ms", pa.float64())])
+
+
+def store_tensors(tensors: np.ndarray, spans: list[tuple[float, float]]) -> bytes:
+    """An Arrow stream of fixed-shape tensors with their time spans."""
+    sink = pa.BufferOutputStream()
+    starts, ends = (pa.array(x, pa.float64()) for x in zip(*spans))
+    with pa.ipc.new_stream(sink, _STORED) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(tensors)), starts, ends], schema=_STORED))
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> pa.Table:
+    """Columns tensor (fixed shape), start_ms and end_ms."""
+    with pa.ipc.open_stream(stored) as f:
+        return f.read_all()
 
 
-def media_features(df: DataFrame, with_media: bool = True) -> DataFrame:
-    """One row for each row of ``df`` (doc_id, text): stored form, digests, tensors, spans.
+def media_features(df: DataFrame) -> DataFrame:
+    """One row for each row of ``df`` (doc_id, text): digests, the stored form, tensors, their spans, and voiced segments.
 
-    Null text counts as empty, whose payload is one unit of spaces. Equal texts have equal values. Repeated rows and null
-    ids stay; other columns are ignored. ``with_media=False`` leaves stored bytes, tensors and spans null.
+    Null text counts as empty, whose payload is one unit of spaces. Equal texts have equal values. Texts of any length are
+    taken whole. Repeated rows and null ids stay; other columns are ignored; an empty frame gives an empty frame.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
         spans = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.list_(pa.float32())), spans, spans]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), spans, spans]
+        say = lambda xs: [{"start_ms": a, "end_ms": b} for a, b in xs]
         for part in slices(batches):
             rows = []
             for text in blobs(part.column("text")):
                 media = to_wav(payload(text))
                 back = from_wav(media)[1]
                 tensor, where, voiced, digest = features(back)
-                row = [len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), digest]
-                if with_media:
-                    flat = tensor_column(tensor).storage.to_pylist()
-                    say = lambda xs: [{"start_ms": a, "end_ms": b} for a, b in xs]
-                    row += [media, flat, say(where), say(voiced)]
-                else:
-                    row += [None] * 4
-                rows.append(row)
+                shas = hashlib.sha256(back).hexdigest(), hashlib.sha256(media).hexdigest()
+                rows.append((len(text), len(back), shas[0], zlib.crc32(back[-16:]), len(media), shas[1], digest, media, store_tensors(tensor, where), say(where), say(voiced)))
             cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], names=names)
 
-    return arrow_map(pick(df, "doc_id", "text"), run, SCHEMA)
+    out = arrow_map(pick(df, "doc_id", "text"), run, SCHEMA)
+    return out.withColumn("tensors", F.col("tensors").alias("tensors", metadata=SHAPE))
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(read(spark, sf_dir, "documents"), with_media=False).drop("media", "tensors", "spans", "segments")
+    return media_features(read(spark, sf_dir, "documents"))
