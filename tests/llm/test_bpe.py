@@ -44,15 +44,40 @@ def test_many_blocks_and_alike_blocks(library):
         block.add(None, "")
         name, dealt, data = block.seal(4)
         names.add(name)
-        answers = []
-        for _, words in dealt:
+        answers = {}
+        for part, words in dealt:
             ids = [library.encode_ordinary(w.decode()) for w in words]
-            answers.append([np.array([len(x) for x in ids]), np.array([k for x in ids for k in x], np.uint32)])
+            answers[part] = [np.array([len(x) for x in ids]), np.array([k for x in ids for k in x], np.uint32)]
         out = [(d, x.tolist()) for d, x in bpe.open_block(data, answers)]
         assert out == [(1, library.encode_ordinary("the same text here")), (None, [])]
     assert len(names) == 1
 
 
+def test_numbers_by_upper_bytes():
+    rng = np.random.default_rng(4)
+    for n in (np.zeros(0, np.int64), np.array([0]), rng.integers(0, 2**32, 999), rng.integers(0, 700, 5000)):
+        high, low = (np.frombuffer(x, np.uint8) for x in bpe.by_high(n))
+        assert (bpe.from_high(high, low) == n).all()
+
+
+def test_input_that_comes_in_another_order_each_time(spark, library):
+    """The input is split once: a frame whose rows lie elsewhere each time it is read has the same ids."""
+    from pyspark.sql import functions as F
+
+    texts = ["".join(f"w{i % 17} it's {i * k} " for k in range(9)) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).orderBy(F.rand()).repartition(7, F.rand())
+    got = sorted((r.doc_id, r.ids) for r in bpe.encode(df).collect())
+    assert [i for i, _ in got] == list(range(300)) and all(ids == library.encode_ordinary(texts[i]) for i, ids in got)
+
+
+def test_query(spark, library, tmp_path):
+    texts = [None, "", "a few words, and a few words more", "é 漢字\n\n 12 it's"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in bpe.op2_byte_bpe(spark, str(tmp_path)).collect():
+        ids, text = library.encode_ordinary(texts[r.doc_id] or ""), (texts[r.doc_id] or "").encode()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest())
+
+
 def test_blocks_of_one_shape_and_other_words(spark, library):
     texts = ["foo", "bar", "baz", "qux", "the", "cat"]
     rows = spark.sparkContext.parallelize([(None, t) for t in texts], len(texts))  # a partition, and so a block, each

@@ -1,15 +1,15 @@
 """Operator 2, byte-level BPE encoding and decoding by one global shuffle of distinct words.
 
-1. Blocks: a run of documents is split into pre-tokens. A block keeps where each pre-token stands (as numbers of the block's
-   distinct words) and explodes its distinct words, dealt into parts by a hash of the word.
+1. Blocks: a run of documents is split into pre-tokens, once. A block keeps where each pre-token stands (as numbers of the
+   block's distinct words) and explodes its distinct words, dealt into parts by a hash of the word. Both are checkpointed, and
+   all that follows is read from there, so the input is never split again, however it is ordered when read again.
 2. Words: one part of all blocks meets in one place; each distinct word is encoded once and its ids go back to every block
    that asked for it.
 3. Documents: a block joins its words' ids to its positions, which gives each document's ids in order. Decoding joins ids to
    the table of token bytes (50,256 rows, a fixed size, hence broadcast).
 
 What is shuffled is the block's positions once and its distinct words there and back, compressed, not a row a pre-token.
-Blocks are named by their content, words included, so both passes over the input name them alike; the input must be replayable (a scan or a
-checkpointed frame).
+Blocks are named by their content, words included: blocks of one name are alike.
 """
 from __future__ import annotations
 
@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import arrow_map, blobs, pick, read, slices
+from ._common import arrow_map, blobs, cut, pick, read, slices
 
-#: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+#: Characters of text in a block: the more, the fewer words are sent twice.
+BLOCK_CHARS = 32 << 20
 #: Least number of parts that a block's words are dealt into; each part of all blocks is met in one task, so there are as many
 #: as the session has shuffle partitions, which a cluster sets by its input.
 PARTS = 64
@@ -87,6 +87,21 @@ def from_planes(raw: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
+def by_high(numbers: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers below 2**32 as their upper bytes, and their lowest bytes in the order of the upper ones, where alike ones meet."""
+    n = numbers.astype("<u4")
+    high = n >> 8
+    return planes(high), n.astype(np.uint8)[np.argsort(high, kind="stable")].tobytes()
+
+
+def from_high(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    top = from_planes(high)
+    out = np.empty(len(top), np.int64)
+    order = np.argsort(top, kind="stable")
+    out[order] = low
+    return out + (top.astype(np.int64) << 8)
+
+
 def spread(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """values[starts[i] : starts[i] + sizes[i]] for all i, end to end."""
     ends = np.cumsum(sizes)
@@ -121,51 +136,57 @@ class Block:
 
     def seal(self, parts: int) -> tuple[str, list[tuple[int, list[bytes]]], bytes]:
         """Its name, its distinct words by part, and its positions."""
-        words = _Numbers()
-        tables = []
-        for keys, lead in ((self.first, ""), (self.spaced, " ")):
-            lists = [[words[w] for w in self.find(lead + k)] for k in keys]
-            sizes = np.array([len(x) for x in lists], np.int64)
-            tables.append((np.array([w for x in lists for w in x], np.uint32), sizes))
-        whole = np.array([words[w] for w in self.whole], np.uint32)
-        (first, first_n), (spaced, spaced_n) = tables
-        flat = np.concatenate([first, spaced, whole]) if len(words) else np.zeros(0, np.uint32)
-        sizes = np.concatenate([first_n, spaced_n, np.ones(len(whole), np.int64)]).astype(np.int64)
-        shift = (0, len(first_n), len(first_n) + len(spaced_n))
+        kinds = (self.first, ""), (self.spaced, " "), (self.whole, "")
+        shift = np.cumsum([0, *(len(keys) for keys, _ in kinds)])
         rows = []
         for kind, row in self.runs:
             row = row.astype(np.int64)
             if kind == 2:
-                rows.append(row + shift[2])
+                row += shift[2]
             else:
-                row[0] += shift[0]
                 row[1:] += shift[1]
-                rows.append(row)
+            rows.append(row)
+        seq = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        # Frequent pieces get low numbers, which take less room.
+        order = np.argsort(-np.bincount(seq, minlength=shift[3]), kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        words = _Numbers()
+        found = [self.find(lead + k) for keys, lead in kinds[:2] for k in keys] + [[w] for w in self.whole]
+        lists = [[words[w] for w in found[k]] for k in order.tolist()]
+        sizes = np.array([len(x) for x in lists], np.uint32)
+        flat = np.array([w for x in lists for w in x], np.uint32)
         raw = [w.encode() for w in words]
-        part = np.array([zlib.crc32(w) % parts for w in raw], np.int64)
-        order = np.lexsort((np.arange(len(raw)), part))
-        rank = np.empty(len(raw), np.uint32)
-        rank[order] = np.arange(len(raw))
+        part = np.array([zlib.crc32(w) % parts for w in raw], np.uint16)
         dealt: dict[int, list[bytes]] = {}
-        for k in order.tolist():
-            dealt.setdefault(int(part[k]), []).append(raw[k])
+        for k, w in zip(part.tolist(), raw):
+            dealt.setdefault(k, []).append(w)
         nulls = np.array([i is None for i in self.ids], np.uint8)
         ids = np.array([i or 0 for i in self.ids], np.int64)
-        seq = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        data = pack(nulls, ids, np.array([len(r) for r in rows], np.int64), planes(seq), planes(sizes), planes(rank[flat] if len(flat) else flat))
+        # Words are numbered as they come up: 0 stands for the next new one.
+        new = np.ones(len(flat), bool)
+        new[1:] = np.maximum.accumulate(flat)[:-1] < flat[1:]
+        data = pack(nulls, ids, np.array([len(r) for r in rows], np.int64), *by_high(number[seq]), planes(sizes), *by_high(np.where(new, 0, flat + 1)), planes(part))
         name = hashlib.sha1(data)
         name.update(np.array([len(w) for w in raw], np.uint32).tobytes() + b"".join(raw))
         return name.hexdigest() + f"-{len(self.ids)}", sorted(dealt.items()), data
 
 
-def open_block(data: bytes, ids: list[np.ndarray]) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(doc_id, ids) of each document of a block. ids: the block's words by part, each as (sizes, flat ids)."""
-    nulls, docs, counts, seq, sizes, words = unpack(data, np.uint8, np.int64, np.int64, np.uint8, np.uint8, np.uint8)
-    seq, sizes, words = from_planes(seq).astype(np.int64), from_planes(sizes).astype(np.int64), from_planes(words).astype(np.int64)
-    per_word = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in ids)]).astype(np.int64)
-    flat = np.concatenate([np.zeros(0, np.uint32), *(x[1] for x in ids)]).astype("<u4")
-    if len(per_word) != (words.max() + 1 if len(words) else 0):
-        raise ValueError("a block's words did not all come back: its input cannot be replayed")
+def open_block(data: bytes, ids: dict[int, list[np.ndarray]]) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids) of each document of a block. ids: the block's words by part, in their order, each as (sizes, flat ids)."""
+    nulls, docs, counts, high, low, sizes, word_high, word_low, part = unpack(data, np.uint8, np.int64, np.int64, *[np.uint8] * 6)
+    seq, sizes, part = from_high(high, low), from_planes(sizes).astype(np.int64), from_planes(part).astype(np.int64)
+    code = from_high(word_high, word_low)
+    words = np.where(code == 0, np.cumsum(code == 0), code) - 1
+    # Answers stand by part; a word's place there is its part's begin and how many of its part came before it.
+    rank = np.empty(len(part), np.int64)
+    rank[np.argsort(part, kind="stable")] = np.arange(len(part))
+    words = rank[words]
+    known = [ids[k] for k in sorted(ids)]
+    per_word = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in known)]).astype(np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint32), *(x[1] for x in known)]).astype("<u4")
+    if len(per_word) != len(part):
+        raise ValueError("a block's words did not all come back")
     starts = np.cumsum(per_word) - per_word
     # Ids of each distinct piece, then of each document.
     piece_words = np.cumsum(sizes) - sizes
@@ -180,7 +201,8 @@ def open_block(data: bytes, ids: list[np.ndarray]) -> Iterator[tuple[int | None,
         yield None if null else int(doc), spread(piece_ids, piece_start[row], piece_size[row])
 
 
-def _blocks(df: DataFrame, pattern: str, parts: int, words_only: bool) -> DataFrame:
+def _blocks(df: DataFrame, pattern: str, parts: int) -> DataFrame:
+    """A row for each block's positions (part -1) and for its words of each part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -188,18 +210,16 @@ def _blocks(df: DataFrame, pattern: str, parts: int, words_only: bool) -> DataFr
 
         def seal(block: Block) -> pa.RecordBatch:
             name, dealt, data = block.seal(parts)
-            if words_only:
-                rows = [(name, p, 0, pack(np.array([len(w) for w in ws], np.uint32), b"".join(ws))) for p, ws in dealt]
-            else:
-                rows = [(name, -1, len(dealt), data)]
-            cols = list(zip(*rows)) or [(), (), (), ()]
+            rows = [(name, -1, len(dealt), data)]
+            rows += [(name, p, 0, pack(planes(np.array([len(w) for w in ws])), b"".join(ws))) for p, ws in dealt]
+            cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["block", "part", "sub", "data"])
 
         block = Block(split)
         for part in slices(batches):
             for doc, text in zip(part.column("doc_id").to_pylist(), blobs(part.column("text"))):
                 block.add(doc, text.decode("utf-8", "replace"))
-                if block.size >= BLOCK_BYTES:
+                if block.size >= BLOCK_CHARS:
                     yield seal(block)
                     block = Block(split)
         if block.ids:
@@ -233,9 +253,9 @@ def encode(df: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str |
             for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist()):
                 if part != now:
                     known, now = {}, part  # a part's rows stand together, and no other part has its words
-                sizes, raw = unpack(data, np.uint32, np.uint8)
+                sizes, raw = unpack(data, np.uint8, np.uint8)
                 raw, at, found = raw.tobytes(), 0, []
-                for n in sizes.tolist():
+                for n in from_planes(sizes).tolist():
                     word = raw[at : at + n]
                     at += n
                     ids = known.get(word)
@@ -243,12 +263,13 @@ def encode(df: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str |
                         one = single.get(word)
                         ids = known[word] = np.array([one] if one is not None else own.encode_ordinary(word.decode()), "<u4").tobytes()
                     found.append(ids)
-                out.append(pack(np.array([len(x) // 4 for x in found], np.uint32), planes(np.frombuffer(b"".join(found), "<u4"))))
+                out.append(pack(planes(np.array([len(x) // 4 for x in found])), *by_high(np.frombuffer(b"".join(found), "<u4"))))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("part"), batch.column("sub"), pa.array(out, pa.binary())], names=["block", "part", "sub", "data"])
 
-    words = _blocks(docs, pattern, parts, True).repartition("part").sortWithinPartitions("part", "block")
+    blocks = cut(_blocks(docs, pattern, parts))
+    words = blocks.filter("part >= 0").repartition("part").sortWithinPartitions("part", "block")
     answers = arrow_map(words, lookup, _ROWS)
-    met = _blocks(docs, pattern, parts, False).unionByName(answers).repartition("block").sortWithinPartitions("block", "part")
+    met = blocks.filter("part < 0").unionByName(answers).repartition("block").sortWithinPartitions("block", "part")
 
     if digests:
         schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -258,10 +279,12 @@ def encode(df: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str |
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(table.value) if digests else None
 
-        def close(name: str, bodies: list[bytes], answers: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        def close(bodies: list[bytes], answers: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            if answers and not bodies:
+                raise ValueError("ids came back for a block that is not there")
             for body in bodies:  # alike blocks of repeated rows share a name
                 rows = []
-                for doc, ids in open_block(body, [answers[k] for k in sorted(answers)]):
+                for doc, ids in open_block(body, answers):
                     if digests:
                         rows.append((doc, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoder.bytes_of(ids)).hexdigest()))
                     else:
@@ -278,16 +301,14 @@ def encode(df: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str |
         for batch in batches:
             for name, part, data in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), batch.column("data").to_pylist()):
                 if name != now:
-                    if bodies:
-                        yield from close(now, bodies, answers)
+                    yield from close(bodies, answers)
                     now, bodies, answers = name, [], {}
                 if part < 0:
                     bodies.append(data)
                 elif part not in answers:
-                    sizes, flat = unpack(data, np.uint32, np.uint8)
-                    answers[part] = [sizes, from_planes(flat)]
-        if bodies:
-            yield from close(now, bodies, answers)
+                    sizes, high, low = unpack(data, np.uint8, np.uint8, np.uint8)
+                    answers[part] = [from_planes(sizes), from_high(high, low)]
+        yield from close(bodies, answers)
 
     return arrow_map(met, join, schema)
 
