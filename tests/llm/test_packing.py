@@ -10,7 +10,6 @@ from tidemark.llm import packing
 def test_pack(spark):
     tokenizers = pytest.importorskip("tokenizers")
     own = tokenizers.Tokenizer.from_str(packing.default_tokenizer())
-    own.encode_special_tokens = True
     rng = np.random.default_rng(4)
     texts = [None, "", "  ", "A", "don't STOP é É 12 3 x y <|endoftext|>", "word " * 9000, "x" * 6000] + [" ".join(["lorem"] * int(n)) for n in rng.integers(0, 900, 120)]
     texts += ["".join(rng.choice(list("aE' 1\n\té́😀"), 30)) for _ in range(60)]
@@ -55,7 +54,6 @@ def test_plan_uses_every_count_and_wastes_little(seed):
 def test_words_match_the_tokenizer():
     tokenizers = pytest.importorskip("tokenizers")
     own = tokenizers.Tokenizer.from_str(packing.default_tokenizer())
-    own.encode_special_tokens = True
     rng = np.random.default_rng(16)
     bits = list("abcdefghinorstuxyzABCTHÉéßñüöΣσİıœ漢字語0123456789½²'\"!?.,;:-_/|%$&*#@()[]<>=+~\u0301\u0331\u00a0\u2003\u200d\x01\x85") + ["the", "tion", "'s", "'LL", "😀", "ing", "<|endoftext|>", "ΟΔΟΣ"]
     words = ["".join(rng.choice(bits, int(rng.integers(1, 12)))) for _ in range(20000)] + ["x" * 4000, "!" * 3000, "ab" * 3000]

@@ -45,7 +45,8 @@ class Words:
 
     Words are normalised and split as the tokenizer does; its merges run in tiktoken, many words at a time. The mark of a
     word's end becomes the byte 0, merged with the byte before it at first, as the ranks of those pairs are the lowest. Words
-    with control characters go to the tokenizer itself.
+    with control characters go to the tokenizer itself. Added tokens in a text part what stands around them and have their own
+    ids, as in the library.
     """
 
     END = "\0"
@@ -61,9 +62,10 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
         plain = json.loads(spec)
+        self.added = {t["content"].encode(): np.array([t["id"]], "<u4").tobytes() for t in plain["added_tokens"]}
+        self.known: dict[bytes, bytes] = dict(self.added)
+        self.part = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or rb"(?!)")
         pattern = plain["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(f"{pattern}|\\n").findall
         suffix = plain["model"]["end_of_word_suffix"]
@@ -98,14 +100,24 @@ class Words:
             self.known[w] = raw[4 * at : 4 * end]
             at = end + 1
 
+    def _split(self, text: bytes) -> list[bytes]:
+        if not self.part.search(text):
+            return text.split()
+        out, at = [], 0
+        for m in self.part.finditer(text):
+            out += [*text[at : m.start()].split(), m[0]]
+            at = m.end()
+        return out + text[at:].split()
+
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.split() for t in texts]
+        words = [self._split(t) for t in texts]
         known = self.known
         new = set().union(*words).difference(known)
         if len(known) + len(new) > CACHE:
             known.clear()
-            new = set().union(*words)
+            known.update(self.added)
+            new = set().union(*words).difference(known)
         new = list(new)
         for at in range(0, len(new), 20_000):
             self._learn(new[at : at + 20_000])
