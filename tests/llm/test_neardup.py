@@ -65,6 +65,43 @@ def test_blocks_of_probes(spark, monkeypatch):
     check(spark, make(np.random.default_rng(7), 3, 30))
 
 
+def test_sizes_at_the_edge_of_their_classes(spark):
+    """Subsets that are linked by a hair, at many sizes: no size class parts them."""
+    rows, doc = [], 0
+    for k, n in enumerate([*range(17, 120, 3), 340, 680]):
+        words = [f"g{k}x{j}" for j in range(n + 4)]
+        for m in (-(-85 * n // 100), -(-85 * n // 100) - 1, n):
+            rows.append((doc, " ".join(words[: m + 4])))
+            doc += 1
+    check(spark, rows)
+
+
+def test_large_classes(spark):
+    """Classes with most of the rows go by the broadcast table, small ones by the shuffle."""
+    rng = np.random.default_rng(11)
+    a, b = (" ".join(rng.choice([f"w{k}" for k in range(500)], 40)) for _ in range(2))
+    check(spark, [(k, a) for k in range(200, 60, -1)] + [(k, b) for k in range(300, 400)] + [(500, a + " more"), *make(rng, 3, 4)][:40])
+
+
+def test_stage_on_repeated_rows_and_rows_without_an_id(spark):
+    text, other = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, text), (1, text), (None, text), (None, other), (None, other), (2, text + " x"), (3, None), (3, None), (None, None), (None, ""), (4, "few words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in neardup.stage(spark, docs, "").collect()))
+    assert out == [(False, 1, text), (False, 3, ""), (False, 3, ""), (False, 4, "few words"), (True, 0, ""), (True, 0, ""), (True, 0, other)]
+
+
+def test_recall_against_all_rows(spark):
+    """Queries are the rows whose id is divisible by 100: each link to any row at the threshold is found."""
+    rng = np.random.default_rng(12)
+    rows = [(k, t) for k, (_, t) in enumerate(make(rng, 40, 20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    root = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    sets = [brute_set(t) for _, t in rows]
+    links = [(q, j) for q in range(0, len(rows), 100) for j in range(len(rows)) if j != q and 100 * len(sets[q] & sets[j]) >= 85 * len(sets[q] | sets[j])]
+    assert len(links) > 10 and all(root[a] == root[b] for a, b in links)
+
+
 def test_repeated_id_with_other_texts_is_one_document(spark):
     a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
     check(spark, [(5, a), (5, b), (6, a), (7, b), (8, "z z z z z z")])
