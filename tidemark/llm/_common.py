@@ -75,12 +75,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def lowest(df: DataFrame, key: str, most: int, spare: int = 200) -> DataFrame:
+def lowest(df: DataFrame, key: str, most: int, spare: int = 20) -> DataFrame:
     """``df`` with ``h``, a hash of ``key``, less rows that cannot be among the ``most`` of lowest hash.
 
-    A sample for training takes the lowest hashes of ``df``, which comes with the sample's filters applied. Where there are far more rows than ``spare`` times the sample, a bound on
-    the hash that so many are expected to pass comes first, so what tasks send on does not grow with the input. The sample is
-    the same with and without it.
+    A sample for training takes the lowest hashes of ``df``, which comes with the sample's filters applied. Where there are
+    far more rows than ``spare`` times the sample, a bound on the hash that so many are expected to pass comes first, so what
+    tasks send on does not grow with the input. The sample is the same with and without it.
     """
     h = df.withColumn("h", F.xxhash64(key))
     n = df.count()
@@ -88,9 +88,11 @@ def lowest(df: DataFrame, key: str, most: int, spare: int = 200) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where it is unset (tests), a folder under the working directory."""
+    """The shared folder that spark.checkpoint.dir names; where it is unset, only a local session has one of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{os.path.abspath('spark-warehouse')}/checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
