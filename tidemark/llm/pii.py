@@ -23,7 +23,7 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = 5
 #: Characters of a window that is decoded, how far the next one begins, and characters of one that is trained on.
 WINDOW, STRIDE, TRAINED = 160, 128, 64
-HIDDEN, DIM, VOCAB = 16, 12, 130
+HIDDEN, DIM, VOCAB = 12, 12, 130
 #: Documents that training reads at most, the length of the longest, and the windows that are made up.
 SAMPLE, MOST_CHARS, MADE_UP = 300, 6000, 2500
 EPOCHS, BATCH = 10, 64
