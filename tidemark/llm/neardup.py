@@ -33,7 +33,7 @@ BANDS, ROWS = 30, 5
 #: Members of a bucket in one block of the exhaustive comparison, and probes in one.
 BLOCK, PROBES = 512, 256
 #: Members that are compared with one copy of their bucket's smallest.
-RUN = 1024
+RUN = 128
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
