@@ -96,4 +96,4 @@ def test_models_cluster_scores_of_whole_vectors(spark, monkeypatch):
     monkeypatch.setattr(queries.L, "hdbscan", lambda points: got.update((r.id, r.x) for r in points.collect()) or points)
     QUERIES["hdbscan_labels"](spark, DATA)
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-3) for i in want)
-    assert QUERIES["svd_loadings"](spark, DATA).count() == 3 * len(inputs.vectors(spark, DATA).first().x)
+    assert QUERIES["svd_loadings"](spark, DATA).count() == 3 * len(inputs.points(spark, DATA).first().x)

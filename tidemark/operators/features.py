@@ -57,7 +57,7 @@ def engineer(wide: DataFrame, logs: list[str], initial: list[str], final: list[s
     label = "market_code" in chosen.columns
     rows = S.lengthen(chosen.drop("market_code"))
     if label:
-        rows = rows.join(F.broadcast(chosen.select("date", "market_code")), "date").select("series", "date", "value", "market_code")
+        rows = rows.join(chosen.select("date", "market_code"), "date").select("series", "date", "value", "market_code")
     if strict:
         w = S.Window.partitionBy("series").orderBy("date").rowsBetween(S.Window.unboundedPreceding, 0)
         filled = rows.withColumn("value", F.last("value", ignorenulls=True).over(w))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .blocks import numbered
 from .regimes import canonical
 
 MOST_ROWS = 20_000
@@ -26,7 +27,7 @@ def standardize(points: DataFrame) -> DataFrame:
     """Coordinates less their mean over their population deviation; a constant coordinate is divided by 1."""
     flat = points.select("id", F.posexplode("x").alias("i", "v"))
     m = flat.groupBy("i").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("dev"))
-    rows = flat.join(F.broadcast(m), "i").select("id", "i", ((F.col("v") - F.col("mean")) / F.when(F.col("dev") == 0, 1.0).otherwise(F.col("dev"))).alias("z"))
+    rows = flat.join(m, "i").select("id", "i", ((F.col("v") - F.col("mean")) / F.when(F.col("dev") == 0, 1.0).otherwise(F.col("dev"))).alias("z"))
     back = rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "z"))), lambda s: s["z"]).alias("x"))
     return points.drop("x").join(back, "id")
 
@@ -48,7 +49,7 @@ def explained(points: DataFrame, n: int = 5) -> list[float]:
 
 def kmeans(points: DataFrame, k: int, seeds: int = 5) -> DataFrame:
     """(id, label) of the cheapest of several starts, numbered by the mean of the first coordinate."""
-    rows = points.select("id", F.col("x")[0].alias("pc1"), array_to_vector("x").alias("features")).persist()
+    rows = points.select("id", F.col("x")[0].alias("pc1"), array_to_vector("x").alias("features"))
     fits = [KMeans(k=k, seed=s, maxIter=50).fit(rows) for s in range(seeds)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     out = canonical(best.transform(rows).select("id", "pc1", F.col("prediction").alias("label"))).select("id", "label")
@@ -74,6 +75,8 @@ def _matrix(points: DataFrame) -> tuple[list, np.ndarray]:
     rows = points.select("id", "x").orderBy("id").limit(MOST_ROWS + 1).collect()
     if len(rows) > MOST_ROWS:
         raise ValueError(f"at most {MOST_ROWS} points")
+    if not rows:
+        raise ValueError("no points")
     return [r.id for r in rows], np.array([r.x for r in rows], float)
 
 
@@ -428,7 +431,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """``weight``: n / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     whole = counts.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
-    return df.join(F.broadcast(counts), label).crossJoin(F.broadcast(whole)).withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")
+    return df.join(counts, label).crossJoin(F.broadcast(whole)).withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")
 
 
 def train_classifier(df: DataFrame, kind: str = "rf", trees: int = 200, depth: int | None = None, balanced: bool = True, seed: int = 42):
@@ -455,8 +458,9 @@ def predict_current(model, df: DataFrame) -> DataFrame:
 
 def forward_targets(df: DataFrame, horizon: int, label: int) -> DataFrame:
     """``label`` becomes whether the regime ``horizon`` rows later is the given one; rows without such a row go."""
-    w = Window.orderBy("date")
-    return df.withColumn("_ahead", F.lead("label", horizon).over(w)).filter("_ahead is not null").withColumn("label", (F.col("_ahead") == label).cast("int")).drop("_ahead")
+    rows = numbered(df, "date")
+    ahead = rows.filter("label is not null").select((F.col("_rn") - horizon).alias("_rn"), F.col("label").alias("_ahead"))
+    return rows.join(ahead, "_rn").withColumn("label", (F.col("_ahead") == label).cast("int")).select(*df.columns)
 
 
 def train_forward(df: DataFrame, horizons: tuple[int, ...] = (1, 2, 4, 8), trees: int = 50, depth: int = 30) -> dict:

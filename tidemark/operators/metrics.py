@@ -1,24 +1,17 @@
 """Quality of clusterings and classifiers. Points are (id, label, x array<double>); noise has label -1.
 
-Measures over pairs compare every point with every other, which is what they are defined by; they refuse more than
-``MOST_POINTS`` points and broadcast at most so many. Measures over centres take any number of points.
+Measures over pairs compare every point with every other, which is what they are defined by, in blocks of fixed size, and
+take any number of points, as measures over centres do.
 """
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance, squared_distance
-
-MOST_POINTS = 50_000
-
-
-def bounded(points: DataFrame, most: int = MOST_POINTS) -> DataFrame:
-    n = points.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"{most} points at most can be compared in pairs")
-    return points
-
+from .blocks import all_blocks, distances, matrix, numbered
 
 def _mean_vector(x: str = "x") -> Column:
     return F.avg(x)
@@ -31,20 +24,26 @@ def centers(points: DataFrame) -> DataFrame:
 
 
 def inertia(points: DataFrame) -> DataFrame:
-    own = points.join(F.broadcast(centers(points)), "label")
+    own = points.join(centers(points), "label")
     return own.agg(F.sum(squared_distance(F.col("x"), F.col("c"))).alias("inertia"))
 
 
 def silhouettes(points: DataFrame) -> DataFrame:
     """(id, label, s): Euclidean; 0 where a label has one point."""
-    own = bounded(points)
-    other = own.select(F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("x").alias("x2"))
-    means = own.crossJoin(F.broadcast(other)).groupBy("id", "label", "label2").agg(F.sum(distance(F.col("x"), F.col("x2"))).alias("s"), F.count("*").alias("n"))
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found, which = np.unique(b.label.to_numpy(), return_inverse=True)
+        s = distances(matrix(a.x), matrix(b.x)) @ np.eye(len(found))[which]
+        n = np.bincount(which)
+        return pd.DataFrame({"id": np.repeat(a.id.to_numpy(), len(found)), "label": np.repeat(a.label.to_numpy(), len(found)), "label2": np.tile(found, len(a)), "s": s.ravel(), "n": np.tile(n, len(a))})
+
+    parts = all_blocks(points.select("id", "label", "x"), sums, "id long, label long, label2 long, s double, n long")
+    means = parts.groupBy("id", "label", "label2").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     inner = F.max(F.when(F.col("label") == F.col("label2"), F.try_divide(F.col("s"), F.col("n") - 1)))
     size = F.max(F.when(F.col("label") == F.col("label2"), F.col("n")))
     outer = F.min(F.when(F.col("label") != F.col("label2"), F.col("s") / F.col("n")))
     rows = means.groupBy("id", "label").agg(inner.alias("a"), outer.alias("b"), size.alias("n"))
-    return rows.select("id", "label", F.when(F.col("n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("s"))
+    return rows.select("id", "label", F.when(F.col("n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("s")).withColumn("label", F.col("label").cast(points.schema["label"].dataType))
 
 
 def calinski_harabasz(points: DataFrame) -> DataFrame:
@@ -58,7 +57,7 @@ def calinski_harabasz(points: DataFrame) -> DataFrame:
 
 def davies_bouldin(points: DataFrame) -> DataFrame:
     c = centers(points)
-    spread = points.join(F.broadcast(c), "label").groupBy("label", "c").agg(F.avg(distance(F.col("x"), F.col("c"))).alias("s"))
+    spread = points.join(c, "label").groupBy("label", "c").agg(F.avg(distance(F.col("x"), F.col("c"))).alias("s"))
     a, b = spread.select("label", "s", "c"), spread.select(F.col("label").alias("l2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
     pairs = a.crossJoin(F.broadcast(b)).filter("label <> l2")
     worst = pairs.groupBy("label").agg(F.max(F.coalesce(F.try_divide(F.col("s") + F.col("s2"), distance(F.col("c"), F.col("c2"))), F.lit(0.0))).alias("r"))
@@ -102,7 +101,7 @@ def compare_methods(points: DataFrame, labels: DataFrame) -> DataFrame:
 def confusion(df: DataFrame) -> DataFrame:
     """(actual, predicted, n) on the dense grid of all classes."""
     ids = df.select(F.col("actual").alias("c")).union(df.select("predicted")).distinct()
-    grid = ids.select(F.col("c").alias("actual")).crossJoin(F.broadcast(ids.select(F.col("c").alias("predicted"))))
+    grid = ids.select(F.col("c").alias("actual")).crossJoin(ids.select(F.col("c").alias("predicted")))
     counts = df.groupBy("actual", "predicted").agg(F.count("*").alias("n"))
     return grid.join(counts, ["actual", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
@@ -130,7 +129,7 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def time_series_split(df: DataFrame, splits: int = 5, order: str = "date") -> DataFrame:
     """(fold, role, …): test blocks of n // (splits + 1) rows at the end, each trained on all rows before it."""
-    rows = df.withColumn("_rn", F.row_number().over(Window.orderBy(order)) - 1)
+    rows = numbered(df, order)
     size = rows.agg(F.count("*").alias("_n"))
     folds = rows.crossJoin(F.broadcast(size)).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(splits))))
     test = F.floor(F.col("_n") / (splits + 1))
@@ -141,9 +140,9 @@ def time_series_split(df: DataFrame, splits: int = 5, order: str = "date") -> Da
 
 def holdout(df: DataFrame, share: float = 0.2, order: str = "date") -> DataFrame:
     """``role``: the last ceil(share * n) rows are test rows."""
-    rows = df.withColumn("_rn", F.row_number().over(Window.orderBy(order)))
+    rows = numbered(df, order)
     size = rows.agg(F.count("*").alias("_n"))
-    return rows.crossJoin(F.broadcast(size)).withColumn("role", F.when(F.col("_rn") <= F.col("_n") - F.ceil(F.col("_n") * share), "train").otherwise("test")).select("role", *df.columns)
+    return rows.crossJoin(F.broadcast(size)).withColumn("role", F.when(F.col("_rn") < F.col("_n") - F.ceil(F.col("_n") * share), "train").otherwise("test")).select("role", *df.columns)
 
 
 def optimal_gap_k(scores: DataFrame) -> DataFrame:

@@ -15,14 +15,14 @@ def quarterly_returns(prices: DataFrame, tie: str | None = None) -> DataFrame:
 
 def return_stats(returns: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, asset, median, hit_rate, n) over the returns that are known."""
-    both = returns.filter("value is not null").join(F.broadcast(labels.filter("label is not null")), "date")
+    both = returns.filter("value is not null").join(labels.filter("label is not null"), "date")
     hit = F.when(F.col("value") > 0, 1.0).otherwise(0.0)
     return both.groupBy("label", F.col("series").alias("asset")).agg(F.median("value").alias("median"), F.avg(hit).alias("hit_rate"), F.count("*").alias("n"))
 
 
 def return_moments(returns: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, asset, mean, median, std, n): the older table."""
-    both = returns.filter("value is not null").join(F.broadcast(labels.filter("label is not null")), "date")
+    both = returns.filter("value is not null").join(labels.filter("label is not null"), "date")
     return both.groupBy("label", F.col("series").alias("asset")).agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_samp("value").alias("std"), F.count("*").alias("n"))
 
 
@@ -56,7 +56,7 @@ def blended_portfolio(ranked: DataFrame, probs: DataFrame, top: int = 3) -> Data
     likely = probs.filter("prob > 0")
     best = ranked.filter(F.col("rank") <= top)
     share = F.col("prob") / F.count("*").over(Window.partitionBy("label"))
-    raw = best.join(F.broadcast(likely), "label").withColumn("w", share).groupBy("asset").agg(F.sum("w").alias("w"))
+    raw = best.join(likely, "label").withColumn("w", share).groupBy("asset").agg(F.sum("w").alias("w"))
     total = raw.agg(F.sum("w").alias("t"))
     return raw.crossJoin(F.broadcast(total)).select("asset", (F.col("w") / F.col("t")).alias("weight")).filter("weight > 0")
 

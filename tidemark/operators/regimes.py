@@ -48,10 +48,10 @@ def suggest_names(features: DataFrame, labels: DataFrame, rules: tuple = NAME_RU
     """
     spark = features.sparkSession
     table = spark.createDataFrame([(k, *r) for k, r in enumerate(rules)], "rank int, series string, high string, low string, off double")
-    own = align(features.join(F.broadcast(table.select("series")), "series", "left_semi"), labels)
+    own = align(features.join(table.select("series"), "series", "left_semi"), labels)
     overall = own.groupBy("series").agg(F.median("value").alias("g"))
     inside = own.groupBy("label", "series").agg(F.median("value").alias("m"))
-    both = inside.join(F.broadcast(overall.filter("g <> 0")), "series").join(F.broadcast(table), "series")
+    both = inside.join(overall.filter("g <> 0"), "series").join(table, "series")
     tag = F.when(F.col("m") > F.col("g") * (1 + F.col("off")), F.col("high")).when(F.col("m") < F.col("g") * (1 - F.col("off")), F.col("low"))
     tagged = both.withColumn("tag", tag).filter("tag is not null").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rank", "tag"))).alias("tags"))
     words = F.slice(F.array_distinct(F.transform("tags", lambda x: x["tag"])), 1, most)
@@ -91,7 +91,7 @@ def _in_order(labels: DataFrame) -> Window:
 
 def _grid(known: DataFrame) -> DataFrame:
     ids = known.select("label").distinct()
-    return ids.select(F.col("label").alias("from_label")).crossJoin(F.broadcast(ids.select(F.col("label").alias("to_label"))))
+    return ids.select(F.col("label").alias("from_label")).crossJoin(ids.select(F.col("label").alias("to_label")))
 
 
 def transition_matrix(labels: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def transition_matrix(labels: DataFrame) -> DataFrame:
     known = labels.filter("label is not null")
     steps = known.select(F.col("label").alias("from_label"), F.lead("label").over(_in_order(known)).alias("to_label")).filter("to_label is not null")
     counts = steps.groupBy("from_label", "to_label").agg(F.count("*").alias("n"))
-    dense = _grid(known).join(F.broadcast(counts), ["from_label", "to_label"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    dense = _grid(known).join(counts, ["from_label", "to_label"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     total = F.sum("n").over(Window.partitionBy("from_label"))
     return dense.withColumn("prob", F.col("n") / F.when(total == 0, 1).otherwise(total))
 
@@ -110,7 +110,7 @@ def forward_probabilities(labels: DataFrame, horizon: int) -> DataFrame:
     known = labels.filter("label is not null")
     ahead = known.select("label", F.collect_set("label").over(w.rowsBetween(1, horizon)).alias("seen"), F.lead("label", horizon).over(w).alias("last")).filter("last is not null")
     ids = known.select(F.col("label").alias("to_label")).distinct()
-    both = ahead.crossJoin(F.broadcast(ids))
+    both = ahead.crossJoin(ids)
     hit = F.expr("case when array_contains(seen, to_label) then 1.0D else 0.0D end")
     return both.groupBy(F.col("label").alias("from_label"), "to_label").agg(F.avg(hit).alias("prob"))
 
@@ -119,7 +119,7 @@ def canonical(points: DataFrame, by: str = "pc1") -> DataFrame:
     """(…, label): labels renumbered from 0 by the mean of ``by``; noise (-1) stays. Ties go by the old number."""
     means = points.filter("label >= 0").groupBy("label").agg(F.avg(by).alias("m"))
     ranked = means.select("label", (F.row_number().over(Window.orderBy("m", "label")) - 1).alias("_new"))
-    return points.join(F.broadcast(ranked), "label", "left").withColumn("label", F.coalesce("_new", "label").cast("int")).drop("_new")
+    return points.join(ranked, "label", "left").withColumn("label", F.coalesce("_new", "label").cast("int")).drop("_new")
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:

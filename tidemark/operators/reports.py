@@ -1,9 +1,11 @@
 """Sinks for people: CSV files, names, the console dashboard, and frames that plots read."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import numbered
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """One file with a header; for tables of a few rows."""
@@ -35,7 +37,7 @@ def dashboard(current: int, names: dict[int, str], probs: DataFrame, transitions
 def coverage_matrix(df: DataFrame, most: int = 50) -> DataFrame:
     """(series, date, known 0/1) of the first series by name."""
     first = df.select("series").distinct().orderBy("series").limit(most)
-    return df.join(F.broadcast(first), "series", "left_semi").select("series", "date", F.col("value").isNotNull().cast("int").alias("known"))
+    return df.join(first, "series", "left_semi").select("series", "date", F.col("value").isNotNull().cast("int").alias("known"))
 
 
 def timeline(labels: DataFrame, days: int = 92, colors: int = 5) -> DataFrame:
@@ -60,16 +62,15 @@ def return_histograms(returns: DataFrame, labels: DataFrame, bins: int = 15, lea
     """Densities of returns by regime and asset, where there are ``least`` of them."""
     from .stats import histogram
 
-    own = returns.filter("value is not null").join(F.broadcast(labels.filter("label is not null")), "date")
+    own = returns.filter("value is not null").join(labels.filter("label is not null"), "date")
     enough = own.groupBy("label", "series").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("label", "series")
-    return histogram(own.join(F.broadcast(enough), ["label", "series"], "left_semi"), bins, ("label", "series"))
+    return histogram(own.join(enough, ["label", "series"], "left_semi"), bins, ("label", "series"))
 
 
 def zip_by_position(a: DataFrame, b: DataFrame, order: str = "date") -> DataFrame:
-    """Rows paired by their place in order, cut to the shorter frame; for old results that were aligned so. Small frames only."""
-    w = Window.orderBy(order)
-    left = a.withColumn("_i", F.row_number().over(w))
-    right = b.withColumnsRenamed({c: f"{c}_2" for c in b.columns}).withColumn("_i", F.row_number().over(Window.orderBy(f"{order}_2")))
+    """Rows paired by their place in order, cut to the shorter frame; for old results that were aligned so."""
+    left = numbered(a, order, name="_i")
+    right = numbered(b.withColumnsRenamed({c: f"{c}_2" for c in b.columns}), f"{order}_2", name="_i")
     return left.join(right, "_i").drop("_i")
 
 

@@ -1,9 +1,11 @@
 """Descriptive statistics of long frames, and what plots need."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import numbered
+
 
 def coverage(df: DataFrame) -> DataFrame:
     """(series, n_valid, n_total, pct)."""
@@ -25,7 +27,7 @@ def correlations(df: DataFrame, n: int = 40) -> DataFrame:
 
     One join on the date: n values a date meet each other, and n is bounded.
     """
-    own = df.filter("value is not null").join(F.broadcast(top_variance(df, n).select("series")), "series", "left_semi")
+    own = df.filter("value is not null").join(top_variance(df, n).select("series"), "series", "left_semi")
     a, b = own.select("date", F.col("series").alias("a"), F.col("value").alias("x")), own.select("date", F.col("series").alias("b"), F.col("value").alias("y"))
     return a.join(b, "date").groupBy("a", "b").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
 
@@ -36,18 +38,18 @@ def histogram(df: DataFrame, bins: int = 30, by: tuple[str, ...] = ("series",))
     span = known.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("total"))
     wide = F.col("hi") - F.col("lo")
     k = F.when(wide == 0, 1).otherwise(F.least(F.floor(F.try_divide((F.col("value") - F.col("lo")) * bins, wide)) + 1, F.lit(bins))).cast("int")
-    rows = known.join(F.broadcast(span), list(by)).withColumn("bin", k).groupBy(*by, "bin", "lo", "hi", "total").agg(F.count("*").alias("n"))
+    rows = known.join(span, list(by)).withColumn("bin", k).groupBy(*by, "bin", "lo", "hi", "total").agg(F.count("*").alias("n"))
     step = (F.col("hi") - F.col("lo")) / bins
     return rows.select(*by, "bin", (F.col("lo") + (F.col("bin") - 1) * step).alias("low"), "n", F.try_divide(F.col("n"), F.col("total") * step).alias("density"))
 
 
 def box_stats(features: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, series, q25, q50, q75, low, high): whiskers reach the furthest value within 1.5 quartile ranges."""
-    own = features.filter("value is not null").join(F.broadcast(labels.filter("label is not null")), "date")
+    own = features.filter("value is not null").join(labels.filter("label is not null"), "date")
     q = own.groupBy("label", "series").agg(F.percentile("value", [0.25, 0.5, 0.75]).alias("q"))
     q = q.select("label", "series", *(F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))))
     reach = 1.5 * (F.col("q75") - F.col("q25"))
-    inside = own.join(F.broadcast(q), ["label", "series"]).filter((F.col("value") >= F.col("q25") - reach) & (F.col("value") <= F.col("q75") + reach))
+    inside = own.join(q, ["label", "series"]).filter((F.col("value") >= F.col("q25") - reach) & (F.col("value") <= F.col("q75") + reach))
     return inside.groupBy("label", "series", "q25", "q50", "q75").agg(F.min("value").alias("low"), F.max("value").alias("high"))
 
 
@@ -61,4 +63,4 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def pages(df: DataFrame, per_page: int = 8) -> DataFrame:
     """Series in name order, so many a page."""
     ids = df.select("series").distinct()
-    return ids.withColumn("page", F.floor((F.row_number().over(Window.orderBy("series")) - 1) / per_page).cast("int"))
+    return numbered(ids, "series").select("series", F.floor(F.col("_rn") / per_page).cast("int").alias("page"))

@@ -93,21 +93,15 @@ def gapped(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("value", F.when((number + place) % 5 != 0, F.col("value")))
 
 
-#: Points: the first five coordinates of all vectors.
-SQL_POINTS = "pts as (select vec_id as id, label, embedding[1:5]::double[] as x from embeddings)"
+#: Points: all coordinates of all vectors.
+SQL_POINTS = "pts as (select vec_id as id, label, embedding::double[] as x from embeddings)"
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), "label", F.transform(F.slice("embedding", 1, 5), lambda v: v.cast("double")).alias("x"))
-
-
-def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """All coordinates."""
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
     """What models without SQL cluster: scores of all vectors on their first five principal axes."""
     ensure_checkpoint_dir(spark)
-    return L.pca(vectors(spark, d), 5).checkpoint()
+    return L.pca(points(spark, d), 5).checkpoint()

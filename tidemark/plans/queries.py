@@ -269,7 +269,7 @@ def date_filter(s, d):
 
 @query(f"with {I.SQL_RETURNS}, {I.SQL_LABELS} select series, date, round(value, 6) as value, label from r left join (select * from labels_q where label <> 2) using (date)")
 def left_align_labels(s, d):
-    return rounded(I.returns(s, d).join(F.broadcast(I.labels(s, d).filter("label <> 2")), "date", "left").select("series", "date", "value", "label"))
+    return rounded(I.returns(s, d).join(I.labels(s, d).filter("label <> 2"), "date", "left").select("series", "date", "value", "label"))
 
 
 @query(f"with {I.SQL_RETURNS}, {I.SQL_LABELS} select series, date, round(value, 6) as value from r where date in (select date from labels_q where label = 1)")
@@ -515,13 +515,13 @@ def series_pages(s, d):
 # Measures of clusterings and classifiers.
 
 _P = I.SQL_POINTS
-_SQL_CENTERS = """fl as (select id, label, unnest(x) as v, unnest(range(1, 6)) as i from pts), ce as (select label, list(m order by i) as c, max(n) as n from (select label, i, avg(v) as m, count(*) as n from fl group by 1, 2) group by 1)"""
+_SQL_CENTERS = """fl as (select id, label, unnest(x) as v, unnest(range(1, len(x) + 1)) as i from pts), ce as (select label, list(m order by i) as c, max(n) as n from (select label, i, avg(v) as m, count(*) as n from fl group by 1, 2) group by 1)"""
 
 
-@query(f"with {_P}, fl as (select id, unnest(x) as v, unnest(range(1, 6)) as i from pts), z as (select id, i, (v - avg(v) over (partition by i)) / coalesce(nullif(stddev_pop(v) over (partition by i), 0), 1) as z from fl) select id, " + ", ".join(f"round(max(z) filter (i = {k}), 5) + 0.0 as z{k}" for k in range(1, 6)) + " from z group by 1")
+@query(f"with {_P}, fl as (select id, unnest(x) as v, unnest(range(1, len(x) + 1)) as i from pts) select id, cast(i - 1 as int) as i, round((v - avg(v) over (partition by i)) / coalesce(nullif(stddev_pop(v) over (partition by i), 0), 1), 5) + 0.0 as z from fl")
 def standardize_pop(s, d):
     z = L.standardize(I.points(s, d).select("id", "x"))
-    return rounded(z.select("id", *(F.col("x")[k - 1].alias(f"z{k}") for k in range(1, 6))), 5)
+    return rounded(z.select("id", F.posexplode("x").alias("i", "z")), 5)
 
 
 @query(f"with {_P}, {_SQL_CENTERS} select round(sum(pow(list_distance(x, c), 2)), 4) as inertia from pts join ce using (label)")
@@ -593,7 +593,7 @@ def knn_distances(s, d):
     return rounded(D.knn_distances(I.points(s, d)))
 
 
-_EPS = 1.0
+_EPS = 1.2
 
 
 @query(
@@ -659,7 +659,7 @@ def agreement_rate(s, d):
     return rounded(M.agreement(p, p.select("id", (F.col("id") % 10).alias("label"))))
 
 
-_SQL_SCORES = "sc as (select * from (select r_regionkey + 2 as k, length(r_name) * 0.1 as gap, 0.05 as s, 100.0 / (r_regionkey + 1) as inertia, ((r_regionkey * 3) % 4) * 0.1 as silhouette from region))"
+_SQL_SCORES = "sc as (select * from (select r_regionkey + 2 as k, cast(length(r_name) * 0.1 as double) as gap, cast(0.05 as double) as s, cast(100.0 / (r_regionkey + 1) as double) as inertia, cast(((r_regionkey * 3) % 4) * 0.1 as double) as silhouette from region))"
 
 
 def _scores(s, d):
@@ -848,7 +848,7 @@ def hdbscan_labels(s, d):
 
 @query()
 def svd_loadings(s, d):
-    return rounded(L.loadings(I.vectors(s, d), 3), 4)
+    return rounded(L.loadings(I.points(s, d), 3), 4)
 
 
 @query()

@@ -34,8 +34,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder that spark.checkpoint.dir names; only where it is unset, one under the working directory."""
+    """The folder that spark.checkpoint.dir names; where it is unset, only a local session has one of its own."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{os.path.abspath('spark-warehouse')}/checkpoints"
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = f"file://{os.path.abspath('spark-warehouse')}/checkpoints"
     spark.sparkContext.setCheckpointDir(where)
