@@ -28,6 +28,7 @@ class Checkpoints:
         kept = self.load(name)
         ends = [F.min(index).cast("string").alias("a"), F.max(index).cast("string").alias("b")] if index in kept.columns else [F.lit(None).alias("a"), F.lit(None).alias("b")]
         row = kept.agg(F.count("*").alias("n"), *ends).first()
+        # The keys are fixed values: readers of manifests know these names.
         meta = {"name": name, "created": datetime.now().isoformat(), "config_hash": self.config_hash, "rows": row.n, "columns": len(kept.columns), "col_names": kept.columns, "index_start": row.a, "index_end": row.b}
         out = self._fs().create(self._path(f"{name}.meta.json"), True)
         out.write(bytearray(json.dumps(meta).encode()))
@@ -75,8 +76,19 @@ class Checkpoints:
         found = [self.meta(n.removesuffix(".meta.json")) for n in names if n.endswith(".meta.json")]
         return sorted((m for m in found if m), key=lambda m: m["created"])
 
+    def summary(self) -> DataFrame:
+        """(name, created, shape, config_hash) of all that can be read, by age."""
+        rows = [(m["name"], m["created"][:19], f"{m.get('rows', '?')}x{m.get('columns', '?')}", m.get("config_hash", "?")) for m in self.list()]
+        return self.spark.createDataFrame(rows, "name string, created string, shape string, config_hash string")
+
+    def save_both(self, df: DataFrame, name: str, index: str = "date") -> dict:
+        """A table, and the same rows as CSV beside it for people."""
+        meta = self.save(df, name, index)
+        self.load(name).write.mode("overwrite").option("header", True).csv(f"{self.folder}/{name}.csv")
+        return meta
+
     def clear(self, name: str) -> None:
-        for tail in (".parquet", ".meta.json"):
+        for tail in (".parquet", ".meta.json", ".csv"):
             self._fs().delete(self._path(name + tail), True)
 
     def clear_all(self) -> None:

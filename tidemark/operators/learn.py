@@ -16,11 +16,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ensure_checkpoint_dir, ship
 from .blocks import numbered
 from .regimes import canonical
 
 MOST_ROWS = 20_000
+#: Bytes of a dense square matrix, which spectral clustering takes apart.
+MOST_BYTES = 1 << 30
 
 
 def standardize(points: DataFrame) -> DataFrame:
@@ -47,6 +49,41 @@ def explained(points: DataFrame, n: int = 5) -> list[float]:
     return PCA(k=n, inputCol="v", outputCol="s").fit(scaled.select(array_to_vector("x").alias("v"))).explainedVariance.toArray().tolist()
 
 
+def gram(points: DataFrame) -> np.ndarray:
+    """Sums over points of products of two coordinates: each task sums its own, a row a coordinate is shuffled."""
+
+    def part(batches):
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                x = np.array([np.asarray(v, float) for v in pdf.x])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "g": total.ravel()})
+
+    ship(points.sparkSession)
+    sums = points.select("x").mapInPandas(part, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).collect()
+    if not sums:
+        raise ValueError("no points")
+    n = max(r.i for r in sums) + 1
+    out = np.zeros((n, n))
+    for r in sums:
+        out[r.i, r.j] = r.g
+    return out
+
+
+def svd_scores(points: DataFrame, n: int = 5) -> DataFrame:
+    """(id, pca, svd): scores on the first ``n`` principal axes, and left singular vectors times singular values of the
+    standardised matrix, by the eigenvectors of its Gram matrix; each axis points as in ``pca``."""
+    scaled = standardize(points.select("id", "x")).select("id", "x")
+    axes = np.linalg.eigh(gram(scaled))[1][:, ::-1][:, :n]
+    axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1.0, 1.0)
+    dot = lambda a: F.aggregate(F.zip_with("x", F.array(*map(F.lit, a.tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    own = scaled.select("id", F.array(*(dot(axes[:, k]) for k in range(axes.shape[1]))).alias("svd"))
+    return pca(points.select("id", "x"), n).withColumnRenamed("x", "pca").join(own, "id").select("id", "pca", "svd")
+
+
 def kmeans(points: DataFrame, k: int, seeds: int = 5) -> DataFrame:
     """(id, label) of the cheapest of several starts, numbered by the mean of the first coordinate."""
     rows = points.select("id", F.col("x")[0].alias("pc1"), array_to_vector("x").alias("features"))
@@ -80,6 +117,19 @@ def _matrix(points: DataFrame) -> tuple[list, np.ndarray]:
     return [r.id for r in rows], np.array([r.x for r in rows], float)
 
 
+def _labels_in_task(points: DataFrame, ids: list, x: np.ndarray, fit) -> DataFrame:
+    """(id, label, pc1) by ``fit(x)``, which runs in a task, not in the driver."""
+    data = points.sparkSession.sparkContext.broadcast((ids, x))
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                own, values = data.value
+                yield pd.DataFrame({"id": own, "label": np.asarray(fit(values), int), "pc1": values[:, 0]})
+
+    return points.sparkSession.range(1, numPartitions=1).mapInPandas(run, "id long, label int, pc1 double").checkpoint()
+
+
 def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, assign=None, rounds: int = 100) -> tuple[np.ndarray, float]:
     """k-means++ start, then assignment and means in turn; (labels, inertia)."""
     c = x[[rng.integers(len(x))]]
@@ -259,35 +309,42 @@ def spectral(points: DataFrame, k: int, neighbors: int = 10, starts: int = 10) -
     """(id, label): leading eigenvectors of the normalised affinity, then k-means; numbered by the first coordinate."""
     from .density import affinity
 
-    spark = points.sparkSession
+    ensure_checkpoint_dir(points.sparkSession)
     ids, x = _matrix(points)
+    if 8 * len(ids) ** 2 > MOST_BYTES:
+        raise ValueError(f"a matrix of {len(ids)} by {len(ids)} is over {MOST_BYTES} bytes")
     place = {i: n for n, i in enumerate(ids)}
-    a = np.zeros((len(ids), len(ids)))
-    for r in affinity(points, neighbors).collect():  # at most 2 * neighbors edges for each of MOST_ROWS points
-        a[place[r.id], place[r.other]] = r.w
-    root = 1 / np.sqrt(a.sum(1))
-    _, vectors = np.linalg.eigh(a * root[:, None] * root)
-    embedded = vectors[:, -k:] * root[:, None]
-    labels, _ = min((lloyd(embedded, k, np.random.default_rng(s)) for s in range(starts)), key=lambda f: f[1])
-    return canonical(spark.createDataFrame(list(zip(ids, labels.tolist(), x[:, 0].tolist())), "id long, label int, pc1 double")).select("id", "label")
+    edges = np.array([(place[r.id], place[r.other], r.w) for r in affinity(points, neighbors).collect()])  # at most 2 * neighbors for each of MOST_ROWS points
+
+    def fit(values: np.ndarray) -> np.ndarray:
+        a = np.zeros((len(values), len(values)))
+        a[edges[:, 0].astype(int), edges[:, 1].astype(int)] = edges[:, 2]
+        root = 1 / np.sqrt(a.sum(1))
+        _, vectors = np.linalg.eigh(a * root[:, None] * root)
+        embedded = vectors[:, -k:] * root[:, None]
+        return min((lloyd(embedded, k, np.random.default_rng(s)) for s in range(starts)), key=lambda f: f[1])[0]
+
+    return canonical(_labels_in_task(points, ids, x, fit)).select("id", "label")
 
 
 def hdbscan_labels(x: np.ndarray, min_size: int = 15) -> np.ndarray:
-    """Excess-of-mass clusters of the condensed tree over mutual reachability; -1 is noise."""
+    """Excess-of-mass clusters of the condensed tree over mutual reachability; -1 is noise. Memory grows with the points, not
+    with their pairs: a row of distances at a time."""
     n = len(x)
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
-    core = np.sort(d, 1)[:, min(min_size, n) - 1]
-    reach = np.maximum(d, np.maximum(core[:, None], core))
+    away = lambda i: np.sqrt(((x - x[i]) ** 2).sum(1))
+    nth = min(min_size, n) - 1
+    core = np.array([np.partition(away(i), nth)[nth] for i in range(n)])
     # Prim's tree.
     near, source, done, edges = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), []
     at = 0
     for _ in range(n - 1):
         done[at] = True
-        closer = reach[at] < near
-        near[closer], source[closer] = reach[at][closer], at
+        reach = np.maximum(away(at), np.maximum(core[at], core))
+        closer = reach < near
+        near[closer], source[closer] = reach[closer], at
         at = int(np.where(done, np.inf, near).argmin())
         edges.append((near[at], source[at], at))
-    parent, members, children = list(range(n)), {i: [i] for i in range(n)}, {}
+    parent, size, children = list(range(n)), [1] * n, {}
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -300,14 +357,15 @@ def hdbscan_labels(x: np.ndarray, min_size: int = 15) -> np.ndarray:
         a, b, top = find(a), find(b), top + 1
         parent[a] = parent[b] = top
         parent.append(top)
-        members[top], children[top] = members[a] + members[b], (a, b, w)
+        size.append(size[a] + size[b])
+        children[top] = (a, b, w)
     labels, stability, tree, points_of = np.full(n, -1), {}, {}, {}
     # Condense: a cluster lives on while only one side of a split is large enough.
     stack, count = [(top, 0.0, None)] if n > 1 else [], 0
     while stack:
         node, birth, up = stack.pop()
         me, count = count, count + 1
-        points_of[me], tree[me], total = members[node], [], 0.0
+        points_of[me], tree[me], total = node, [], 0.0
         if up is not None:
             tree[up].append(me)
         while True:
@@ -315,12 +373,12 @@ def hdbscan_labels(x: np.ndarray, min_size: int = 15) -> np.ndarray:
                 break
             a, b, w = children[node]
             lam = 1 / w if w > 0 else 1e12
-            big = [c for c in (a, b) if len(members[c]) >= min_size]
+            big = [c for c in (a, b) if size[c] >= min_size]
             if len(big) == 1:
-                total += (lam - birth) * (len(members[node]) - len(members[big[0]]))
+                total += (lam - birth) * (size[node] - size[big[0]])
                 node = big[0]
             else:
-                total += (lam - birth) * len(members[node])
+                total += (lam - birth) * size[node]
                 stack += [(c, lam, me) for c in big]
                 break
         stability[me] = total
@@ -338,28 +396,45 @@ def hdbscan_labels(x: np.ndarray, min_size: int = 15) -> np.ndarray:
                 chosen[k] = False
                 under += tree[k]
     for label, c in enumerate(sorted(c for c in chosen if chosen[c])):
-        labels[points_of[c]] = label
+        under = [points_of[c]]
+        while under:
+            node = under.pop()
+            if node < n:
+                labels[node] = label
+            else:
+                under += children[node][:2]
     return labels
 
 
 def hdbscan(points: DataFrame, min_size: int = 15) -> DataFrame:
+    """(id, label), -1 for noise."""
+    ensure_checkpoint_dir(points.sparkSession)
     ids, x = _matrix(points)
-    return points.sparkSession.createDataFrame(list(zip(ids, hdbscan_labels(x, min_size).tolist())), "id long, label int")
+    return _labels_in_task(points, ids, x, lambda values: hdbscan_labels(values, min_size)).select("id", "label")
 
 
 def optimize_components(points: DataFrame, ns: range = range(3, 11), k: int = 5, seeds: int = 3) -> DataFrame:
-    """(n, silhouette, inertia) of k-means on the first n axes; n of as many as rows or coordinates are passed over."""
+    """(n, explained_pct, silhouette, davies_bouldin, calinski_harabasz, inertia) of k-means on the standardised scores of the
+    first n axes; n of as many as rows or coordinates are passed over. The axes are found once."""
     from . import metrics as M
 
-    width, rows = len(points.first().x), points.count()
-    usable = [n for n in ns if n < min(width, rows)]
+    first = points.first()
+    if first is None:
+        raise ValueError("no points")
+    if k < 2:
+        raise ValueError("two clusters at least are needed")
+    usable = [n for n in ns if n < min(len(first.x), points.count())]
     if not usable:
         raise ValueError("no number of components is below the rows and coordinates")
+    ensure_checkpoint_dir(points.sparkSession)
+    share = np.cumsum(explained(points, max(usable)))
+    every = standardize(pca(points.select("id", "x"), max(usable))).checkpoint()
     out = None
     for n in usable:
-        scores = pca(points.select("id", "x"), n)
+        scores = every.select("id", F.slice("x", 1, n).alias("x"))
         own = scores.join(kmeans(scores, k, seeds), "id")
-        row = M.inertia(own).crossJoin(M.silhouettes(own).agg(F.avg("s").alias("silhouette"))).select(F.lit(n).alias("n"), "silhouette", "inertia")
+        row = M.inertia(own).crossJoin(M.silhouettes(own).agg(F.avg("s").alias("silhouette"))).crossJoin(M.davies_bouldin(own)).crossJoin(M.calinski_harabasz(own))
+        row = row.select(F.lit(n).alias("n"), F.lit(round(float(share[n - 1]) * 100, 2)).alias("explained_pct"), "silhouette", "davies_bouldin", "calinski_harabasz", "inertia")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -369,12 +444,7 @@ def loadings(points: DataFrame, n: int = 5) -> DataFrame:
     the standardised matrix, which agree up to sign. The Gram matrix is summed by Spark; the driver sees coordinates squared."""
     scaled = standardize(points.select("id", "x"))
     axes = np.abs(PCA(k=n, inputCol="v", outputCol="s").fit(scaled.select(array_to_vector("x").alias("v"))).pc.toArray())
-    flat = scaled.select("id", F.posexplode("x").alias("i", "v"))
-    gram_rows = flat.join(flat.select("id", F.col("i").alias("j"), F.col("v").alias("u")), "id").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("u")).alias("g")).collect()
-    gram = np.zeros((axes.shape[0],) * 2)
-    for r in gram_rows:
-        gram[r.i, r.j] = r.g
-    singular = np.abs(np.linalg.eigh(gram)[1][:, ::-1][:, :n])
+    singular = np.abs(np.linalg.eigh(gram(scaled))[1][:, ::-1][:, :n])
     rows = [(f, c + 1, float(axes[f, c]), float(singular[f, c])) for f in range(axes.shape[0]) for c in range(n)]
     return points.sparkSession.createDataFrame(rows, "feature int, component int, pca double, svd double")
 
@@ -446,6 +516,23 @@ def train_classifier(df: DataFrame, kind: str = "rf", trees: int = 200, depth: i
     raise ValueError(f"unknown kind {kind!r}")
 
 
+def train_current_regime(df: DataFrame, **how):
+    return train_classifier(df, "rf", **how)
+
+
+def train_decision_tree(df: DataFrame, **how):
+    return train_classifier(df, "dt", **how)
+
+
+def train_with_metrics(df: DataFrame, names: list[str], kind: str = "dt", splits: int = 5, **how) -> tuple[object, dict]:
+    """An unweighted tree or forest on all rows, and its metrics: accuracy by fold in time order, mean, deviation, importances."""
+    how = {"kind": kind, "balanced": False} | how
+    scores = fold_scores(df, splits, **how)
+    model = train_classifier(df, **how)
+    found = {"cv_accuracies": scores, "mean_cv_accuracy": float(np.mean(scores)), "std_cv_accuracy": float(np.std(scores))}
+    return model, found | {"feature_importances": importances(model, names, df.sparkSession)}
+
+
 def predict(model, df: DataFrame) -> DataFrame:
     return model.transform(df.withColumn("features", array_to_vector("x"))).select(*df.columns, F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability").alias("probabilities"))
 
@@ -476,8 +563,8 @@ def train_forward(df: DataFrame, horizons: tuple[int, ...] = (1, 2, 4, 8), trees
     return out
 
 
-def cross_validate(df: DataFrame, splits: int = 5, **how) -> tuple[float, float]:
-    """Mean and population deviation of accuracy over folds in time order."""
+def fold_scores(df: DataFrame, splits: int = 5, **how) -> list[float]:
+    """Accuracy of each fold in time order."""
     from .metrics import time_series_split
 
     folds = time_series_split(df, splits).persist()
@@ -487,11 +574,29 @@ def cross_validate(df: DataFrame, splits: int = 5, **how) -> tuple[float, float]
         model = train_classifier(own.filter("role = 'train'").drop("fold", "role"), **how)
         scores.append(predict(model, own.filter("role = 'test'")).agg(F.avg((F.col("predicted") == F.col("label")).cast("int"))).first()[0])
     folds.unpersist()
+    return scores
+
+
+def cross_validate(df: DataFrame, splits: int = 5, **how) -> tuple[float, float]:
+    """Mean and population deviation of accuracy over folds in time order."""
+    scores = fold_scores(df, splits, **how)
     return float(np.mean(scores)), float(np.std(scores))
 
 
 def importances(model, names: list[str], spark) -> DataFrame:
+    if not hasattr(model, "featureImportances"):
+        raise ValueError("the model has no importances")
     values = model.featureImportances.toArray().tolist()
     if len(values) != len(names):
         raise ValueError(f"{len(values)} importances, {len(names)} names")
     return spark.createDataFrame(list(zip(names, values)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def saved_importances(spark, path: str, names: list[str]) -> DataFrame:
+    """``importances`` of a saved model; a missing one is an error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        raise FileNotFoundError(path)
+    if not names:
+        raise ValueError("no names of features")
+    return importances(load_model(path), names, spark)

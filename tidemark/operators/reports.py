@@ -40,6 +40,28 @@ def coverage_matrix(df: DataFrame, most: int = 50) -> DataFrame:
     return df.join(first, "series", "left_semi").select("series", "date", F.col("value").isNotNull().cast("int").alias("known"))
 
 
+def series_sample(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of some series; names that are not there are passed over."""
+    return df.filter(F.col("series").isin(names))
+
+
+def feature_distributions(df: DataFrame, most: int = 20, bins: int = 30) -> DataFrame:
+    """``histogram`` of the first series by name that are no second or third derivatives."""
+    from .stats import histogram
+
+    plain = df.select("series").distinct().filter(~F.col("series").rlike("_d[23]$"))
+    return histogram(df.join(plain.orderBy("series").limit(most), "series", "left_semi"), bins)
+
+
+def pair_frame(scores: DataFrame, labels: DataFrame, names: DataFrame, most: int = 5) -> DataFrame:
+    """(id, PC1, PC2, …, regime) for plots of pairs: at most ``most`` coordinates of ``scores`` (id, x) and the regime's name,
+    ``R<label>`` where it has none and ``?`` where a point has no label."""
+    width = F.least(F.size("x"), F.lit(most))
+    n = scores.select(F.max(width)).first()[0] or 0
+    named = labels.join(names, "label", "left").select("id", F.when(F.col("label").isNotNull(), F.coalesce("name", F.concat(F.lit("R"), F.col("label").cast("string")))).alias("regime"))
+    return scores.join(named, "id", "left").select("id", *(F.get("x", F.lit(k)).alias(f"PC{k + 1}") for k in range(n)), F.coalesce("regime", F.lit("?")).alias("regime"))
+
+
 def timeline(labels: DataFrame, days: int = 92, colors: int = 5) -> DataFrame:
     """(date, until, label, color): bars of a quarter's length; noise has no color."""
     known = labels.filter("label is not null")

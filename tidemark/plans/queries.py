@@ -388,7 +388,7 @@ def transition_matrix(s, d):
     return rounded(R.transition_matrix(I.labels(s, d)))
 
 
-for _h in (1, 4):
+for _h in (1, 4, 8):
     QUERIES[f"forward_probabilities_h{_h}"] = lambda s, d, h=_h: rounded(R.forward_probabilities(I.labels(s, d), h))
     ORACLES[f"forward_probabilities_h{_h}"] = f"""with {_SQL_L}, o as (select label, row_number() over (order by date) as t, count(*) over () as n from labels_q),
  ids as (select distinct label from labels_q) select o.label as from_label, ids.label as to_label,
@@ -878,3 +878,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Stoplights of assets by their median quarterly return in the current regime."""
     last = I.labels(spark, d).orderBy(F.desc("date")).first()
     return P.asset_signals(I.ranked(spark, d), last.label)
+
+
+from . import stored  # noqa: E402,F401  registers its queries here
