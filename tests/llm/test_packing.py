@@ -35,6 +35,23 @@ def test_pack(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_query(spark, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    own = tokenizers.Tokenizer.from_str(packing.default_tokenizer())
+    texts = [None, "", "a few words", "word and word " * 3000, "It's 12 o'clock"] * 20
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {}
+    for r in packing.op6_packing(spark, str(tmp_path)).collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    for i, t in enumerate(texts):
+        ids = own.encode(t or "", add_special_tokens=False).ids + [2]
+        at = 0
+        for start, length, crc, total in sorted(found[i]):
+            assert (start, total, crc) == (at, len(ids), zlib.crc32(np.array(ids[at : at + length], "<u4").tobytes()))
+            at += length
+        assert at == len(ids)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_plan_uses_every_count_and_wastes_little(seed):
     rng = np.random.default_rng(seed)

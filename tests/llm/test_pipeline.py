@@ -69,9 +69,16 @@ def _tokens(texts):
     return {i: len(ids) // 4 + 1 for i, ids in zip(texts, words.ids([t.encode() for t in texts.values()]))}
 
 
-def test_run(spark, corpus):
-    out = corpus_pipeline.run(spark, corpus[0]).collect()
-    assert len(out) > 300 and {r.offset for r in out} >= {0}
+def test_run(spark, corpus, tmp_path):
+    """``run`` gives the rows that its stages give one after another, each written and read again."""
+    out = corpus_pipeline.run(spark, corpus[0])
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, corpus[0]).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    assert out.columns == docs.columns
+    rows = sorted(map(tuple, out.collect()))
+    assert len(rows) > 300 and rows == sorted(map(tuple, docs.collect()))
 
 
 def test_stages_on_awkward_rows(spark, corpus):

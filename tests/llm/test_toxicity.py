@@ -83,6 +83,54 @@ def test_held_out_accuracy(spark):
     assert right > 0.95 and found[n + 2] >= 0.5 and found[n] == found[n + 1] < 0.5
 
 
+def test_query(spark, tmp_path):
+    texts, labels = corpus(np.random.default_rng(21), 300)
+    texts += ["", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = toxicity.op1_toxicity(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in out) == list(range(302))
+    model = toxicity.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    for r in out:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5)
+        # A window at a time through the layers, by the definition of each.
+        if r.doc_id % 10 == 0 or r.doc_id > 299:
+            assert abs(r.score - plain_score(model, (texts[r.doc_id] or "").encode())) < 1e-4
+
+
+def plain_score(model, text):
+    """The highest window's score, with loops over windows, steps and trigrams."""
+    import re
+
+    from tidemark.llm import neardup
+
+    p, n = model.p, toxicity.HIDDEN
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", text.lower())
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    best = -np.inf
+    for begin in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        xs = []
+        for w in words[begin : begin + toxicity.WINDOW]:
+            own = np.flatnonzero(model.vocab == neardup.word_places(np.frombuffer(w, np.uint8), toxicity._WORD)[2][0])
+            padded = b"\x01" + w + b"\x02"
+            grams = [int(neardup.mix(np.array([padded[k] | padded[k + 1] << 8 | padded[k + 2] << 16], np.uint64))[0] % np.uint64(toxicity.TRIGRAMS)) for k in range(len(w))]
+            xs.append(np.concatenate([p["words"][own[0] + 1 if len(own) else 0], p["chars"][grams].mean(0)]) @ p["in"] + p["in_bias"])
+        states = []
+        for rows, u in ((xs, p["ahead"]), (xs[::-1], p["back"])):
+            h, out = np.zeros(n), []
+            for x in rows:
+                x = x[: 3 * n] if u is p["ahead"] else x[3 * n :]
+                r = h @ u
+                z, g = sig(x[:n] + r[:n]), sig(x[n : 2 * n] + r[n : 2 * n])
+                h = z * h + (1 - z) * np.tanh(x[2 * n :] + g * r[2 * n :])
+                out.append(h)
+            states.append(out)
+        hs = np.array([np.concatenate([a, b]) for a, b in zip(states[0], states[1][::-1])]) if xs else np.zeros((1, 2 * n))
+        weight = np.exp(np.tanh(hs @ p["attend"]) @ p["score"])
+        best = max(best, float((weight[:, None] / weight.sum() * hs).sum(0) @ p["out"] + p["out_bias"][0]))
+    return sig(best - model.shift)
+
+
 def test_no_or_one_label(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -138,7 +138,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Kept documents with their failing lines removed, in the columns of ``documents``."""
+    """Kept documents with their failing lines removed, in the columns of ``documents``.
+
+    Null and empty texts have no words and go. Repeated rows are judged alike and stay rows of their own, as do rows without an
+    id; texts of any length are judged whole; an empty frame gives an empty frame.
+    """
     schema = "doc_id long, text string, lang string, source string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

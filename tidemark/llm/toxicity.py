@@ -283,7 +283,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.5 stay, in the columns of ``documents``. Labels come from the corpus's ``labels``."""
+    """Documents that score under 0.5 stay, in the columns of ``documents``. Labels come from the corpus's ``labels``.
+
+    Null and empty texts score as a window without words. Repeated rows and rows without an id are judged by their texts and
+    stay or go alike; all windows of texts of any length are scored; an empty frame gives an empty frame.
+    """
     model = spark.sparkContext.broadcast(fit(docs, read(spark, sf_dir, "labels")))
     rows = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
 
