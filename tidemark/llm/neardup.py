@@ -8,13 +8,11 @@
 3. Links: in each bucket all classes are compared with its smallest (a star, not all pairs). Afterwards only buckets that
    still hold several components matter: members outside the largest component are compared with the others, in blocks of a
    fixed size within Python tasks, which return links alone. Every pair that shares a bucket is so compared, or already
-   connected, but for pairs with the smallest whose sizes rule a link out; every link is confirmed on full sets.
-4. Components by label propagation over checkpointed tables. Rows of classes that hold more than an even share of all rows,
-   fewer than there are partitions, take their component from a broadcast table, so no task meets a large class.
+   connected; every link is confirmed on full sets.
+4. Components by label propagation over checkpointed tables.
 """
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +30,7 @@ BANDS, ROWS = 30, 5
 #: Members of a bucket in one block of the exhaustive comparison, and probes in one.
 BLOCK, PROBES = 2048, 512
 #: Members that are compared with one copy of their bucket's smallest.
-RUN = 128
+RUN = 1024
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -275,44 +273,36 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, size: int = SHING
     doc_id reachable over links; kept is whether it is the row's own. Rows that repeat a doc_id are one document, linked
     as any of its texts is; rows with a null doc_id are compared with nothing, have a null component_id and are kept. Texts of any
     length are taken whole; extra columns are ignored. A pair at the threshold shares no band with probability under 3e-8.
-    Shingles are compared by 64-bit hashes and classes of equal sets by two 64-bit sums of these, not by their words again:
-    two of n distinct shingles share a hash with a probability of about n * n / 2**65.
+    Shingles are compared by 64-bit hashes and classes of equal sets by two 64-bit sums of these, not by their words again.
     """
     docs = pick(df, "doc_id", "text")
     known = cut(sketches(docs, bands, rows, size))
-    full = known.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "set_a", "set_b", "keys")
-    same = ["set_a", "set_b", "n_shingles"]
+    full = known.filter("n_shingles > 0 and doc_id is not null")
     # Classes of equal sets; a class is called by its smallest document.
-    classes = full.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
-    # Linked sets differ in size by threshold / 100 at most, so by one class; the classes are a little wider than that.
-    width = math.log(100 / threshold) + 1e-4
-    entries = cut(classes.select("id", F.floor(F.log("n_shingles") / width).cast("int").alias("size"), F.explode("keys").alias("key")).distinct())
-    pivots = entries.groupBy("key").agg(F.min(F.struct("id", "size")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    shared = cut(entries.join(pivots.select("key", F.col("first.id").alias("pivot"), F.col("first.size").alias("pivot_size")), "key"))
+    classes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
+    entries = classes.select("id", F.explode("keys").alias("key")).distinct()
+    entries = cut(entries)
+    pivots = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot")
+    shared = cut(entries.join(pivots, "key"))
     members = shared.select("id").distinct()
     texts = docs.withColumnRenamed("doc_id", "id").join(members, "id", "left_semi")
-    pairs = cut(shared.filter("id <> pivot and abs(size - pivot_size) <= 1").select("pivot", "id").distinct())
+    pairs = cut(shared.filter("id <> pivot").select("pivot", "id").distinct())
     stars = cut(_verify_stars(pairs, texts, threshold, size))
     with_root = cut(shared.select("key", "id").join(components(members, stars), "id"))
     several = with_root.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
     # With two members the star has compared them.
     unsettled = with_root.join(cut(several.filter("lo <> hi and n > 2").select("key")), "key")
     rest = cut(_verify_rest(cut(unsettled), texts, threshold, size))
-    # A row of a class hangs on the class; a document of several sets hangs on the classes of all.
-    sets = full.select("doc_id", *same)
-    twice = sets.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("lo"), F.max(F.struct(*same)).alias("hi")).filter("lo <> hi").select("doc_id")
-    bridges = sets.distinct().join(twice, "doc_id").join(classes.select(*same, "id"), same).filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    # A row of a class hangs on the class; a document of several rows hangs on all of their classes.
+    named = full.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.select("set_a", "set_b", "n_shingles", "id"), ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "id")
+    twice = named.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi")
+    bridges = named.join(twice.select("doc_id"), "doc_id").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     links = stars.unionByName(rest).unionByName(bridges)
-    top = components(classes.select("id").distinct(), links)
-    rooted = cut(classes.select(*same, "id", "copies").join(top, "id").select(*same, "copies", "root"))
-    # Fewer classes than partitions hold more than an even share of the rows: these few are broadcast, the rest meet by shuffle.
-    share = rooted.agg(F.sum("copies")).first()[0] or 0
-    large = F.col("copies") * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) > share
-    marked = sets.join(F.broadcast(rooted.filter(large).select(*same, F.col("root").alias("component_id"))), same, "left")
-    at_once = marked.filter("component_id is not null").select("doc_id", "n_shingles", "component_id")
-    met = marked.filter("component_id is null").drop("component_id").join(rooted.filter(~large), same).select("doc_id", "n_shingles", F.col("root").alias("component_id"))
+    every = classes.select("id").distinct()
+    top = components(every, links)
+    found = named.join(top, "id").select("doc_id", "n_shingles", F.col("root").alias("component_id"))
     empty = known.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return at_once.unionByName(met).unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return found.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,8 +313,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id; all documents without words stay.
 
     Rows without a doc_id are compared with nothing and stay; rows that repeat a doc_id are one document and stay or go
-    together. Texts of any length are taken whole; an empty frame gives an empty frame. Links are pairs of 80 in 100 in
-    common: 36 bands of 4 rows find one with a probability over 1 - 2e-8, as 30 of 5 do at the 85 in 100 of the query.
+    together. Texts of any length are taken whole; an empty frame gives an empty frame.
     """
     found = near_duplicates(docs, threshold=80, bands=36, rows=4).filter("kept").select("doc_id").filter("doc_id is not null").distinct()
     rows = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
