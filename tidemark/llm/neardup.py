@@ -266,6 +266,24 @@ def _verify_rest(buckets: DataFrame, texts: DataFrame, threshold: int, size: int
     return arrow_map(grouped, run, "a long, b long").distinct()
 
 
+#: What tells a class of equal sets: two sums of hashes and the size.
+_SET = ["set_a", "set_b", "n_shingles"]
+#: Classes with more than one row in HOT of all are hot: there are fewer than HOT of them, whatever the input.
+HOT = 1000
+
+
+def _by_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their class, of which ``n`` counts its rows.
+
+    The rows of hot classes stay where they are and meet a broadcast table of fewer than HOT rows; the others are shuffled, and
+    no class among them has more than one row in HOT.
+    """
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(classes.filter(F.col("n") * HOT > total))
+    rest = rows.join(hot.select(*_SET), _SET, "left_anti").join(classes.filter(F.col("n") * HOT <= total), _SET)
+    return rows.join(hot, _SET).unionByName(rest)
+
+
 def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``df`` (doc_id, text).
 
@@ -279,8 +297,9 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, size: int = SHING
     known = cut(sketches(docs, bands, rows, size))
     full = known.filter("n_shingles > 0 and doc_id is not null")
     # Classes of equal sets; a class is called by its smallest document.
-    classes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    entries = classes.select("id", F.explode("keys").alias("key")).distinct()
+    named = full.groupBy(*_SET).agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.count("*").alias("n"))
+    classes = cut(named.select(*_SET, "id", "n"))
+    entries = named.select("id", F.explode("keys").alias("key")).distinct()
     entries = cut(entries)
     pivots = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot")
     shared = cut(entries.join(pivots, "key"))
@@ -293,14 +312,15 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, size: int = SHING
     # With two members the star has compared them.
     unsettled = with_root.join(cut(several.filter("lo <> hi and n > 2").select("key")), "key")
     rest = cut(_verify_rest(cut(unsettled), texts, threshold, size))
-    # A row of a class hangs on the class; a document of several rows hangs on all of their classes.
-    named = full.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.select("set_a", "set_b", "n_shingles", "id"), ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "id")
-    twice = named.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi")
-    bridges = named.join(twice.select("doc_id"), "doc_id").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    links = stars.unionByName(rest).unionByName(bridges)
-    every = classes.select("id").distinct()
-    top = components(every, links)
-    found = named.join(top, "id").select("doc_id", "n_shingles", F.col("root").alias("component_id"))
+    links = stars.unionByName(rest)
+    # A document of several rows hangs on all of their classes.
+    ends = full.groupBy("doc_id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in _SET for f in (F.min, F.max)))
+    twice = cut(ends.filter(" or ".join(f"min_{c} <> max_{c}" for c in _SET)).select("doc_id"))
+    if not twice.isEmpty():
+        of_several = _by_class(full.select("doc_id", *_SET).join(twice, "doc_id", "left_semi"), classes)
+        links = links.unionByName(of_several.filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
+    rooted = cut(classes.join(components(classes.select("id").distinct(), links).distinct(), "id").select(*_SET, "n", F.col("root").alias("component_id")))
+    found = _by_class(full.select("doc_id", *_SET), rooted).select("doc_id", "n_shingles", "component_id")
     empty = known.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
