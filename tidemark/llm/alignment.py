@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +97,7 @@ class Aligner:
             self.a_bytes[i] = bytes(byte_of[c] for c in token) if set(token) <= byte_of.keys() else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
         self.mark = self.b.piece_to_id(MARK)
         plain = [p for i, p in enumerate(pieces) if not (self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_byte(i))]
         #: Chunks are exact only if no piece reaches over their ends.
@@ -105,6 +107,24 @@ class Aligner:
         """Parts of a space and the text, which both tokenizers encode apart."""
         return _CHUNK.findall(f" {text}") if self.splits else [f" {text}"]
 
+    def _a_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A, chunk after chunk, and how many each has. All but those that end in white space are encoded as one text."""
+        ragged = [i for i, c in enumerate(chunks) if c[-1].isspace()]
+        if ragged:
+            parts = [self._a_ids([c for c in chunks if not c[-1].isspace()])]
+            apart = [e.ids for e in self.a.encode_batch([chunks[i] for i in ragged], add_special_tokens=False)]
+            odd = np.zeros(len(chunks), bool)
+            odd[ragged] = True
+            sizes = np.zeros(len(chunks), np.int64)
+            sizes[~odd], sizes[odd] = parts[0][1], [len(x) for x in apart]
+            ids, of_odd = np.zeros(sizes.sum(), np.int64), np.repeat(odd, sizes)
+            ids[~of_odd], ids[of_odd] = parts[0][0], [t for x in apart for t in x]
+            return ids, sizes
+        ids = np.array(self.a.encode("".join(chunks), add_special_tokens=False).ids, np.int64) if chunks else np.zeros(0, np.int64)
+        ends = np.cumsum([len(c.encode()) for c in chunks])
+        at = np.searchsorted(np.cumsum(self.a_sizes[ids]), ends) + 1
+        return ids, np.diff(at, prepend=0)
+
     def _b_ids(self, chunks: list[str]) -> list[list[int]]:
         """Ids of B, whose own space stands for a chunk's first one, and goes where a line end comes first."""
         found = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
@@ -118,32 +138,32 @@ class Aligner:
 
     def _align(self, out: Chunks, chunks: list[str], first: int) -> np.ndarray:
         """Fill ``out`` from place ``first`` on; the links of all chunks in order, A's id in the high half."""
-        a_ids = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
+        a, n_a = self._a_ids(chunks)
         b_ids = self._b_ids(chunks)
-        good = []
-        for i, (chunk, x, y) in enumerate(zip(chunks, a_ids, b_ids)):
-            raw = chunk.encode()
-            if b"".join([self.a_bytes[t] for t in x]) == raw and b"".join([self.b_bytes[t] for t in y]) == raw:
-                good.append(i)
-        if not good:
+        n_b = np.array([len(x) for x in b_ids])
+        b = np.fromiter(chain.from_iterable(b_ids), np.int64, n_b.sum())
+        size = np.array([len(c.encode()) for c in chunks])
+        good = (_sums(self.a_sizes[a], n_a) == size) & (_sums(self.b_sizes[b], n_b) == size)
+        raw = "".join(chunks).encode()
+        if not good.all() or any(b"".join(map(table.__getitem__, ids.tolist())) != raw for table, ids in ((self.a_bytes, a), (self.b_bytes, b))):
+            a_list, ends = a.tolist(), np.cumsum(n_a).tolist()
+            for i, (c, end, n, y) in enumerate(zip(chunks, ends, n_a.tolist(), b_ids)):
+                good[i] = b"".join(map(self.a_bytes.__getitem__, a_list[end - n : end])) == c.encode() == b"".join(map(self.b_bytes.__getitem__, y))
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            n_a, n_b = n_a[good], n_b[good]
+        if not len(a):
             return np.zeros(0, np.int64)
-        a, b = (np.array([t for i in good for t in ids[i]], np.int64) for ids in (a_ids, b_ids))
-        owner_a = np.repeat(np.arange(len(a)), [len(self.a_bytes[t]) for t in a.tolist()])
-        owner_b = np.repeat(np.arange(len(b)), [len(self.b_bytes[t]) for t in b.tolist()])
+        owner_a, owner_b = np.repeat(np.arange(len(a)), self.a_sizes[a]), np.repeat(np.arange(len(b)), self.b_sizes[b])
         new_a, new_b = (np.concatenate([[True], owner[1:] != owner[:-1]]) for owner in (owner_a, owner_b))
         begins = new_a | new_b
         link_a, link_b = owner_a[begins], owner_b[begins]
-        cuts = np.flatnonzero(new_a & new_b)
-        n_a, n_b = (np.array([len(ids[i]) for i in good]) for ids in (a_ids, b_ids))
-        chunk_of = np.repeat(np.arange(len(good)), n_a)  # of each token of A
-        at = first + np.array(good)
-        out.good[at], out.n_a[at], out.n_b[at] = True, n_a, n_b
-        out.n_links[at] = np.bincount(chunk_of[link_a], minlength=len(good))
-        n_groups = np.bincount(chunk_of[owner_a[cuts]], minlength=len(good))
-        out.n_groups[at] = n_groups
-        said_a, said_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        cut_a, cut_b = [*owner_a[cuts].tolist(), len(a)], [*owner_b[cuts].tolist(), len(b)]
-        said = [f"{','.join(said_a[p:q])}|{','.join(said_b[r:s])}" for p, q, r, s in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
+        cuts = new_a & new_b
+        chunk_of = np.repeat(np.arange(len(n_a)), n_a)  # of each token of A
+        n_groups = np.bincount(chunk_of[owner_a[cuts]], minlength=len(n_a))
+        at = first + np.flatnonzero(good)
+        out.good[at], out.n_a[at], out.n_b[at], out.n_groups[at] = True, n_a, n_b, n_groups
+        out.n_links[at] = np.bincount(chunk_of[link_a], minlength=len(n_a))
+        said = _said(a, b, np.append(owner_a[cuts], len(a)), np.append(owner_b[cuts], len(b)))
         done = 0
         for i, n in zip(at.tolist(), n_groups.tolist()):
             out.groups[i] = ";".join(said[done : done + n])
@@ -151,6 +171,18 @@ class Aligner:
         return a[link_a] << 32 | b[link_b]
 
 
+def _said(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> list[str]:
+    """What each group of tokens is called; those of one token on either side, which are nearly all, share their strings."""
+    single = (np.diff(cut_a) == 1) & (np.diff(cut_b) == 1)
+    pairs, which = np.unique(a[cut_a[:-1][single]] << 32 | b[cut_b[:-1][single]], return_inverse=True)
+    said = np.empty(len(single), object)
+    said[single] = np.array([f"{p >> 32}|{p & 0xFFFFFFFF}" for p in pairs.tolist()], object)[which]
+    said_a, said_b = a.tolist(), b.tolist()
+    for g in np.flatnonzero(~single).tolist():
+        said[g] = f"{','.join(map(str, said_a[cut_a[g] : cut_a[g + 1]]))}|{','.join(map(str, said_b[cut_b[g] : cut_b[g + 1]]))}"
+    return said.tolist()
+
+
 class _Numbers(dict):
     """Distinct keys in order of arrival."""
 
