@@ -1,7 +1,7 @@
 """Queries of this package and their SQL, for the driver's entry."""
 from __future__ import annotations
 
-from . import alignment, audio, bpe, chat, neardup, oracles, packing, pii, quality, secrets, token_counts, toxicity
+from . import alignment, audio, bpe, chat, neardup, oracles, packing, pii, quality, secrets, token_counts, toxicity, trie
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +16,7 @@ QUERIES = {
         token_counts.op8_token_counts,
         quality.op9_quality_rules,
         neardup.op10_near_duplicates,
+        trie.op11_prefix_trie,
         alignment.op13_alignment,
     )
 }

@@ -86,4 +86,20 @@ reach(id, root) as (select id, id from c union select b.b, r.root from reach r j
 roots as (select id, min(root) as root from reach group by 1)
 select d.doc_id, d.n as n_shingles, coalesce(root, d.doc_id) as component_id, coalesce(root, d.doc_id) = d.doc_id as kept from d left join c on c.h = d.h and d.n > 0 left join roots using (id)"""
 
-ORACLES = {"op10_near_duplicates": OP10, "op4_secret_scan": OP4, "op5_chat_formatting": OP5, "op9_quality_rules": OP9}
+#: A round of the checksum stands for each bit: list items from 0 on are characters, -1 is a round.
+_CRC = """xor(4294967295, list_reduce([4294967295::bigint] || flatten(list_transform(string_split(conv_id::varchar, ''), lambda ch: [ascii(ch)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])),
+ lambda crc, x: case when x >= 0 then xor(crc, x) else xor(crc >> 1, (crc & 1) * 3988292384) end))"""
+OP11 = f"""with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, turn from conversations where conv_id is not null),
+o as (select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, role, md5(length(role) || ':' || role || text)) as p from t),
+c as (select conv_id, conv_id - conv_id % 5 as base, {_CRC} % 9 as h from (select distinct conv_id from t)),
+r as (select c.conv_id, p, role, text from c join o on o.conv_id = c.base where p <= h union all select conv_id, p, role, text from c join o using (conv_id) where p > h),
+m as (select conv_id, row_number() over w as d, string_agg(sha256(length(role) || ':' || role || text), '') over w as k, strlen(text) as size from r window w as (partition by conv_id order by p)
+ union all select conv_id, 0, '', 0 from c),
+n as (select k, d, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * min(size) as own,
+ sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (d = n), '')) as ends_sha256 from m join (select conv_id, max(d) as n from m group by conv_id) using (conv_id) group by k, d),
+u as (select left(k, 64 * (d - 1)) as k, count(*) as n_children from n where d > 0 group by 1),
+s as (select left(n.k, 64 * a) as k, sum(own) as saved_tokens, count(*) filter (u.k is null) as n_leaves from (select *, unnest(range(0, d + 1)) as a from n) n left join u on u.k = n.k group by 1)
+select n.conv_id, n.d as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves, cast(saved_tokens as bigint) as saved_tokens, n.ends_sha256
+from n join s using (k) left join u using (k) left join n p on n.d > 0 and p.k = left(n.k, 64 * (n.d - 1))"""
+
+ORACLES = {"op10_near_duplicates": OP10, "op11_prefix_trie": OP11, "op4_secret_scan": OP4, "op5_chat_formatting": OP5, "op9_quality_rules": OP9}
