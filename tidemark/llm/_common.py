@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space: what separates words in every operator of this package.
@@ -75,16 +75,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def lowest(df: DataFrame, key: str, most: int, spare: int = 20) -> DataFrame:
-    """``df`` with ``h``, a hash of ``key``, less rows that cannot be among the ``most`` of lowest hash.
+def lowest(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``df`` with ``h``, a hash of ``keys``, less rows that cannot be among the ``most`` of lowest hash.
 
-    A sample for training takes the lowest hashes of ``df``, which comes with the sample's filters applied. Where there are
-    far more rows than ``spare`` times the sample, a bound on the hash that so many are expected to pass comes first, so what
-    tasks send on does not grow with the input. The sample is the same with and without it.
+    A sample for training takes the lowest hashes of ``df``, which comes with the sample's filters applied. Rows are counted by
+    the high bits of the hash (65,536 numbers at most); the bound is the end of the class where the count reaches ``most``, so
+    what tasks send on does not grow with the input, and no row of the sample is lost, however often a hash repeats.
     """
-    h = df.withColumn("h", F.xxhash64(key))
-    n = df.count()
-    return h if n <= spare * most else h.filter(F.col("h") <= int(-(2**63) + 2**64 * (spare * most / n)))
+    h = df.withColumn("h", F.xxhash64(*keys))
+    total = 0
+    for r in sorted(h.groupBy(F.shiftright("h", 48).alias("high")).count().collect(), key=lambda r: r["high"]):
+        total += r["count"]
+        if total >= most:
+            return h.filter(F.col("h") < F.lit((r["high"] + 1) << 48)) if r["high"] < 2**15 - 1 else h
+    return h
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, learnt: Callable[[], Column], sample: int, most_chars: int) -> list[tuple[str, int]]:
+    """At most ``sample`` texts of each value (0, 1) of ``label``, of rows that ``learnt`` takes: those of the lowest hash of doc_id.
+
+    A doc_id with several labels counts as 1. Texts that are null or longer than ``most_chars`` are no samples.
+    """
+    known = pick(labels, "doc_id", label).filter("doc_id is not null").filter(F.col(label).isin(0, 1)).filter(learnt())
+    one = known.groupBy("doc_id").agg(F.max(label).alias(label))
+    rows = pick(docs, "doc_id", "text").filter("doc_id is not null and text is not null").filter(F.length("text") <= most_chars)
+    out = []
+    for value in (0, 1):
+        some = lowest(one.filter(F.col(label) == value), ["doc_id"], 2 * sample).orderBy("h", "doc_id").limit(2 * sample)  # some have texts that are too long
+        found = rows.join(F.broadcast(some), "doc_id").orderBy("h", "doc_id", "text").limit(sample).select("text").collect()
+        out += [(r.text, value) for r in found]
+    return out
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -1,7 +1,7 @@
 """Queries of this package and their SQL, for the driver's entry."""
 from __future__ import annotations
 
-from . import alignment, audio, bpe, chat, neardup, oracles, packing, pii, quality, secrets, token_counts, toxicity, trie
+from . import alignment, audio, bpe, chat, neardup, oracles, packing, pii, quality, quality_model, secrets, token_counts, toxicity, trie
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         quality.op9_quality_rules,
         neardup.op10_near_duplicates,
         trie.op11_prefix_trie,
+        quality_model.op12_quality_classifier,
         alignment.op13_alignment,
     )
 }

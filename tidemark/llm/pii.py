@@ -340,7 +340,7 @@ def train(texts: list[str], seed: int = 0) -> Tagger:
 def fit(docs: DataFrame) -> Tagger:
     """On the ``SAMPLE`` documents with a digit or an at sign that have the lowest hash, among those not too long."""
     rows = pick(docs, "doc_id", "text").filter(F.length("text") <= MOST_CHARS).filter(F.col("text").rlike("[0-9@]"))
-    sample = lowest(rows, "doc_id", SAMPLE).orderBy("h", "doc_id", "text").limit(SAMPLE).select("text").collect()
+    sample = lowest(rows, ["doc_id", "text"], SAMPLE).orderBy("h", "doc_id", "text").limit(SAMPLE).select("text").collect()
     return train([r.text for r in sample])
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, blobs, lowest, pick, read, slices
+from ._common import arrow_map, blobs, labelled, pick, read, slices
 from ._nets import Adam, gru, gru_back, init, scatter_rows, sigmoid
 from .neardup import mix, word_places
 
@@ -243,16 +243,8 @@ def fold(doc_id: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[str, int]]:
-    """At most ``sample`` labelled rows of each label, none of them held out: those of the lowest hash."""
-    known = pick(labels, "doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").filter(fold() != 0)
-    one = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = pick(docs, "doc_id", "text").filter("doc_id is not null and text is not null").filter(F.length("text") <= MOST_CHARS)
-    out = []
-    for label in (0, 1):
-        some = lowest(one.filter(F.col("toxic") == label), "doc_id", 2 * sample).orderBy("h", "doc_id").limit(2 * sample)  # some have texts that are too long
-        found = rows.join(F.broadcast(some), "doc_id").orderBy("h", "doc_id", "text").limit(sample).select("text").collect()
-        out += [(r.text, label) for r in found]
-    return out
+    """At most ``sample`` labelled rows of each label, none of them held out."""
+    return labelled(docs, labels, "toxic", lambda: fold() != 0, sample, MOST_CHARS)
 
 
 def score(df: DataFrame, model: Model) -> DataFrame:
