@@ -79,6 +79,49 @@ def test_words_match_the_tokenizer():
         assert np.frombuffer(got, "<u4").tolist() == own.encode(w, add_special_tokens=False).ids, repr(w)
 
 
+def test_odd_words_alone_first_and_in_batches():
+    """Ids of a word depend neither on its batch nor on what the worker saw before."""
+    tokenizers = pytest.importorskip("tokenizers")
+    own = tokenizers.Tokenizer.from_str(packing.default_tokenizer())
+    spec = packing.default_tokenizer()
+    odd = ["\u3000", "\u00a0", "\u2028", "\u2003", "\u00a0\u2028", "\u1680\u205f", "\u0301", "\u200d", "\x85", "\x01", "é", "abc", "\u3000abc", "abc\u3000", "a\u2003b", "<|endoftext|>", "Σ", "'s", "\ufeff", "\u180e"]
+    right = {w: own.encode(w, add_special_tokens=False).ids for w in odd}
+    of = lambda made, texts: [np.frombuffer(x, "<u4").tolist() for x in made.ids([t.encode() for t in texts])]
+    once = packing.Words(spec)
+    for w in odd:  # each is the only new word of its batch
+        assert of(once, [w]) == [right[w]], repr(w)
+    assert of(once, ["abc", "abc \u3000 abc"]) == [own.encode(t, add_special_tokens=False).ids for t in ("abc", "abc \u3000 abc")]
+    rng = np.random.default_rng(9)
+    for first in odd:
+        once.known.clear()
+        once.known.update(once.added)
+        assert of(once, [first]) == [right[first]]
+        for _ in range(4):
+            texts = [" ".join(rng.choice(odd, int(rng.integers(1, 5)))) for _ in range(int(rng.integers(1, 4)))]
+            assert of(once, texts) == [own.encode(t, add_special_tokens=False).ids for t in texts], texts
+
+
+def test_shuffled_input_gives_equal_ids(spark):
+    rng = np.random.default_rng(11)
+    bits = ["\u3000", "abc", "\u2003", "déjà", "word", "\u00a0\u2028", "12"]
+    rows = [(i, " ".join(rng.choice(bits, int(rng.integers(0, 4))))) for i in range(300)]
+    found = []
+    for seed in (1, 2):
+        order = np.random.default_rng(seed).permutation(len(rows))
+        df = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").repartition(3 + seed)
+        found.append(sorted(map(tuple, packing.pieces(df).collect())))
+    assert found[0] == found[1]
+
+
+def test_long_classes_take_more_runs(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALTS", 2)
+    monkeypatch.setattr(packing, "RUN", 5)
+    df = spark.createDataFrame([(i, "a b c") for i in range(100)] + [(200 + i, "word " * 30) for i in range(7)], "doc_id long, text string")
+    out = packing.pack(df).collect()
+    assert len({(r.sequence_id, r.offset) for r in out}) == 107 == len(out)
+    assert {r.sequence_id for r in out} == set(range(1 + max(r.sequence_id for r in out)))
+
+
 def test_knapsack_matches_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(20):

@@ -25,10 +25,10 @@ END_ID = 2
 GRID = 8
 #: The linear program stops at this relative distance from its lower bound.
 GAP = 0.001
-#: Ranks within a class are counted in this many salted runs, so one common length isn't ranked in one task.
-SALTS = 64
-#: Distinct words that a worker remembers; it forgets all of them when there are more.
-CACHE = 600_000
+#: Ranks within a class are counted in salted runs, so one common length isn't ranked in one task: SALTS, or more of RUN pieces.
+SALTS, RUN = 64, 1 << 20
+#: Bytes of words and ids that a worker remembers, with what an entry costs besides; beyond them it forgets all.
+CACHE_BYTES, ENTRY_BYTES = 128 << 20, 150
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -65,6 +65,7 @@ class Words:
         plain = json.loads(spec)
         self.added = {t["content"].encode(): np.array([t["id"]], "<u4").tobytes() for t in plain["added_tokens"]}
         self.known: dict[bytes, bytes] = dict(self.added)
+        self.held = 0
         self.part = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or rb"(?!)")
         pattern = plain["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(f"{pattern}|\\n").findall
@@ -93,7 +94,8 @@ class Words:
             return
         # Letters are lowered one by one: a sigma that ends a word is no exception.
         text = unicodedata.normalize("NFC", b"\n".join(new).decode("utf-8", "replace")).replace("Σ", "σ").lower()
-        ids = self.merges.encode_to_numpy(self.END.join(self.find(text)) + self.END, disallowed_special=()).astype("<u4")
+        found = self.find(text)  # nothing, not even an end, where the only word is white space outside ASCII
+        ids = self.merges.encode_to_numpy(self.END.join(found) + self.END, disallowed_special=()).astype("<u4") if found else np.zeros(0, "<u4")
         ends = [*np.flatnonzero(ids == self.line).tolist(), len(ids)]
         raw, at = ids.tobytes(), 0
         for w, end in zip(new, ends, strict=True):
@@ -113,14 +115,14 @@ class Words:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [self._split(t) for t in texts]
         known = self.known
-        new = set().union(*words).difference(known)
-        if len(known) + len(new) > CACHE:
+        if self.held > CACHE_BYTES:
             known.clear()
             known.update(self.added)
-            new = set().union(*words).difference(known)
-        new = list(new)
+            self.held = 0
+        new = list(set().union(*words).difference(known))
         for at in range(0, len(new), 20_000):
             self._learn(new[at : at + 20_000])
+        self.held += sum(ENTRY_BYTES + len(w) + len(known[w]) for w in new)
         for ws in words:
             yield b"".join(map(known.__getitem__, ws))
 
@@ -131,7 +133,8 @@ _words: dict[int, Words] = {}
 def pieces(df: DataFrame, spec: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of each row of ``df`` (doc_id, text): whole sequences, then what is left, if anything.
 
-    Null and empty texts are the end id alone. Repeated rows and null ids stay; other columns are ignored.
+    Null and empty texts are the end id alone. Repeated rows and null ids stay; other columns are ignored. Texts of any length
+    are tokenized whole; ids of a word never depend on the words around it. An empty frame has no pieces.
     """
     spec = spec or default_tokenizer()
     key = zlib.crc32(spec.encode())
@@ -268,16 +271,22 @@ class Slots:
 def pack(df: DataFrame, spec: str | None = None, capacity: int = CAPACITY, grid: int = GRID) -> DataFrame:
     """Every piece of ``pieces`` with its sequence_id and the offset of its first id there, gapless from 0.
 
-    Each id lies in exactly one piece; a sequence holds ``capacity`` ids at most. The driver holds the histogram
-    (capacity / grid classes) and the plan made from it, nothing that grows with the documents. An empty frame has no pieces.
+    Each id lies in exactly one piece; a sequence holds ``capacity`` ids at most. Null and empty texts are the end id alone, a
+    very long text is many pieces, equal pieces of repeated rows take places of their own in no stated order, and rows without
+    an id are packed like others. The driver holds the histogram (capacity / grid classes), the plan made from it and a number
+    for each salted run of pieces, of which none has more than about RUN. An empty frame has no pieces.
     """
     spark = df.sparkSession
     size = F.ceil(F.col("length") / grid).cast("long")
     cutoff = cut(pieces(df, spec, capacity)).withColumn("size", size)
-    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS))
+    classes = {r["size"]: r["count"] for r in cutoff.groupBy("size").count().collect()}
+    runs = F.lit(SALTS)
+    for k, n in classes.items():
+        if n > SALTS * RUN:
+            runs = F.when(F.col("size") == k, F.lit(-(-n // RUN))).otherwise(runs)
+    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), runs)
     salted = cutoff.withColumn("salt", salt)
-    counts = salted.groupBy("size", "salt").agg(F.count("*").alias("n"))
-    held = counts.collect()  # classes x salts rows at most
+    held = salted.groupBy("size", "salt").agg(F.count("*").alias("n")).collect()
     histogram: dict[int, int] = {}
     before: dict[tuple[int, int], int] = {}
     for r in sorted(held):
@@ -312,4 +321,5 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, packed: the rows of ``pack``, which says what null, empty, long and repeated texts and empty frames give."""
     return pack(docs)

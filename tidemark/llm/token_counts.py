@@ -19,8 +19,8 @@ from ._common import arrow_map, blobs, pick, read, slices
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Distinct words that a worker remembers; it forgets all of them when there are more.
-CACHE = 300_000
+#: Bytes of words that a worker remembers, with what an entry costs besides; beyond them it forgets all.
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 160
 
 SCHEMA = "doc_id long, n_tokens long, n_chars long"
 
@@ -45,11 +45,13 @@ class _Known(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.held = make, 0
 
     def __missing__(self, word: str) -> int:
-        if len(self) > CACHE:
+        if self.held > CACHE_BYTES:
             self.clear()
+            self.held = 0
+        self.held += ENTRY_BYTES + 4 * len(word)
         n = self[word] = self.make(word)
         return n
 
@@ -116,8 +118,8 @@ _counters: dict[str, Counter] = {}
 def token_counts(df: DataFrame, vocab: list[tuple[str, float]] | None = None) -> DataFrame:
     """Tokens of each row of ``df`` (doc_id, text) under ``vocab`` (pieces with scores; by default the public model's).
 
-    Null and empty texts count 0. Repeated rows and null ids stay; other columns are ignored. The vocabulary has a fixed
-    size and is broadcast.
+    Null and empty texts count 0. Repeated rows and null ids stay; other columns are ignored. Texts of any length are counted
+    whole, an empty frame gives an empty frame. The vocabulary has a fixed size and is broadcast.
     """
     vocab = vocab or load_vocab(default_model())
     key = hashlib.md5(repr(vocab).encode()).hexdigest()
