@@ -1,11 +1,11 @@
-"""Models against what defines them: numpy decompositions, costs and criteria recomputed, a brute-force density tree."""
+"""Models against what defines them: numpy decompositions, costs and criteria recomputed."""
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import learn, metrics
+from tidemark.operators import hierarchy, learn, metrics
 
 
 def frame(spark, x, label=None):
@@ -102,68 +102,9 @@ def test_best_mixture(spark):
         learn.gmm_sweep(frame(spark, x).limit(0))
 
 
-def brute_density_tree(x, least):
-    """Clusters by excess of mass, from components of the mutual reachability graph at every level, as they are defined."""
-    n = len(x)
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    core = np.sort(d, 1)[:, min(least, n) - 1]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
-    levels = sorted(set(reach[np.triu_indices(n, 1)].tolist()), reverse=True)
-
-    def parts(points, under):
-        left, out = set(points), []
-        while left:
-            todo, seen = [left.pop()], set()
-            while todo:
-                i = todo.pop()
-                seen.add(i)
-                new = {j for j in left if reach[i, j] < under}
-                left -= new
-                todo += new
-            out.append(frozenset(seen))
-        return out
-
-    def grow(points, birth):
-        """(stability, clusters below) of the cluster born at 1 / birth with these points."""
-        now, total = points, 0.0
-        for w in levels:
-            split = parts(now, w)
-            if len(split) == 1:
-                continue
-            big = [p for p in split if len(p) >= least]
-            if len(big) == 1:
-                total += (1 / w - birth) * (len(now) - len(big[0]))
-                now = big[0]
-                continue
-            total += (1 / w - birth) * len(now)
-            return points, total, [grow(p, 1 / w) for p in big]
-        return points, total, []
-
-    def choose(node, root):
-        points, own, below = node
-        found = [choose(b, False) for b in below]
-        under = sum(f[0] for f in found)
-        if root or (below and under > own):
-            return under, [p for f in found for p in f[1]]
-        return own, [points]
-
-    return {frozenset(p) for p in choose(grow(frozenset(range(n)), 0.0), True)[1]}
-
-
-@pytest.mark.parametrize("seed", range(6))
-def test_density_tree_against_brute_force(seed):
-    rng = np.random.default_rng(seed)
-    x = np.concatenate([rng.normal(c, s, (int(m), 2)) for c, s, m in zip(rng.normal(0, 4, (4, 2)), rng.uniform(0.2, 1, 4), rng.integers(6, 16, 4))] + [rng.uniform(-8, 8, (6, 2))])
-    labels = learn.hdbscan_labels(x, 5)
-    got = sorted((set(np.flatnonzero(labels == k).tolist()) for k in set(labels.tolist()) - {-1}), key=min)
-    want = sorted(brute_density_tree(x, 5), key=lambda p: min(next(g for g in got if p <= g)))
-    # A point that leaves a cluster at the very level of its birth is in or out by the order of edges of equal length.
-    assert len(got) == len(want) and all(w <= g and len(g - w) <= 1 for g, w in zip(got, want))
-
-
 def test_errors_and_saved_models(spark, tmp_path):
     empty = frame(spark, np.zeros((0, 2)))
-    for fit in (learn.hdbscan, lambda p: learn.spectral(p, 2), learn.balanced_kmeans):
+    for fit in (hierarchy.hdbscan, lambda p: learn.spectral(p, 2), learn.balanced_kmeans):
         with pytest.raises(ValueError, match="no points"):
             fit(empty)
     rng = np.random.default_rng(7)

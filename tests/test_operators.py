@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import functions as fn
 from tidemark import sources
-from tidemark.operators import checkpoints, density, features, learn, metrics, portfolio, regimes, series
+from tidemark.operators import checkpoints, density, features, hierarchy, learn, metrics, portfolio, regimes, series
 
 
 def quarters(n, start=2000):
@@ -214,7 +214,7 @@ def test_models(spark):
     assert best.k == 3
     gap = learn.gap_statistic(points, range(2, 6), 5, 3).collect()
     assert sum(r.optimal for r in gap) == 1 and [r.k for r in gap if r.optimal] == [3] and all(r.gap_sk >= r.gap_std for r in gap)
-    for found in (learn.spectral(points, 3, 10, 5), learn.hdbscan(points, 5), learn.kmeans(points.select("id", "x"), 3, 3)):
+    for found in (learn.spectral(points, 3, 10, 5), hierarchy.hdbscan(points, 5), learn.kmeans(points.select("id", "x"), 3, 3)):
         assert metrics.rand_index(found.select("id", F.lit("a").alias("method"), "label").unionByName(points.select("id", F.lit("b").alias("method"), "label"))).filter("a = 'a' and b = 'b'").first().ari == pytest.approx(1)
     z = learn.standardize(points.select("id", "x"))
     assert z.agg(F.stddev_pop(F.col("x")[0])).first()[0] == pytest.approx(1)

@@ -93,7 +93,7 @@ def test_models_cluster_scores_of_whole_vectors(spark, monkeypatch):
 
     want = {r.id: [r[f"PC{k}"] for k in range(1, 6)] for r in QUERIES["pca_scores"](spark, DATA).collect()}
     got = {}
-    monkeypatch.setattr(queries.L, "hdbscan", lambda points: got.update((r.id, r.x) for r in points.collect()) or points)
+    monkeypatch.setattr(queries.H, "hdbscan", lambda points: got.update((r.id, r.x) for r in points.collect()) or points)
     QUERIES["hdbscan_labels"](spark, DATA)
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-3) for i in want)
     assert QUERIES["svd_loadings"](spark, DATA).count() == 3 * len(inputs.points(spark, DATA).first().x)

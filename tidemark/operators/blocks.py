@@ -5,10 +5,11 @@ and any number of points is taken; the work is that of all pairs, or of those in
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from ..session import ensure_checkpoint_dir, ship
 
 #: Points of a block, and bytes of differences that a task holds at once.
 BLOCK, STEP_BYTES = 512, 32 << 20
+#: Links that one task joins.
+LAST = 1 << 18
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -56,20 +59,6 @@ def all_blocks(points: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.
     return _met(own, near, fn, schema)
 
 
-def cell_blocks(points: DataFrame, eps: float, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``fn`` of every two blocks that may hold points within ``eps``: cells of side ``eps`` over the first two coordinates,
-    each dealt into blocks, meet the cells around them."""
-    cell = lambda i: F.coalesce(F.floor(F.get("x", F.lit(i)) / eps), F.lit(0)).cast("long")
-    placed = points.withColumn("c0", cell(0)).withColumn("c1", cell(1))
-    cells = placed.groupBy("c0", "c1").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    own = placed.join(cells, ["c0", "c1"]).withColumn("own", F.array("c0", "c1", F.pmod(F.xxhash64("id"), F.col("parts")))).drop("c0", "c1", "parts")
-    blocks = cells.select("c0", "c1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    left = blocks.withColumn("s", F.explode(around)).select(F.array("c0", "c1", "part").alias("own"), (F.col("c0") + F.col("s.a")).alias("c0"), (F.col("c1") + F.col("s.b")).alias("c1"))
-    near = left.join(blocks, ["c0", "c1"]).select("own", F.array("c0", "c1", "part").alias("other"))
-    return _met(own, near, fn, schema)
-
-
 def numbered(df: DataFrame, *order: str, name: str = "_rn") -> DataFrame:
     """``df`` with each row's place in ``order``, from 0: rows are dealt out by ranges and counted partition by partition."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -83,3 +72,49 @@ def numbered(df: DataFrame, *order: str, name: str = "_rn") -> DataFrame:
         at += counts[k]
     first = df.sparkSession.createDataFrame(begins, "_part int, _first long")
     return rows.join(F.broadcast(first), "_part").withColumn(name, F.col("_at") + F.col("_first")).drop("_part", "_at", "_first")
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = find(up.setdefault(a, a)), find(up.setdefault(b, b))
+            up[max(a, b)] = min(a, b)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(up, pa.int64()), pa.array([find(i) for i in up], pa.int64())], names=["id", "root"])
+
+
+def components(links: DataFrame, last: int = LAST) -> DataFrame:
+    """(id, root) of every end of ``links`` (a, b): the smallest id that it reaches. A table of its own, in the checkpoint folder.
+
+    Each round lowers roots to the smallest next to a node, then to the root of the root, and parts links between roots that
+    still differ from the others; once these are ``last`` at most, one task joins them. Nothing comes to the driver but counts.
+    """
+    ship(links.sparkSession)
+    ensure_checkpoint_dir(links.sparkSession)
+    open_ = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    roots = None  # of all ids so far; those of open links are ids themselves
+    while True:
+        if open_.count() <= last:
+            step = open_.coalesce(1).mapInArrow(_joined, "id long, root long")
+            return (step if roots is None else _led(roots, step)).checkpoint()
+        # Every node hangs on the smallest next to it; what hangs on a root's root follows.
+        both = open_.select("a", "b").unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("root")).checkpoint()
+        step = _led(_led(near, near), near).checkpoint()
+        roots = step if roots is None else _led(roots, step).checkpoint()
+        for c in ("a", "b"):
+            open_ = open_.join(step.withColumnRenamed("id", c), c).drop(c).withColumnRenamed("root", c)
+        open_ = open_.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+
+
+def _led(roots: DataFrame, step: DataFrame) -> DataFrame:
+    """``roots`` led on by ``step`` where it knows the root."""
+    return roots.join(step.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root"))

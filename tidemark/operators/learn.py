@@ -327,92 +327,6 @@ def spectral(points: DataFrame, k: int, neighbors: int = 10, starts: int = 10) -
     return canonical(_labels_in_task(points, ids, x, fit)).select("id", "label")
 
 
-def hdbscan_labels(x: np.ndarray, min_size: int = 15) -> np.ndarray:
-    """Excess-of-mass clusters of the condensed tree over mutual reachability; -1 is noise. Memory grows with the points, not
-    with their pairs: a row of distances at a time."""
-    n = len(x)
-    away = lambda i: np.sqrt(((x - x[i]) ** 2).sum(1))
-    nth = min(min_size, n) - 1
-    core = np.array([np.partition(away(i), nth)[nth] for i in range(n)])
-    # Prim's tree.
-    near, source, done, edges = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), []
-    at = 0
-    for _ in range(n - 1):
-        done[at] = True
-        reach = np.maximum(away(at), np.maximum(core[at], core))
-        closer = reach < near
-        near[closer], source[closer] = reach[closer], at
-        at = int(np.where(done, np.inf, near).argmin())
-        edges.append((near[at], source[at], at))
-    parent, size, children = list(range(n)), [1] * n, {}
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    top = n - 1
-    for w, a, b in sorted(edges):
-        a, b, top = find(a), find(b), top + 1
-        parent[a] = parent[b] = top
-        parent.append(top)
-        size.append(size[a] + size[b])
-        children[top] = (a, b, w)
-    labels, stability, tree, points_of = np.full(n, -1), {}, {}, {}
-    # Condense: a cluster lives on while only one side of a split is large enough.
-    stack, count = [(top, 0.0, None)] if n > 1 else [], 0
-    while stack:
-        node, birth, up = stack.pop()
-        me, count = count, count + 1
-        points_of[me], tree[me], total = node, [], 0.0
-        if up is not None:
-            tree[up].append(me)
-        while True:
-            if node not in children:
-                break
-            a, b, w = children[node]
-            lam = 1 / w if w > 0 else 1e12
-            big = [c for c in (a, b) if size[c] >= min_size]
-            if len(big) == 1:
-                total += (lam - birth) * (size[node] - size[big[0]])
-                node = big[0]
-            else:
-                total += (lam - birth) * size[node]
-                stack += [(c, lam, me) for c in big]
-                break
-        stability[me] = total
-    chosen: dict[int, bool] = {}
-    for c in sorted(tree, reverse=True):
-        below = sum(stability[k] for k in tree[c])
-        if c == 0 or (tree[c] and below > stability[c]):  # the root is no cluster
-            chosen[c] = False
-            stability[c] = max(below, stability[c]) if c else below
-        else:
-            chosen[c] = True
-            under = list(tree[c])
-            while under:
-                k = under.pop()
-                chosen[k] = False
-                under += tree[k]
-    for label, c in enumerate(sorted(c for c in chosen if chosen[c])):
-        under = [points_of[c]]
-        while under:
-            node = under.pop()
-            if node < n:
-                labels[node] = label
-            else:
-                under += children[node][:2]
-    return labels
-
-
-def hdbscan(points: DataFrame, min_size: int = 15) -> DataFrame:
-    """(id, label), -1 for noise."""
-    ensure_checkpoint_dir(points.sparkSession)
-    ids, x = _matrix(points)
-    return _labels_in_task(points, ids, x, lambda values: hdbscan_labels(values, min_size)).select("id", "label")
-
-
 def optimize_components(points: DataFrame, ns: range = range(3, 11), k: int = 5, seeds: int = 3) -> DataFrame:
     """(n, explained_pct, silhouette, davies_bouldin, calinski_harabasz, inertia) of k-means on the standardised scores of the
     first n axes; n of as many as rows or coordinates are passed over. The axes are found once."""
@@ -475,6 +389,8 @@ def dbscan_sweep(points: DataFrame, eps=(0.5, 1.0, 1.5, 2.0, 2.5, 3.0), min_samp
 
 
 def hdbscan_sweep(points: DataFrame, sizes=(5, 10, 15, 20)) -> DataFrame:
+    from .hierarchy import hdbscan
+
     return sweep(points, "min_size", sizes, lambda p, n: hdbscan(p, n))
 
 

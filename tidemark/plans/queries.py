@@ -10,6 +10,7 @@ from .. import functions as fn
 from .. import sources
 from ..operators import density as D
 from ..operators import features as X
+from ..operators import hierarchy as H
 from ..operators import learn as L
 from ..operators import metrics as M
 from ..operators import portfolio as P
@@ -843,7 +844,7 @@ def spectral_labels(s, d):
 
 @query()
 def hdbscan_labels(s, d):
-    return L.hdbscan(I.scores(s, d))
+    return H.hdbscan(I.scores(s, d))
 
 
 @query()
