@@ -71,21 +71,21 @@ def test_balanced_sizes(spark):
 
 @pytest.mark.parametrize("kind", ["diag", "tied", "full"])
 def test_mixture_criteria(spark, kind):
-    """BIC and AIC from the likelihood of parameters that the responsibilities imply."""
+    """BIC and AIC from the likelihood of the parameters, which one more step of EM leaves where they are."""
     x = scaled(blobs(5, dims=3))
     row = learn.gmm_sweep(frame(spark, x), range(3, 4), (kind,), 2).first()
-    resp, n, d, k = np.array(row.resp), len(x), 3, 3
-    assert np.allclose(resp.sum(1), 1)
-    w = resp.sum(0)
-    means = resp.T @ x / w[:, None]
-    each = np.array([(resp[:, j, None] * (x - means[j])).T @ (x - means[j]) for j in range(k)])
-    cov = {"full": lambda j: each[j] / w[j], "tied": lambda j: each.sum(0) / n, "diag": lambda j: np.diag(np.diag(each[j] / w[j]))}[kind]
+    n, d, k = len(x), 3, 3
+    w, means, flat = np.array(row.weights) * n, np.array(row.means), np.array(row.covariances)
+    cov = {"full": lambda j: flat.reshape(k, d, d)[j], "tied": lambda j: flat.reshape(d, d), "diag": lambda j: np.diag(flat.reshape(k, d)[j])}[kind]
+    assert w.sum() == pytest.approx(n)
     dens = np.zeros((n, k))
     for j in range(k):
-        c = cov(j) + 1e-6 * np.eye(d)
+        c = cov(j)
         diff = x - means[j]
         dens[:, j] = w[j] / n * np.exp(-0.5 * (diff @ np.linalg.inv(c) * diff).sum(1)) / np.sqrt((2 * math.pi) ** d * np.linalg.det(c))
     total = np.log(dens.sum(1)).sum()
+    share = dens / dens.sum(1, keepdims=True)
+    assert np.allclose(share.sum(0), w, atol=0.05 * n) and np.allclose(share.T @ x / share.sum(0)[:, None], means, atol=0.1)
     count = k * d + k - 1 + {"diag": k * d, "tied": d * (d + 1) // 2, "full": k * d * (d + 1) // 2}[kind]
     assert row.log_likelihood * n == pytest.approx(total, abs=0.01 * n)
     assert row.bic == pytest.approx(-2 * row.log_likelihood * n + count * math.log(n)) and row.aic == pytest.approx(-2 * row.log_likelihood * n + 2 * count)
@@ -100,6 +100,33 @@ def test_best_mixture(spark):
     assert all(sum(r.probabilities) == pytest.approx(1) for r in out) and len({r.label for r in out}) == best.k
     with pytest.raises(ValueError):
         learn.gmm_sweep(frame(spark, x).limit(0))
+    for bad in (sweep.limit(0), sweep.withColumn("bic", F.lit(None).cast("double"))):
+        with pytest.raises(ValueError):
+            learn.select_gmm(bad)
+
+
+def test_sweep_scores_match_the_single_measures(spark):
+    x = blobs(8)
+    ks = [2, 4]
+    rows = {r.k: r for r in learn.kmeans_sweep(frame(spark, x), ks, 5).collect()}
+    for k in ks:
+        own = frame(spark, x).select("id", "x").join(learn.kmeans(frame(spark, x), k, 5), "id")
+        one = metrics.inertia(own).crossJoin(metrics.silhouettes(own).agg(F.avg("s").alias("silhouette"))).crossJoin(metrics.calinski_harabasz(own)).crossJoin(metrics.davies_bouldin(own)).first()
+        for c in ("inertia", "silhouette", "calinski_harabasz", "davies_bouldin"):
+            assert rows[k][c] == pytest.approx(one[c])
+
+
+def test_reference_sets_follow_from_ids(spark):
+    from tidemark.operators.sweeps import Starts, uniform
+
+    ids = np.arange(4000)
+    u = np.stack([uniform(ids, 1, 2, j) for j in range(3)], 1)
+    assert 0 < u.min() and u.max() < 1 and np.allclose(u.mean(0), 0.5, atol=0.03) and np.abs(np.corrcoef(u.T) - np.eye(3)).max() < 0.06
+    x = blobs(9)
+    costs = [Starts(frame(spark, x).repartition(n), [3], 4, (-1, 0)).run() for n in (2, 5)]
+    assert np.allclose(costs[0].cost, costs[1].cost)
+    best = min(learn.lloyd(x, 3, np.random.default_rng(s))[1] for s in range(10))
+    assert costs[0].cost[costs[0].best()[3, -1]] <= 1.001 * best
 
 
 def test_errors_and_saved_models(spark, tmp_path):

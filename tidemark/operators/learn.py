@@ -9,8 +9,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -18,20 +18,28 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship
 from .blocks import numbered
+from .near import columns
 from .regimes import canonical
+from .sweeps import Starts, labelled, mixtures, scores
 
 MOST_ROWS = 20_000
+_SCORES = ("inertia", "silhouette", "calinski_harabasz", "davies_bouldin")
 #: Bytes of a dense square matrix, which spectral clustering takes apart.
 MOST_BYTES = 1 << 30
 
 
 def standardize(points: DataFrame) -> DataFrame:
-    """Coordinates less their mean over their population deviation; a constant coordinate is divided by 1."""
-    flat = points.select("id", F.posexplode("x").alias("i", "v"))
-    m = flat.groupBy("i").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("dev"))
-    rows = flat.join(m, "i").select("id", "i", ((F.col("v") - F.col("mean")) / F.when(F.col("dev") == 0, 1.0).otherwise(F.col("dev"))).alias("z"))
-    back = rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "z"))), lambda s: s["z"]).alias("x"))
-    return points.drop("x").join(back, "id")
+    """Coordinates less their mean over their population deviation; a constant coordinate is divided by 1.
+
+    Means and deviations are two aggregates by coordinate; vectors are scaled where they are and never shuffled.
+    """
+    d = points.agg(F.max(F.size("x"))).first()[0] or 0
+    parts = [f(F.col("x")[j]).alias(f"{n}{j}") for j in range(d) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+    found = points.agg(*parts).first() if d else {}
+    means = F.array(*(F.lit(found[f"m{j}"]) for j in range(d)))
+    widths = F.array(*(F.lit(found[f"s{j}"] or 1.0) for j in range(d)))
+    centred = F.zip_with("x", means, lambda v, m: v - m)
+    return points.withColumn("x", F.zip_with(centred, widths, lambda v, w: v / w))
 
 
 def pca(points: DataFrame, n: int = 5) -> DataFrame:
@@ -84,26 +92,20 @@ def svd_scores(points: DataFrame, n: int = 5) -> DataFrame:
     return pca(points.select("id", "x"), n).withColumnRenamed("x", "pca").join(own, "id").select("id", "pca", "svd")
 
 
-def kmeans(points: DataFrame, k: int, seeds: int = 5) -> DataFrame:
+def kmeans(points: DataFrame, k: int, seeds: int = 50) -> DataFrame:
     """(id, label) of the cheapest of several starts, numbered by the mean of the first coordinate."""
-    rows = points.select("id", F.col("x")[0].alias("pc1"), array_to_vector("x").alias("features"))
-    fits = [KMeans(k=k, seed=s, maxIter=50).fit(rows) for s in range(seeds)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    out = canonical(best.transform(rows).select("id", "pc1", F.col("prediction").alias("label"))).select("id", "label")
-    return out
+    fits = Starts(points, [k], seeds).run()
+    out = labelled(points.select("id", "x"), [fits.centres[fits.best()[k, -1]]])
+    return canonical(out.select("id", F.col("x")[0].alias("pc1"), F.col("labels")[0].alias("label"))).select("id", "label")
 
 
-def kmeans_sweep(points: DataFrame, ks: range = range(2, 13), seeds: int = 3) -> DataFrame:
-    """(k, inertia, silhouette, calinski_harabasz, davies_bouldin)."""
-    from . import metrics as M
-
-    out = None
-    for k in ks:
-        own = points.select("id", "x").join(kmeans(points, k, seeds), "id")
-        row = M.inertia(own).crossJoin(M.silhouettes(own).agg(F.avg("s").alias("silhouette"))).crossJoin(M.calinski_harabasz(own)).crossJoin(M.davies_bouldin(own))
-        row = row.select(F.lit(k).alias("k"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+def kmeans_sweep(points: DataFrame, ks: range = range(2, 13), seeds: int = 50) -> DataFrame:
+    """(k, inertia, silhouette, calinski_harabasz, davies_bouldin); all starts of all k are advanced together."""
+    fits = Starts(points, ks, seeds).run()
+    best = fits.best()
+    found = scores(labelled(fits.points, [fits.centres[best[k, -1]] for k in ks]), list(ks))
+    rows = [(k, *(r[c] for c in _SCORES)) for k, r in zip(ks, found)]
+    return points.sparkSession.createDataFrame(rows, "k int, " + ", ".join(f"{c} double" for c in _SCORES))
 
 
 def _matrix(points: DataFrame) -> tuple[list, np.ndarray]:
@@ -200,102 +202,60 @@ def balanced_kmeans(points: DataFrame, k: int = 5, seeds: int = 10, slack: int =
     return canonical(out).select("id", "label")
 
 
-def _log_gauss(x: np.ndarray, means: np.ndarray, cov: np.ndarray, kind: str) -> np.ndarray:
-    out = np.empty((len(x), len(means)))
-    for j, m in enumerate(means):
-        d = x - m
-        if kind == "diag":
-            out[:, j] = -0.5 * ((d * d / cov[j]).sum(1) + np.log(2 * np.pi * cov[j]).sum())
-        else:
-            c = cov if kind == "tied" else cov[j]
-            low = np.linalg.cholesky(c)
-            z = np.linalg.solve(low, d.T)
-            out[:, j] = -0.5 * ((z * z).sum(0) + x.shape[1] * math.log(2 * math.pi)) - np.log(np.diag(low)).sum()
-    return out
-
-
-def em(x: np.ndarray, k: int, kind: str, rng: np.random.Generator, rounds: int = 300, tol: float = 1e-3) -> tuple[float, np.ndarray]:
-    """Mixture of Gaussians; (mean log-likelihood, responsibilities)."""
-    n, d = x.shape
-    resp = np.eye(k)[lloyd(x, k, rng)[0]]
-    before = -np.inf
-    for _ in range(rounds):
-        w = resp.sum(0) + 1e-10
-        means = resp.T @ x / w[:, None]
-        if kind == "diag":
-            cov = np.maximum(resp.T @ (x * x) / w[:, None] - means**2, 0) + 1e-6
-        else:
-            each = np.array([(resp[:, j, None] * (x - means[j])).T @ (x - means[j]) for j in range(k)])
-            cov = each.sum(0) / n + 1e-6 * np.eye(d) if kind == "tied" else each / w[:, None, None] + 1e-6 * np.eye(d)
-        logs = _log_gauss(x, means, cov, kind) + np.log(w / n)
-        top = logs.max(1, keepdims=True)
-        total = np.log(np.exp(logs - top).sum(1)) + top[:, 0]
-        resp = np.exp(logs - total[:, None])
-        if abs(total.mean() - before) < tol:
-            break
-        before = total.mean()
-    return float(total.mean()), resp
-
-
 def gmm_parameters(k: int, d: int, kind: str) -> int:
     return k * d + k - 1 + {"diag": k * d, "tied": d * (d + 1) // 2, "full": k * d * (d + 1) // 2}[kind]
 
 
-def gmm_sweep(points: DataFrame, ks: range = range(2, 10), kinds: tuple[str, ...] = ("diag", "tied", "full"), seeds: int = 3) -> DataFrame:
-    """(k, covariance, log_likelihood, bic, aic, responsibilities) of the best start; a fit that fails is left out."""
-    spark = points.sparkSession
-    ids, x = _matrix(standardize(points.select("id", "x")))
-    if not len(x):
-        raise ValueError("no points")
-    data = spark.sparkContext.broadcast(x)
+def gmm_sweep(points: DataFrame, ks: range = range(2, 10), kinds: tuple[str, ...] = ("diag", "tied", "full"), seeds: int = 10) -> DataFrame:
+    """(k, covariance, log_likelihood, bic, aic, weights, means, covariances) of the best start; a fit that fails is left out.
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, kind, own = int(pdf.k[0]), pdf.covariance[0], data.value
-        found = []
-        for s in range(seeds):
-            try:
-                found.append(em(own, k, kind, np.random.default_rng(s)))
-            except np.linalg.LinAlgError:
-                continue
-        if not found:
-            return pd.DataFrame({c: [] for c in ("k", "covariance", "log_likelihood", "bic", "aic", "resp")})
-        ll, resp = max(found, key=lambda f: f[0])
-        p, n = gmm_parameters(k, own.shape[1], kind), len(own)
-        return pd.DataFrame({"k": [k], "covariance": [kind], "log_likelihood": [ll], "bic": [-2 * ll * n + p * math.log(n)], "aic": [-2 * ll * n + 2 * p], "resp": [resp.tolist()]})
-
-    grid = spark.createDataFrame([(k, c) for k in ks for c in kinds], "k int, covariance string")
-    return grid.groupBy("k", "covariance").applyInPandas(fit, "k int, covariance string, log_likelihood double, bic double, aic double, resp array<array<double>>")
+    Covariances are flat: diagonals, one matrix, or one after another.
+    """
+    scaled = standardize(points.select("id", "x")).select("id", "x")
+    head = scaled.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
+    if not head.n:
+        raise ValueError("no points")
+    grid = [(k, kind) for k in ks for kind in kinds]
+    rows = []
+    for (k, kind), (ll, m) in sorted(mixtures(scaled, grid, seeds).items()):
+        p = gmm_parameters(k, head.d, kind)
+        rows.append((k, kind, ll, -2 * ll * head.n + p * math.log(head.n), -2 * ll * head.n + 2 * p, m.weights.tolist(), m.means.tolist(), m.cov.ravel().tolist()))
+    return points.sparkSession.createDataFrame(rows, "k int, covariance string, log_likelihood double, bic double, aic double, weights array<double>, means array<array<double>>, covariances array<double>")
 
 
 def select_gmm(sweep: DataFrame) -> DataFrame:
+    """(k, covariance) of the least BIC, ties by k and name. A table without any BIC is an error."""
+    if sweep.filter("bic is not null").isEmpty():
+        raise ValueError("no mixture has a BIC")
     return sweep.filter("bic is not null").agg(F.min_by(F.struct("k", "covariance"), F.struct("bic", "k", "covariance")).alias("s")).select("s.k", "s.covariance")
 
 
-def gmm_labels(points: DataFrame, k: int, kind: str = "full", seeds: int = 3) -> DataFrame:
+def gmm_labels(points: DataFrame, k: int, kind: str = "full", seeds: int = 10) -> DataFrame:
     """(id, label, probabilities): hard labels numbered by the first coordinate; probabilities in the model's own order."""
-    spark = points.sparkSession
-    ids, x = _matrix(standardize(points.select("id", "x")))
-    _, resp = max((em(x, k, kind, np.random.default_rng(s)) for s in range(seeds)), key=lambda f: f[0])
-    rows = [(i, int(r.argmax()), float(v[0]), r.tolist()) for i, r, v in zip(ids, resp, x)]
-    return canonical(spark.createDataFrame(rows, "id long, label int, pc1 double, probabilities array<double>")).select("id", "label", "probabilities")
+    scaled = standardize(points.select("id", "x")).select("id", "x")
+    found = mixtures(scaled, [(k, kind)], seeds)
+    if not found:
+        raise ValueError("no mixture could be fitted")
+    mixture = found[k, kind][1]
 
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                rows = columns(batch)
+                resp, _ = mixture.responsibilities(rows["x"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(resp.argmax(1), pa.int32()), pa.array(rows["x"][:, 0]), pa.array(list(resp), pa.list_(pa.float64()))], names=["id", "label", "pc1", "probabilities"])
 
-def gap_statistic(points: DataFrame, ks: range = range(2, 12), boots: int = 10, starts: int = 5, seed: int = 42) -> DataFrame:
-    """(k, gap, gap_std, gap_sk, optimal): every (k, reference set) is a task of its own."""
-    spark = points.sparkSession
-    _, x = _matrix(points)
-    if len(x) < 2 or not len(ks):
-        raise ValueError("two points and one k at least are needed")
-    data = spark.sparkContext.broadcast(x)
+    return canonical(scaled.mapInArrow(run, "id long, label int, pc1 double, probabilities array<double>")).select("id", "label", "probabilities")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, b = int(pdf.k[0]), int(pdf.boot[0])
-        rng = np.random.default_rng([seed, k, b + 1])
-        own = data.value if b < 0 else rng.uniform(data.value.min(0), data.value.max(0), data.value.shape)
-        return pd.DataFrame({"k": [k], "boot": [b], "log_w": [math.log(min(lloyd(own, k, rng)[1] for _ in range(starts)) + 1e-12)]})
 
-    grid = spark.range(-1, boots).select(F.col("id").alias("boot")).crossJoin(spark.createDataFrame([(k,) for k in ks], "k int"))
-    logs = grid.groupBy("k", "boot").applyInPandas(fit, "k int, boot long, log_w double")
+def gap_statistic(points: DataFrame, ks: range = range(2, 12), boots: int = 10, starts: int = 20, seed: int = 42) -> DataFrame:
+    """(k, gap, gap_std, gap_sk, optimal). Models of the points and of all reference sets are advanced together; a reference
+    point follows from seed, set and id, so sets are made where the points are."""
+    if not len(ks) or points.limit(2).count() < 2:
+        raise ValueError("two points and one k at least are needed")
+    fits = Starts(points, ks, starts, range(-1, boots), seed).run()
+    rows = [(k, b, math.log(fits.cost[m] + 1e-12)) for (k, b), m in fits.best().items()]
+    logs = points.sparkSession.createDataFrame(rows, "k int, boot long, log_w double")
     each = logs.groupBy("k").agg(
         (F.avg(F.when(F.col("boot") >= 0, F.col("log_w"))) - F.max(F.when(F.col("boot") < 0, F.col("log_w")))).alias("gap"),
         F.coalesce(F.stddev_samp(F.when(F.col("boot") >= 0, F.col("log_w"))), F.lit(0.0)).alias("gap_std"),
@@ -327,11 +287,9 @@ def spectral(points: DataFrame, k: int, neighbors: int = 10, starts: int = 10) -
     return canonical(_labels_in_task(points, ids, x, fit)).select("id", "label")
 
 
-def optimize_components(points: DataFrame, ns: range = range(3, 11), k: int = 5, seeds: int = 3) -> DataFrame:
+def optimize_components(points: DataFrame, ns: range = range(3, 11), k: int = 5, seeds: int = 50) -> DataFrame:
     """(n, explained_pct, silhouette, davies_bouldin, calinski_harabasz, inertia) of k-means on the standardised scores of the
     first n axes; n of as many as rows or coordinates are passed over. The axes are found once."""
-    from . import metrics as M
-
     first = points.first()
     if first is None:
         raise ValueError("no points")
@@ -343,14 +301,12 @@ def optimize_components(points: DataFrame, ns: range = range(3, 11), k: int = 5,
     ensure_checkpoint_dir(points.sparkSession)
     share = np.cumsum(explained(points, max(usable)))
     every = standardize(pca(points.select("id", "x"), max(usable))).checkpoint()
-    out = None
+    rows = []
     for n in usable:
-        scores = every.select("id", F.slice("x", 1, n).alias("x"))
-        own = scores.join(kmeans(scores, k, seeds), "id")
-        row = M.inertia(own).crossJoin(M.silhouettes(own).agg(F.avg("s").alias("silhouette"))).crossJoin(M.davies_bouldin(own)).crossJoin(M.calinski_harabasz(own))
-        row = row.select(F.lit(n).alias("n"), F.lit(round(float(share[n - 1]) * 100, 2)).alias("explained_pct"), "silhouette", "davies_bouldin", "calinski_harabasz", "inertia")
-        out = row if out is None else out.unionByName(row)
-    return out
+        fits = Starts(every.select("id", F.slice("x", 1, n).alias("x")), [k], seeds).run()
+        found = scores(labelled(fits.points, [fits.centres[fits.best()[k, -1]]]), [k])[0]
+        rows.append((n, round(float(share[n - 1]) * 100, 2), *(found[c] for c in ("silhouette", "davies_bouldin", "calinski_harabasz", "inertia"))))
+    return points.sparkSession.createDataFrame(rows, "n int, explained_pct double, silhouette double, davies_bouldin double, calinski_harabasz double, inertia double")
 
 
 def loadings(points: DataFrame, n: int = 5) -> DataFrame:
