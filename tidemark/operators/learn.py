@@ -20,12 +20,11 @@ from ..session import ensure_checkpoint_dir, ship
 from .blocks import numbered
 from .near import columns
 from .regimes import canonical
-from .sweeps import Starts, labelled, mixtures, scores
+from .spectra import leading
+from .sweeps import Starts, labelled, mixtures, scores, silhouettes, totals
 
 MOST_ROWS = 20_000
 _SCORES = ("inertia", "silhouette", "calinski_harabasz", "davies_bouldin")
-#: Bytes of a dense square matrix, which spectral clustering takes apart.
-MOST_BYTES = 1 << 30
 
 
 def standardize(points: DataFrame) -> DataFrame:
@@ -119,19 +118,6 @@ def _matrix(points: DataFrame) -> tuple[list, np.ndarray]:
     return [r.id for r in rows], np.array([r.x for r in rows], float)
 
 
-def _labels_in_task(points: DataFrame, ids: list, x: np.ndarray, fit) -> DataFrame:
-    """(id, label, pc1) by ``fit(x)``, which runs in a task, not in the driver."""
-    data = points.sparkSession.sparkContext.broadcast((ids, x))
-
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                own, values = data.value
-                yield pd.DataFrame({"id": own, "label": np.asarray(fit(values), int), "pc1": values[:, 0]})
-
-    return points.sparkSession.range(1, numPartitions=1).mapInPandas(run, "id long, label int, pc1 double").checkpoint()
-
-
 def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, assign=None, rounds: int = 100) -> tuple[np.ndarray, float]:
     """k-means++ start, then assignment and means in turn; (labels, inertia)."""
     c = x[[rng.integers(len(x))]]
@@ -265,26 +251,28 @@ def gap_statistic(points: DataFrame, ks: range = range(2, 12), boots: int = 10,
     return each.withColumn("ok", ok).withColumn("optimal", F.col("ok") & (F.sum(F.col("ok").cast("int")).over(w) == 1)).drop("ok")
 
 
-def spectral(points: DataFrame, k: int, neighbors: int = 10, starts: int = 10) -> DataFrame:
-    """(id, label): leading eigenvectors of the normalised affinity, then k-means; numbered by the first coordinate."""
+def embedding(points: DataFrame, k: int, neighbors: int = 10) -> DataFrame:
+    """(id, x): leading eigenvectors of the normalised kNN affinity over the square roots of degrees. No points are an error."""
     from .density import affinity
 
-    ensure_checkpoint_dir(points.sparkSession)
-    ids, x = _matrix(points)
-    if 8 * len(ids) ** 2 > MOST_BYTES:
-        raise ValueError(f"a matrix of {len(ids)} by {len(ids)} is over {MOST_BYTES} bytes")
-    place = {i: n for n, i in enumerate(ids)}
-    edges = np.array([(place[r.id], place[r.other], r.w) for r in affinity(points, neighbors).collect()])  # at most 2 * neighbors for each of MOST_ROWS points
+    edges = affinity(points.select("id", "x"), neighbors).checkpoint()
+    degrees = edges.groupBy("id").agg(F.sum("w").alias("degree")).checkpoint()
+    scale = degrees.select("id", F.sqrt("degree").alias("root")).checkpoint()
+    scaled = edges.join(scale, "id").join(scale.select(F.col("id").alias("other"), F.col("root").alias("root2")), "other")
+    _, vectors = leading(scaled.select("id", "other", (F.col("w") / F.col("root") / F.col("root2")).alias("w")).checkpoint(), k)
+    return vectors.join(scale, "id").select("id", F.transform("x", lambda v: v / F.col("root")).alias("x")).checkpoint()
+
+
+def _spectral(points: DataFrame, embedded: DataFrame, k: int, starts: int) -> DataFrame:
+    own = embedded.select("id", F.slice("x", 1, k).alias("x"))
+    fits = Starts(own, [k], starts).run()
+    found = labelled(own, [fits.centres[fits.best()[k, -1]]]).select("id", F.col("labels")[0].alias("label"))
+    return canonical(points.select("id", F.col("x")[0].alias("pc1")).join(found, "id")).select("id", "label")
 
-    def fit(values: np.ndarray) -> np.ndarray:
-        a = np.zeros((len(values), len(values)))
-        a[edges[:, 0].astype(int), edges[:, 1].astype(int)] = edges[:, 2]
-        root = 1 / np.sqrt(a.sum(1))
-        _, vectors = np.linalg.eigh(a * root[:, None] * root)
-        embedded = vectors[:, -k:] * root[:, None]
-        return min((lloyd(embedded, k, np.random.default_rng(s)) for s in range(starts)), key=lambda f: f[1])[0]
 
-    return canonical(_labels_in_task(points, ids, x, fit)).select("id", "label")
+def spectral(points: DataFrame, k: int, neighbors: int = 10, starts: int = 10) -> DataFrame:
+    """(id, label): leading eigenvectors of the normalised affinity, then k-means; numbered by the first coordinate."""
+    return _spectral(points, embedding(points, k, neighbors), k, starts)
 
 
 def optimize_components(points: DataFrame, ns: range = range(3, 11), k: int = 5, seeds: int = 50) -> DataFrame:
@@ -319,23 +307,34 @@ def loadings(points: DataFrame, n: int = 5) -> DataFrame:
     return points.sparkSession.createDataFrame(rows, "feature int, component int, pca double, svd double")
 
 
-def label_summary(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """(n_clusters, n_noise, noise_pct, silhouette); the last is null under two clusters."""
-    from . import metrics as M
+def label_summaries(points: DataFrame) -> list[tuple[int, int, float, float | None]]:
+    """(n_clusters, n_noise, noise_pct, silhouette) of each of ``labels`` (an array by point; under 0 is noise); the last is
+    null under two clusters. Blocks of points meet once for all of them."""
+    width = points.agg(F.max(F.size("labels")).alias("n"), F.max(F.array_max("labels")).alias("top")).first()
+    size = (width.top or 0) + 1
 
-    met = points.select("id", "x").join(labels.filter("label >= 0").select("id", "label"), "id")
-    head = labels.agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n_clusters"), F.count_if(F.col("label") < 0).alias("n_noise"), F.bround(F.avg((F.col("label") < 0).cast("int")) * 100, 1).alias("noise_pct"))
-    sil = M.silhouettes(met).agg(F.avg("s").alias("s"))
-    return head.crossJoin(sil).select("n_clusters", "n_noise", "noise_pct", F.when(F.col("n_clusters") >= 2, F.col("s")).alias("silhouette"))
+    def count(ids, x, labels):
+        for j in range(labels.shape[1]):
+            yield j, np.bincount(labels[:, j] + 1, minlength=size + 1).astype(float)
+
+    found = totals(points, count, "labels")
+    counts = [found[j][1:] for j in range(width.n)]
+    out = []
+    for j, s in enumerate(silhouettes(points, counts)):
+        clusters, noise, n = int((counts[j] > 0).sum()), int(found[j][0]), found[j].sum()
+        out.append((clusters, noise, round(100 * noise / n, 1), s if clusters >= 2 else None))
+    return out
 
 
 def sweep(points: DataFrame, name: str, values, make) -> DataFrame:
-    """``label_summary`` of ``make(points, value)`` for each value, in a column ``name``."""
-    out = None
-    for v in values:
-        row = label_summary(points, make(points, v)).select(F.lit(v).alias(name), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(``name``, n_clusters, n_noise, noise_pct, silhouette) of ``make(points, value)`` for each value."""
+    ensure_checkpoint_dir(points.sparkSession)
+    own = points.select("id", "x")
+    for j, v in enumerate(values):
+        own = own.join(make(points, v).select("id", F.col("label").alias(f"l{j}")), "id")
+    own = own.select("id", "x", F.array(*(f"l{j}" for j in range(len(values)))).alias("labels")).checkpoint()
+    rows = [(v, *r) for v, r in zip(values, label_summaries(own))]
+    return points.sparkSession.createDataFrame(rows, f"{name} {'double' if isinstance(values[0], float) else 'int'}, n_clusters long, n_noise long, noise_pct double, silhouette double")
 
 
 def dbscan_sweep(points: DataFrame, eps=(0.5, 1.0, 1.5, 2.0, 2.5, 3.0), min_samples: int = 5) -> DataFrame:
@@ -350,8 +349,10 @@ def hdbscan_sweep(points: DataFrame, sizes=(5, 10, 15, 20)) -> DataFrame:
     return sweep(points, "min_size", sizes, lambda p, n: hdbscan(p, n))
 
 
-def spectral_sweep(points: DataFrame, ks: range = range(2, 8), neighbors: int = 10, starts: int = 5) -> DataFrame:
-    return sweep(points, "k", ks, lambda p, k: spectral(p, k, neighbors, starts))
+def spectral_sweep(points: DataFrame, ks: range = range(2, 8), neighbors: int = 10, starts: int = 10) -> DataFrame:
+    """``label_summary`` of spectral clusters for each k; the graph and its eigenvectors are found once, for the largest."""
+    embedded = embedding(points, max(ks), neighbors)
+    return sweep(points, "k", ks, lambda p, k: _spectral(p, embedded, k, starts))
 
 
 def save_model(model, path: str) -> None:
