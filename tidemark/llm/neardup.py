@@ -9,7 +9,7 @@
    still hold several components matter: members outside the largest component are compared with the others, in blocks of a
    fixed size within Python tasks, which return links alone. Every pair that shares a bucket is so compared, or already
    connected; every link is confirmed on full sets.
-4. Components by label propagation over checkpointed tables.
+4. Components by contraction of links over checkpointed tables.
 """
 from __future__ import annotations
 
@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WHITE, arrow_map, blobs, cut, pick, read, slices
+from ..operators.blocks import components as contracted
+from ._common import WHITE, arrow_map, blobs, checkpoint_dir, cut, pick, read, slices
 
 SHINGLE = 5
 #: Linked are pairs with 100 * intersection >= THRESHOLD * union.
@@ -153,22 +154,11 @@ def sketches(df: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SH
 def components(nodes: DataFrame, links: DataFrame, node: str = "id") -> DataFrame:
     """(id, root): the smallest id that each node of ``nodes`` reaches over ``links`` (a, b).
 
-    Labels are lowered to the smallest label next to a node and to the label of the label, until none changes; each round is
-    a checkpointed table, and sums and minima are formed before rows are shuffled.
+    Links are contracted round after round until few enough are left for one task; each round is a checkpointed table.
     """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    ends = both.select(F.col("a").alias("id")).distinct()
-    labels = cut(ends.select("id", F.col("id").alias("root")))
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))
-        step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("root").alias("old"), F.least("root", "low").alias("low"))
-        up = labels.select(F.col("id").alias("low"), F.col("root").alias("up"))
-        new = cut(step.join(up, "low").select("id", "old", F.least("low", "up").alias("root")))
-        changed = new.filter("root < old").limit(1).count()
-        labels = new.select("id", "root")
-        if not changed:
-            break
-    return nodes.select(F.col(node).alias("id")).join(labels, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    checkpoint_dir(nodes.sparkSession)
+    found = contracted(links.select("a", "b"))
+    return nodes.select(F.col(node).alias("id")).join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 class Index:
@@ -290,7 +280,7 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, size: int = SHING
     Null texts and texts without words have empty sets: they are linked with nothing and stay. component_id is the smallest
     doc_id reachable over links; kept is whether it is the row's own. Rows that repeat a doc_id are one document, linked
     as any of its texts is; rows with a null doc_id are compared with nothing, have a null component_id and are kept. Texts of any
-    length are taken whole; extra columns are ignored. A pair at the threshold shares no band with probability under 3e-8.
+    length are taken whole; extra columns are ignored; an empty frame gives an empty frame. A pair at the threshold shares no band with probability under 3e-8.
     Shingles are compared by 64-bit hashes and classes of equal sets by two 64-bit sums of these, not by their words again.
     """
     docs = pick(df, "doc_id", "text")
