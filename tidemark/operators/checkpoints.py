@@ -1,8 +1,13 @@
-"""Named Parquet tables with a manifest beside them, in any store that Spark can reach."""
+"""Named Parquet tables with a manifest beside them, in any store that Spark can reach.
+
+A table is saved as a new version in a folder of its own; then the manifest, which names the version, takes the place of the
+old one in one step. Readers follow the manifest, so a save that fails half way leaves the old table as it was.
+"""
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,22 +28,46 @@ class Checkpoints:
         return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame, name: str, index: str = "date") -> dict:
-        """Write, then count once over what was written."""
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}.parquet")
-        kept = self.load(name)
+        """Write a new version, count once over what was written, then let the manifest name it. Older versions go, but for the
+        last one, which readers may still be at."""
+        before = self.meta(name) or {}
+        version = f"{name}.versions/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.folder}/{version}")
+        kept = self.spark.read.parquet(f"{self.folder}/{version}")
         ends = [F.min(index).cast("string").alias("a"), F.max(index).cast("string").alias("b")] if index in kept.columns else [F.lit(None).alias("a"), F.lit(None).alias("b")]
         row = kept.agg(F.count("*").alias("n"), *ends).first()
-        # The keys are fixed values: readers of manifests know these names.
-        meta = {"name": name, "created": datetime.now().isoformat(), "config_hash": self.config_hash, "rows": row.n, "columns": len(kept.columns), "col_names": kept.columns, "index_start": row.a, "index_end": row.b}
-        out = self._fs().create(self._path(f"{name}.meta.json"), True)
+        # The keys but the last are fixed values: readers of manifests know these names.
+        meta = {"name": name, "created": datetime.now().isoformat(), "config_hash": self.config_hash, "rows": row.n, "columns": len(kept.columns), "col_names": kept.columns, "index_start": row.a, "index_end": row.b, "version": version}
+        self._publish(name, meta)
+        current = {version.rsplit("/", 1)[1], before.get("version", "").rsplit("/", 1)[-1]}
+        for f in self._fs().listStatus(self._path(f"{name}.versions")):
+            if f.getPath().getName() not in current:
+                self._fs().delete(f.getPath(), True)
+        return meta
+
+    def _publish(self, name: str, meta: dict) -> None:
+        """The manifest under another name first, then renamed over the old one."""
+        draft, final = self._path(f"{name}.draft-{uuid.uuid4().hex}"), self._path(f"{name}.meta.json")
+        out = self._fs().create(draft, True)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
-        return meta
+        hadoop, gateway = self.spark._jvm.org.apache.hadoop.fs, self.spark.sparkContext._gateway
+        over = gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        hadoop.FileContext.getFileContext(self._fs().getUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, final, over)
+
+    def _table(self, name: str) -> str | None:
+        """Where the table is: the version that the manifest names, or a folder of snapshots."""
+        for place in ((self.meta(name) or {}).get("version"), f"{name}.parquet"):
+            if place and self._fs().exists(self._path(place)):
+                return f"{self.folder}/{place}"
+        return None
 
     def load(self, name: str) -> DataFrame:
-        if not self._fs().exists(self._path(f"{name}.parquet")):
-            raise FileNotFoundError(f"{self.folder}/{name}.parquet")
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        where = self._table(name)
+        if where is None:
+            raise FileNotFoundError(f"{self.folder}/{name}")
+        return self.spark.read.parquet(where)
 
     def save_snapshot(self, df: DataFrame, name: str, date: str) -> None:
         """The state of a table on a date; that date's rows alone are replaced."""
@@ -61,7 +90,7 @@ class Checkpoints:
 
     def is_fresh(self, name: str, max_age_days: float = 7.0, require_config_match: bool = False) -> bool:
         meta = self.meta(name)
-        if meta is None or not self._fs().exists(self._path(f"{name}.parquet")):
+        if meta is None or self._table(name) is None:
             return False
         young = datetime.now() - datetime.fromisoformat(meta["created"]) <= timedelta(days=max_age_days)
         return young and (not require_config_match or meta.get("config_hash") == self.config_hash)
@@ -88,7 +117,7 @@ class Checkpoints:
         return meta
 
     def clear(self, name: str) -> None:
-        for tail in (".parquet", ".meta.json", ".csv"):
+        for tail in (".meta.json", ".versions", ".parquet", ".csv"):
             self._fs().delete(self._path(name + tail), True)
 
     def clear_all(self) -> None:
