@@ -97,3 +97,10 @@ def test_models_cluster_scores_of_whole_vectors(spark, monkeypatch):
     QUERIES["hdbscan_labels"](spark, DATA)
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-3) for i in want)
     assert QUERIES["svd_loadings"](spark, DATA).count() == 3 * len(inputs.points(spark, DATA).first().x)
+
+
+def test_pair_frame_shows_scores(spark):
+    want = {r.id: [r[f"PC{k}"] for k in range(1, 6)] for r in QUERIES["pca_scores"](spark, DATA).collect()}
+    rows = QUERIES["pair_frame"](spark, DATA).collect()
+    assert {r.id for r in rows} == want.keys() and all([r[f"PC{k}"] for k in range(1, 6)] == pytest.approx(want[r.id], abs=1e-3) for r in rows)
+    assert {r.regime for r in rows if r.id % 7 == 0} == {"?"} and "first" in {r.regime for r in rows}

@@ -1,7 +1,7 @@
 """Sinks for people: CSV files, names, the console dashboard, and frames that plots read."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import numbered
@@ -104,3 +104,9 @@ def validate(df: DataFrame, least_rows: int = 1, columns: list[str] | None = Non
     if row.n < least_rows or gaps:
         raise ValueError(f"{row.n} rows, missing values {gaps}")
     return df
+
+
+def top_importances(importances: DataFrame, n: int = 25) -> DataFrame:
+    """(rank, feature, importance) of the ``n`` most important features, from 1; ties by name."""
+    top = importances.filter("importance is not null").orderBy(F.desc("importance"), "feature").limit(n)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("importance"), "feature")).alias("rank"), "feature", "importance")

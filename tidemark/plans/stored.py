@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..operators import learn as L
 from ..operators import reports as V
+from ..operators import series as S
 from ..operators.checkpoints import Checkpoints
 from ..session import ensure_checkpoint_dir
 from . import inputs as I
@@ -148,33 +150,75 @@ def price_fallbacks(s, d):
     return rounded(sources.price_chain(s, tickers, batch, broken, asked, lambda still: None, rest))
 
 
-def _months(key: str, series: str) -> list[tuple]:
-    """24 months of a made-up service; it refuses a wrong key and knows no series X."""
-    if key != "key" or series == "X":
-        raise OSError("refused")
-    k = int(series[1:])
-    return [(dt.date(2019 + m // 12, m % 12 + 1, 15), float(100 * k + m)) for m in range(24)]
+def _service(s: SparkSession, d: str) -> dict[str, list[tuple[dt.date, float]]]:
+    """What a service would answer: the dearest order of each month in three series. Its size is that of the calendar."""
+    rows = I.read(s, d, "orders").select(F.concat(F.lit("K"), F.col("o_orderkey") % 3).alias("series"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month"), "o_totalprice")
+    out: dict[str, list[tuple[dt.date, float]]] = {}
+    for r in rows.groupBy("series", "month").agg(F.max("o_totalprice").alias("v")).orderBy("series", "month").collect():
+        out.setdefault(r.series, []).append((r.month, r.v))
+    return out
 
 
-_SQL_SERVICE = f"""q as (select 'F' || k as series, {I.QE.format("date '2019-01-15' + to_months(3 * j)")} as date, cast(100 * k + 3 * j + 2 as double) as value from range(1, 4) a(k), range(0, 8) b(j))"""
+_SQL_SERVICE = f"""m as (select 'K' || (o_orderkey % 3) as series, cast(date_trunc('month', o_orderdate) as date) as month, max(o_totalprice) as v from orders group by 1, 2),
+q as (select series, {I.QE.format("month")} as date, arg_max(v, month) as value from m group by 1, 2)"""
 
 
-@query(f"with {_SQL_SERVICE} select series, date, case when series = 'F2' then lag(value) over (partition by series order by date) else value end as value from q")
+@query(f"with {_SQL_SERVICE} select series, date, round(case when series = 'K1' then lag(value) over (partition by series order by date) else value end, 6) as value from q")
 def keyed_series(s, d):
-    return sources.keyed_series(s, ["F1", "F2", "X", "F3"], "key", _months, late=["F2"])
+    """A service that wants a key, and knows no series X; K1 comes a quarter late."""
+    known = _service(s, d)
 
+    def fetch(key: str, series: str) -> list[tuple]:
+        if key != "key" or series not in known:
+            raise OSError("refused")
+        return known[series]
 
-def _pages(name: str) -> list[tuple]:
-    """Text cells of made-up pages, the second with percentages; a third cannot be reached."""
-    if name == "none":
-        raise OSError("no such page")
-    tail = {"pe": "", "yield": "%"}[name]
-    return [(f"{m} 15, 2020", f"{k + 1}.50{tail}") for k, m in enumerate(("Jan", "Feb", "Apr", "May", "Aug"))]
+    return rounded(sources.keyed_series(s, [*sorted(known), "X"], "key", fetch, late=["K1"]))
 
 
-@query("select * from (values ('pe', date '2020-03-31', 2.5::double), ('pe', date '2020-06-30', 4.5), ('pe', date '2020-09-30', 5.5), ('yield', date '2020-03-31', 0.025), ('yield', date '2020-06-30', 0.045), ('yield', date '2020-09-30', 0.055)) t(series, date, value)")
+@query(f"with {_SQL_SERVICE} select series, date, round(value, 6) as value from q")
+def retried_series(s, d):
+    """Every series is refused at first and fetched when asked again."""
+    known, asked = _service(s, d), {}
+
+    def fetch(series: str) -> list[tuple]:
+        asked[series] = asked.get(series, 0) + 1
+        if asked[series] == 1:
+            raise OSError("busy")
+        return known[series]
+
+    sources.register_fetcher(s, "retried_series", sources.retrying(fetch, 3, 0.01))
+    rows = s.read.format("retried_series").option("series", ",".join(sorted(known))).load()
+    return rounded(S.resample_last(rows))
+
+
+@query(f"with {_SQL_SERVICE} select series, date, round(case when series = 'K2' then round(value, 2) / 100 else round(value, 2) end, 6) as value from q where series <> 'K1'")
 def scraped_datasets(s, d):
-    return rounded(sources.scrape_datasets(s, {"pe": "num", "none": "num", "yield": "percent"}, _pages, pause=0.01))
+    """Text cells of pages, those of K2 percentages; K1's page cannot be reached."""
+    known = _service(s, d)
+
+    def page(name: str) -> list[tuple]:
+        if name == "K1":
+            raise OSError("no such page")
+        return [(f"{day:%b} {day.day}, {day.year}", f"{v:,.2f}{'%' if name == 'K2' else ''}") for day, v in known[name]]
+
+    return rounded(sources.scrape_datasets(s, {"K0": "num", "K1": "num", "K2": "percent"}, page, pause=0.01))
+
+
+@query("select r_regionkey as label, upper(r_name) as name from region")
+def names_round_trip(s, d):
+    """Names written as YAML and read back as overrides."""
+    with tempfile.TemporaryDirectory() as folder:  # a file of the driver, as people keep it
+        path = f"{folder}/names.yaml"
+        V.write_names(path, {r.r_regionkey: r.r_name.upper() for r in I.read(s, d, "region").collect()})
+        found = sources.name_overrides(path)
+    return s.createDataFrame(list(found.items()), "label int, name string")
+
+
+@query("with im as (select p_brand as feature, avg(p_retailprice) as importance from part group by 1) select cast(row_number() over (order by importance desc, feature) as int) as rank, feature, round(importance, 6) as importance from im qualify rank <= 20")
+def importance_frame(s, d):
+    found = I.read(s, d, "part").groupBy(F.col("p_brand").alias("feature")).agg(F.avg("p_retailprice").alias("importance"))
+    return rounded(V.top_importances(found, 20))
 
 
 @query(_SQL_Q)
@@ -280,11 +324,12 @@ def feature_distributions(s, d):
     return rounded(V.feature_distributions(e.withColumn("t", tails).select(F.concat("series", "t").alias("series"), "value")))
 
 
-@query(f"with {I.SQL_POINTS} select id, {', '.join(f'round(x[{k}], 6) + 0.0 as PC{k}' for k in range(1, 6))}, case when id % 7 = 0 then '?' when label = 0 then 'first' else 'R' || label end as regime from pts")
+@query()
 def pair_frame(s, d):
+    """Scores on the first five principal axes, with the regime's name where it has one."""
     p = I.points(s, d)
     names = s.createDataFrame([(0, "first")], "label int, name string")
-    return rounded(V.pair_frame(p.select("id", "x"), p.filter("id % 7 <> 0").select("id", F.col("label").cast("int").alias("label")), names))
+    return rounded(V.pair_frame(I.scores(s, d).select("id", "x"), p.filter("id % 7 <> 0").select("id", F.col("label").cast("int").alias("label")), names), 4)
 
 
 @query()
