@@ -25,7 +25,7 @@ from ._common import arrow_map, blobs, cut, pick, read, slices
 
 MARK = "▁"
 #: Bytes of text that make a block; a longer text is a block with what came before it. And chunks encoded at once.
-BLOCK_BYTES, BATCH = 16 << 20, 20_000
+BLOCK_BYTES, BATCH = 10 << 20, 20_000
 #: A chunk begins with a space or line end that follows no white space, or at the text's start.
 _CHUNK = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
 

@@ -241,7 +241,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str |
     """Token ids of each row of ``df`` (doc_id, text): doc_id, ids array<long>; or, with ``digests``, the digest columns.
 
     Null and empty texts have no ids. Repeated rows stay rows of their own and null ids stay null; other columns are
-    ignored. Texts may be of any length; a text longer than a block is a block alone.
+    ignored. Texts may be of any length; a text longer than a block is a block alone. An empty frame gives an empty frame.
     """
     sc = df.sparkSession.sparkContext
     ranks = default_ranks() if ranks is None else ranks

@@ -85,7 +85,7 @@ def format_chats(df: DataFrame) -> DataFrame:
     ``df`` has conv_id, turn, role, text. A conversation is the rows of one conv_id (null is one of its own) by turn, role
     and text, nulls first; repeated rows and equal turns all stay. Null role or text counts as empty. A conversation comes
     in one part, or in more where it spans Arrow batches, so memory stays bounded however long it is; the parts in order
-    are the whole. ``loss`` holds byte spans of assistant contents within the part.
+    are the whole. ``loss`` holds byte spans of assistant contents within the part. An empty frame gives an empty frame.
     """
     rows = pick(df, "conv_id", "turn", "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")

@@ -348,7 +348,8 @@ def find(df: DataFrame, model: Tagger) -> DataFrame:
     """doc_id, base and all (arrays of start, kind, end) for each row of ``df`` (doc_id, text).
 
     Null text counts as empty and has no spans. Repeated rows and null ids stay; other columns are ignored. Places are code
-    points, ends exclusive. Texts of any length are taken whole; the network has a fixed size and is broadcast.
+    points, ends exclusive. Texts of any length are taken whole, an empty frame gives an empty frame; the network has a fixed size
+    and is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = "array<struct<start:long,kind:string,end:long>>"

@@ -250,8 +250,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
 def score(df: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of each row of ``df`` (doc_id, text).
 
-    Null and empty texts get the score of a window without words. Repeated rows and null ids stay; other columns are
-    ignored. The model has a bounded size (its vocabulary comes from the sample) and is broadcast.
+    Null and empty texts get the score of a window without words. All windows of texts of any length are scored. Repeated rows
+    and null ids stay; an empty frame gives an empty frame; other columns are ignored. The model has a bounded size (its vocabulary comes from the sample) and is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
