@@ -149,7 +149,7 @@ def train(texts: list[bytes], labels: np.ndarray, share: tuple[float, float] | N
     if not count.all():
         side = -30.0 if count[0] and not count[1] else 30.0
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), side)
-    rows = list(features(texts))
+    rows = [f.astype(np.int32) for at in range(0, len(texts), 100) for f in features(texts[at : at + 100])]
     fold = np.zeros(len(rows), np.int64)
     for value in (0, 1):
         fold[labels == value] = np.arange(count[value]) % FOLDS
