@@ -84,7 +84,7 @@ def test_forests_have_default_trees(spark, monkeypatch):
     QUERIES["rf_regime"](spark, DATA)
     assert given == [(200, None)]
     out = QUERIES["forward_rf"](spark, DATA)
-    assert set(given[1:]) == {(50, 30)}
+    assert set(given[1:]) == {(200, 30)}
     assert {r.horizon for r in out.select("horizon").distinct().collect()} == {1, 2, 4, 8}
 
 

@@ -6,6 +6,8 @@ of one ``applyInPandas`` each, over a broadcast matrix of at most ``MOST_ROWS``
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -423,16 +425,27 @@ def forward_targets(df: DataFrame, horizon: int, label: int) -> DataFrame:
     return rows.join(ahead, "_rn").withColumn("label", (F.col("_ahead") == label).cast("int")).select(*df.columns)
 
 
-def train_forward(df: DataFrame, horizons: tuple[int, ...] = (1, 2, 4, 8), trees: int = 50, depth: int = 30) -> dict:
+def _side_by_side(fn: Callable, jobs: list, most: int = 4) -> list:
+    """``fn`` of every job, a few at a time: Spark runs small fits together that alone leave tasks idle. Results are in order."""
+    with ThreadPoolExecutor(min(most, max(1, len(jobs)))) as pool:
+        return list(pool.map(lambda job: fn(*job), jobs))
+
+
+def train_forward(df: DataFrame, horizons: tuple[int, ...] = (1, 2, 4, 8), trees: int = 200, depth: int = 30) -> dict:
     """{horizon: {label: model}}: a forest for each regime at each horizon; a target of one class only has no model."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()  # read by every fit
     labels = [r.label for r in df.select("label").distinct().orderBy("label").collect()]
-    out: dict = {}
-    for h in horizons:
-        out[h] = {}
-        for k in labels:
-            rows = forward_targets(df, h, k)
-            if rows.select("label").distinct().count() == 2:
-                out[h][k] = train_classifier(rows, trees=trees, depth=depth)
+
+    def fit(h: int, k):
+        rows = forward_targets(df, h, k)
+        return train_classifier(rows, trees=trees, depth=depth) if rows.select("label").distinct().count() == 2 else None
+
+    jobs = [(h, k) for h in horizons for k in labels]
+    out: dict = {h: {} for h in horizons}
+    for (h, k), model in zip(jobs, _side_by_side(fit, jobs)):
+        if model is not None:
+            out[h][k] = model
     return out
 
 
@@ -441,11 +454,13 @@ def fold_scores(df: DataFrame, splits: int = 5, **how) -> list[float]:
     from .metrics import time_series_split
 
     folds = time_series_split(df, splits).persist()
-    scores = []
-    for k in range(1, splits + 1):
+
+    def score(k: int) -> float:
         own = folds.filter(F.col("fold") == k)
         model = train_classifier(own.filter("role = 'train'").drop("fold", "role"), **how)
-        scores.append(predict(model, own.filter("role = 'test'")).agg(F.avg((F.col("predicted") == F.col("label")).cast("int"))).first()[0])
+        return predict(model, own.filter("role = 'test'")).agg(F.avg((F.col("predicted") == F.col("label")).cast("int"))).first()[0]
+
+    scores = _side_by_side(score, [(k,) for k in range(1, splits + 1)])
     folds.unpersist()
     return scores
 

@@ -119,7 +119,7 @@ class Run:
         model = L.train_classifier(rows, "rf", trees=self.s.trees)
         L.save_model(model, f"{self.folder}/models/current")
         L.save_model(L.train_classifier(rows, "dt"), f"{self.folder}/models/tree")
-        for h, by_label in L.train_forward(rows, self.s.horizons, min(50, self.s.trees)).items():
+        for h, by_label in L.train_forward(rows, self.s.horizons, self.s.trees).items():
             for k, m in by_label.items():
                 L.save_model(m, f"{self.folder}/models/forward/h={h}/regime={k}")
         self.kept.save(L.predict(model, self.points("features_supervised")).select("date", F.col("predicted").alias("label")), "market_code_predicted")
