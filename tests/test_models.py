@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import hierarchy, learn, metrics
 
+from . import plain
+
 
 def frame(spark, x, label=None):
     rows = [(i, 0 if label is None else int(label[i]), v.tolist()) for i, v in enumerate(x)]
@@ -58,7 +60,7 @@ def test_kmeans_cost(spark):
     c = np.array([x[y == k].mean(0) for k in range(3)])
     cost = ((x - c[y]) ** 2).sum()
     assert (((x[:, None] - c) ** 2).sum(2).argmin(1) == y).all()
-    assert cost <= 1.001 * min(learn.lloyd(x, 3, np.random.default_rng(s))[1] for s in range(10))
+    assert cost <= 1.001 * min(plain.lloyd(x, 3, np.random.default_rng(s))[1] for s in range(10))
     assert metrics.inertia(frame(spark, x, y)).first()[0] == pytest.approx(cost)
     assert list(np.argsort([x[y == k][:, 0].mean() for k in range(3)])) == [0, 1, 2]
 
@@ -125,7 +127,7 @@ def test_reference_sets_follow_from_ids(spark):
     x = blobs(9)
     costs = [Starts(frame(spark, x).repartition(n), [3], 4, (-1, 0)).run() for n in (2, 5)]
     assert np.allclose(costs[0].cost, costs[1].cost)
-    best = min(learn.lloyd(x, 3, np.random.default_rng(s))[1] for s in range(10))
+    best = min(plain.lloyd(x, 3, np.random.default_rng(s))[1] for s in range(10))
     assert costs[0].cost[costs[0].best()[3, -1]] <= 1.001 * best
 
 

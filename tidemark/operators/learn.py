@@ -1,7 +1,7 @@
 """Models: scaling, PCA, k-means, size-balanced k-means, mixtures, gap statistic, spectral clustering, classifiers.
 
-Points are (id, x array<double>). What scales uses ``pyspark.ml``; the grids of small fits (k, covariance, seed) run as tasks
-of one ``applyInPandas`` each, over a broadcast matrix of at most ``MOST_ROWS`` points.
+Points are (id, x array<double>). Axes and forests are those of ``pyspark.ml``; grids of models (k, covariance, start) are advanced
+together by scans of the points, see ``sweeps`` and ``sizes``.
 """
 from __future__ import annotations
 
@@ -22,10 +22,10 @@ from ..session import ensure_checkpoint_dir, ship
 from .blocks import numbered
 from .near import columns
 from .regimes import canonical
+from .sizes import fit as fit_sizes
 from .spectra import leading
 from .sweeps import Starts, labelled, mixtures, scores, silhouettes, totals
 
-MOST_ROWS = 20_000
 _SCORES = ("inertia", "silhouette", "calinski_harabasz", "davies_bouldin")
 
 
@@ -109,85 +109,11 @@ def kmeans_sweep(points: DataFrame, ks: range = range(2, 13), seeds: int = 50) -
     return points.sparkSession.createDataFrame(rows, "k int, " + ", ".join(f"{c} double" for c in _SCORES))
 
 
-def _matrix(points: DataFrame) -> tuple[list, np.ndarray]:
-    """All points by id, for tasks that fit small models."""
-    ship(points.sparkSession)
-    rows = points.select("id", "x").orderBy("id").limit(MOST_ROWS + 1).collect()
-    if len(rows) > MOST_ROWS:
-        raise ValueError(f"at most {MOST_ROWS} points")
-    if not rows:
-        raise ValueError("no points")
-    return [r.id for r in rows], np.array([r.x for r in rows], float)
-
-
-def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, assign=None, rounds: int = 100) -> tuple[np.ndarray, float]:
-    """k-means++ start, then assignment and means in turn; (labels, inertia)."""
-    c = x[[rng.integers(len(x))]]
-    while len(c) < k:
-        d = ((x[:, None] - c[None]) ** 2).sum(2).min(1)
-        c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]])
-    labels = None
-    for _ in range(rounds):
-        d = ((x[:, None] - c[None]) ** 2).sum(2)
-        new = d.argmin(1) if assign is None else assign(d)
-        if labels is not None and (new == labels).all():
-            break
-        labels = new
-        c = np.array([x[labels == j].mean(0) if (labels == j).any() else c[j] for j in range(k)])
-    return labels, float(d[np.arange(len(x)), labels].sum())
-
-
-def balanced_assignment(cost: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Cheapest assignment with every cluster's size in [least, most]: points move along cheapest paths between clusters."""
-    n, k = cost.shape
-    if not least * k <= n <= most * k:
-        raise ValueError("sizes cannot be met")
-    labels = cost.argmin(1)
-    while True:
-        sizes = np.bincount(labels, minlength=k)
-        if (sizes > most).any():
-            sources, sinks = sizes > most, sizes < most
-        elif (sizes < least).any():
-            sources, sinks = sizes > least, sizes < least
-        else:
-            return labels
-        step, mover = np.full((k, k), np.inf), np.zeros((k, k), int)
-        for a in range(k):
-            own = np.flatnonzero(labels == a)
-            if len(own):
-                extra = cost[own] - cost[own, a][:, None]
-                step[a], mover[a] = extra.min(0), own[extra.argmin(0)]
-        dist, prev = np.where(sources, 0.0, np.inf), np.full(k, -1)
-        for _ in range(k):
-            through = dist[:, None] + step
-            best = through.argmin(0)
-            better = through[best, np.arange(k)] < dist - 1e-12
-            dist[better], prev[better] = through[best, np.arange(k)][better], best[better]
-        at = int(np.where(sinks, dist, np.inf).argmin())
-        moves = []
-        while prev[at] >= 0 and len(moves) <= k:
-            moves.append((mover[prev[at], at], at))
-            at = prev[at]
-        for point, to in moves:
-            labels[point] = to
-
-
 def balanced_kmeans(points: DataFrame, k: int = 5, seeds: int = 10, slack: int = 2) -> DataFrame:
-    """(id, label) with sizes within ``slack`` of n // k; the starts are tasks, the cheapest is kept."""
-    spark = points.sparkSession
-    ids, x = _matrix(points)
-    data = spark.sparkContext.broadcast(x)
-    least, most = max(0, len(x) // k - slack), len(x) // k + slack
-    most = max(most, -(-len(x) // k))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels, cost = lloyd(data.value, k, np.random.default_rng(int(pdf.seed[0])), lambda d: balanced_assignment(d, least, most))
-        return pd.DataFrame({"seed": pdf.seed[0], "cost": cost, "labels": [labels.tolist()]})
-
-    fits = spark.range(seeds).withColumnRenamed("id", "seed").groupBy("seed").applyInPandas(fit, "seed long, cost double, labels array<int>")
-    best = fits.orderBy("cost", "seed").limit(1).collect()[0].labels
-    out = spark.createDataFrame(list(zip(ids, best, x[:, 0].tolist())), "id long, label int, pc1 double")
-    return canonical(out).select("id", "label")
+    """(id, label) with sizes within ``slack`` of n // k, numbered by the mean of the first coordinate; any number of points.
+    Equal points may go to different clusters where the sizes ask for it. No points are an error."""
+    rows, found = fit_sizes(points, k, seeds, slack)
+    return canonical(found.labelled(rows)).select("id", "label")
 
 
 def gmm_parameters(k: int, d: int, kind: str) -> int:
