@@ -74,6 +74,32 @@ def numbered(df: DataFrame, *order: str, name: str = "_rn") -> DataFrame:
     return rows.join(F.broadcast(first), "_part").withColumn(name, F.col("_at") + F.col("_first")).drop("_part", "_at", "_first")
 
 
+def placed_by(df: DataFrame, weight: str, *order: str) -> DataFrame:
+    """``df`` with ``_before``: the sum of ``weight`` over all rows before in ``order``. Dealt and counted as in ``numbered``."""
+    ensure_checkpoint_dir(df.sparkSession)
+    ship(df.sparkSession)
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.column(weight).to_numpy()
+                after = total + np.cumsum(own)
+                total = int(after[-1])
+                yield batch.append_column("_before", pa.array(after - own))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
+    rows = dealt.mapInArrow(run, f"{kinds}, _before long").checkpoint()
+    sums = {r._part: r.n for r in rows.groupBy("_part").agg(F.sum(weight).alias("n")).collect()}  # a row a partition
+    begins, at = [], 0
+    for k in sorted(sums):
+        begins.append((k, at))
+        at += sums[k]
+    first = df.sparkSession.createDataFrame(begins, "_part int, _first long")
+    return rows.join(F.broadcast(first), "_part").withColumn("_before", F.col("_before") + F.col("_first")).drop("_part", "_first")
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     up: dict[int, int] = {}
 
