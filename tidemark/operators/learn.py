@@ -109,7 +109,7 @@ def kmeans_sweep(points: DataFrame, ks: range = range(2, 13), seeds: int = 50) -
     return points.sparkSession.createDataFrame(rows, "k int, " + ", ".join(f"{c} double" for c in _SCORES))
 
 
-def balanced_kmeans(points: DataFrame, k: int = 5, seeds: int = 10, slack: int = 2) -> DataFrame:
+def balanced_kmeans(points: DataFrame, k: int = 5, seeds: int = 20, slack: int = 2) -> DataFrame:
     """(id, label) with sizes within ``slack`` of n // k, numbered by the mean of the first coordinate; any number of points.
     Equal points may go to different clusters where the sizes ask for it. No points are an error."""
     rows, found = fit_sizes(points, k, seeds, slack)
