@@ -153,3 +153,36 @@ def test_errors_and_saved_models(spark, tmp_path):
         learn.importances(object(), ["a"], spark)
     _, scores = learn.train_with_metrics(df, ["a", "b", "c"], "rf", 3, trees=5, depth=3)
     assert len(scores["cv_accuracies"]) == 3 and scores["std_cv_accuracy"] == pytest.approx(np.std(scores["cv_accuracies"]))
+
+
+def brute_summary(x, labels):
+    """As it is defined, from all distances; a mean over points that are no noise, a point alone in its cluster counting 0."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    names = sorted(set(labels.tolist()) - {-1})
+    noise, s = int((labels == -1).sum()), []
+    for i in np.flatnonzero(labels >= 0) if len(names) > 1 else []:
+        own = (labels == labels[i]).sum()
+        a, b = d[i][labels == labels[i]].sum() / max(own - 1, 1), min(d[i][labels == k].mean() for k in names if k != labels[i])
+        s.append((b - a) / max(a, b) if own > 1 else 0.0)
+    return len(names), noise, round(100 * noise / len(labels), 1), pytest.approx(np.mean(s)) if s else None
+
+
+def test_label_summaries_are_plain_numbers(spark):
+    """7 of 2,000 points are 0.3 %, as a whole number over another is rounded; numpy's own rounding makes it 0.4."""
+    labels = np.arange(2000) % 3
+    labels[:7] = -1
+    rows = [(i, [float(i % 3), 0.0], [int(k), -1]) for i, k in enumerate(labels)]
+    got = learn.label_summaries(spark.createDataFrame(rows, "id long, x array<double>, labels array<int>"))
+    assert got == [(3, 7, 0.3, pytest.approx(1.0)), (0, 2000, 100.0, None)]
+    assert [[type(v) for v in r] for r in got] == [[int, int, float, float], [int, int, float, type(None)]]
+
+
+def test_dbscan_sweep(spark):
+    from tidemark.operators import density
+
+    x = blobs(10, dims=3)
+    eps = (0.05, 0.6, np.float64(1.2), 40)
+    got = [tuple(r) for r in learn.dbscan_sweep(frame(spark, x), eps, 4).orderBy("eps").collect()]
+    labels = [np.array([r.label for r in density.dbscan(frame(spark, x), e, 4).orderBy("id").collect()]) for e in eps]
+    assert got == [(e, *brute_summary(x, y)) for e, y in zip(eps, labels)]
+    assert got[0][1:] == (0, 120, 100.0, None) and got[1][1] > 1 and got[-1][1:] == (1, 0, 0.0, None)
