@@ -186,3 +186,12 @@ def test_dbscan_sweep(spark):
     labels = [np.array([r.label for r in density.dbscan(frame(spark, x), e, 4).orderBy("id").collect()]) for e in eps]
     assert got == [(e, *brute_summary(x, y)) for e, y in zip(eps, labels)]
     assert got[0][1:] == (0, 120, 100.0, None) and got[1][1] > 1 and got[-1][1:] == (1, 0, 0.0, None)
+
+
+def test_spectral_sweep(spark):
+    """Blobs far apart are the graph's components, so three clusters are they, and two are one of them and the others."""
+    x = np.concatenate([np.random.default_rng(k).normal(9 * k, 0.5, (25 + 5 * k, 3)) for k in range(3)])
+    blob = np.repeat(range(3), [25, 30, 35])
+    two, three = (tuple(r) for r in learn.spectral_sweep(frame(spark, x), range(2, 4)).orderBy("k").collect())
+    assert three == (3, *brute_summary(x, blob)) and three[1:4] == (3, 0, 0.0)
+    assert any(two == (2, *brute_summary(x, (blob == k).astype(int))) for k in range(3))
