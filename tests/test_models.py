@@ -195,3 +195,12 @@ def test_spectral_sweep(spark):
     two, three = (tuple(r) for r in learn.spectral_sweep(frame(spark, x), range(2, 4)).orderBy("k").collect())
     assert three == (3, *brute_summary(x, blob)) and three[1:4] == (3, 0, 0.0)
     assert any(two == (2, *brute_summary(x, (blob == k).astype(int))) for k in range(3))
+
+
+def test_hdbscan_sweep(spark):
+    x = np.concatenate([blobs(11, 30, 3), np.random.default_rng(11).uniform(-12, 12, (20, 3))])
+    sizes = (5, 12, 80)
+    got = [tuple(r) for r in learn.hdbscan_sweep(frame(spark, x), sizes).orderBy("min_size").collect()]
+    labels = [np.array([r.label for r in hierarchy.hdbscan(frame(spark, x), n).orderBy("id").collect()]) for n in sizes]
+    assert got == [(n, *brute_summary(x, y)) for n, y in zip(sizes, labels)]
+    assert got[0][1] > 1 and 0 < got[0][2] < len(x) and got[-1][1:] == (0, len(x), 100.0, None)
