@@ -204,3 +204,37 @@ def test_hdbscan_sweep(spark):
     labels = [np.array([r.label for r in hierarchy.hdbscan(frame(spark, x), n).orderBy("id").collect()]) for n in sizes]
     assert got == [(n, *brute_summary(x, y)) for n, y in zip(sizes, labels)]
     assert got[0][1] > 1 and 0 < got[0][2] < len(x) and got[-1][1:] == (0, len(x), 100.0, None)
+
+
+def test_hdbscan_sweep_finds_the_nearest_once(spark, monkeypatch):
+    found, own = [], hierarchy.nearest_of
+    monkeypatch.setattr(hierarchy, "nearest_of", lambda placed, k: found.append(k) or own(placed, k))
+    x = blobs(12, 12, 2)
+    assert learn.hdbscan_sweep(frame(spark, x), (4, 7)).count() == 2 and found == [7]
+    with pytest.raises(ValueError, match="7"):
+        hierarchy.Hdbscan(frame(spark, x), 7).labels(8)
+
+
+def test_silhouettes_of_many_clusters_and_of_noise_alone(spark, monkeypatch):
+    from tidemark.operators import sweeps
+
+    rng = np.random.default_rng(13)
+    x, many = rng.standard_normal((90, 2)), rng.integers(-1, 25, 90)
+    labels = [many, many % 3 - 1, np.full(90, -1)]
+    points = spark.createDataFrame([(i, v.tolist(), [int(y[i]) for y in labels]) for i, v in enumerate(x)], "id long, x array<double>, labels array<int>")
+    assert learn.label_summaries(points) == [brute_summary(x, y) for y in labels]
+    monkeypatch.setattr(sweeps, "Placed", None)  # nothing is placed where all are noise
+    alone = points.withColumn("labels", F.array(F.lit(-1), F.lit(-1)))
+    assert learn.label_summaries(alone) == [(0, 90, 100.0, None)] * 2
+
+
+@pytest.mark.parametrize("name", ["hdbscan_sweep"])
+def test_sweeps_cluster_standardised_scores(spark, monkeypatch, name):
+    """As the reference's sweeps do, so that each axis counts the same."""
+    from tidemark.plans.queries import QUERIES
+
+    given = []
+    monkeypatch.setattr(learn, name, lambda points: given.append(points) or points)
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    x = np.array([r.x for r in given[0].collect()])
+    assert x.shape[1] == 5 and np.allclose(x.mean(0), 0) and np.allclose(x.std(0), 1)

@@ -172,3 +172,36 @@ def test_components(spark):
     frame_ = spark.createDataFrame(links, "a long, b long")
     for last in (0, 12, 1000):
         assert {r.id: r.root for r in blocks.components(frame_, last).collect()} == root
+
+
+@pytest.mark.parametrize("dims", [1, 5, 7, 8, 20])
+def test_distances_are_sums_of_squares_in_order(monkeypatch, dims):
+    monkeypatch.setattr(blocks, "NEAR_BYTES", 999)
+    a, b = np.random.default_rng(dims).standard_normal((2, 37, dims))
+    for own, other in ((a, b), (a[:0], b), (a, b[:0])):
+        assert np.array_equal(blocks.distances(own, other), np.sqrt(((own[:, None] - other[None]) ** 2).sum(2)))
+
+
+def test_nearest_of_many_copies_have_the_smallest_ids():
+    rng = np.random.default_rng(5)
+    own = {"id": np.arange(20), "x": np.repeat(rng.integers(0, 2, (20, 1)), 2, 1).astype(float)}
+    every = {"id": rng.permutation(300), "x": rng.integers(0, 2, (300, 2)).astype(float)}
+    seen = density._Nearest(own, 6)
+    for at in (0, 3, 150, 151):
+        seen.see({c: v[at : {0: 3, 3: 150, 150: 151, 151: 300}[at]] for c, v in every.items()})
+    d = blocks.distances(own["x"], every["x"])
+    want = [sorted(zip(row, every["id"]))[:6] for row in d]
+    assert [list(zip(*r)) for r in zip(seen.d, seen.other)] == want
+
+
+def test_points_above_their_components_bound_are_passed_over(spark, monkeypatch):
+    """A point's edges weigh its core distance at least, so only points up to the bound meet others."""
+    met = []
+    reach = hierarchy._reach
+    monkeypatch.setattr(hierarchy, "_reach", lambda a, b: met.append((len(a["id"]), len(b["id"]))) or reach(a, b))
+    rows = {"id": np.arange(4), "x": np.arange(4.0)[:, None], "core": np.array([1.0, 1, 3, 1]), "comp": np.array([0, 0, 0, 3]), "up": np.ones(4), "own": np.zeros(4, int)}
+    lightest = hierarchy._Lightest(rows)
+    lightest.see({"id": np.array([4, 5]), "x": np.array([[4.0], [5]]), "core": np.array([1.0, 9]), "comp": np.array([4, 5])})
+    assert met == [(3, 1)]
+    found = lightest.done().to_pylist()
+    assert [(r["comp"], r["w"], r["a"], r["b"], r["other"]) for r in found] == [(0, 3.0, 1, 4, 4), (3, 1.0, 3, 4, 4)]
