@@ -206,6 +206,17 @@ def test_hdbscan_sweep(spark):
     assert got[0][1] > 1 and 0 < got[0][2] < len(x) and got[-1][1:] == (0, len(x), 100.0, None)
 
 
+def test_spectral_sweep_joins_each_point_to_others(spark, monkeypatch):
+    """As the reference's sweep does, which counts no point among its own neighbours; all k are clustered together."""
+    from tidemark.operators import density
+
+    given, fits, own, starts = [], [], density.affinity, learn.Starts
+    monkeypatch.setattr(density, "affinity", lambda p, k, itself: given.append((k, itself)) or own(p, k, itself))
+    monkeypatch.setattr(learn, "Starts", lambda p, ks, n, **more: fits.append((ks, n)) or starts(p, ks, n, **more))
+    x = np.concatenate([np.random.default_rng(k).normal(9 * k, 0.5, (14, 2)) for k in range(3)])
+    assert learn.spectral_sweep(frame(spark, x), range(2, 4), 5, 3).count() == 2 and given == [(5, False)] and fits == [([2, 3], 3)]
+
+
 def test_hdbscan_sweep_finds_the_nearest_once(spark, monkeypatch):
     found, own = [], hierarchy.nearest_of
     monkeypatch.setattr(hierarchy, "nearest_of", lambda placed, k: found.append(k) or own(placed, k))
@@ -228,7 +239,7 @@ def test_silhouettes_of_many_clusters_and_of_noise_alone(spark, monkeypatch):
     assert learn.label_summaries(alone) == [(0, 90, 100.0, None)] * 2
 
 
-@pytest.mark.parametrize("name", ["hdbscan_sweep"])
+@pytest.mark.parametrize("name", ["hdbscan_sweep", "spectral_sweep"])
 def test_sweeps_cluster_standardised_scores(spark, monkeypatch, name):
     """As the reference's sweeps do, so that each axis counts the same."""
     from tidemark.plans.queries import QUERIES

@@ -1,6 +1,7 @@
 """Eigenvectors of sparse matrices against numpy."""
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import learn, spectra
 
@@ -43,3 +44,33 @@ def test_spectral_labels(spark):
     points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
     got = [r.label for r in learn.spectral(points, 3).orderBy("id").collect()]
     assert got == [0] * 30 + [1] * 30 + [2] * 30
+
+
+def test_affinity_without_itself(spark):
+    """Each point has k others, also where copies have smaller ids than it."""
+    from tidemark.operators import density
+
+    x = np.concatenate([np.zeros((9, 2)), np.random.default_rng(8).standard_normal((12, 2))])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    d, one = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), np.zeros((21, 21))
+    for i in range(21):
+        one[i, sorted((j for j in range(21) if j != i), key=lambda j: (d[i, j], j))[:4]] = 1
+    got = np.zeros((21, 21))
+    for r in density.affinity(points, 4, itself=False).collect():
+        got[r.id, r.other] = r.w
+    assert (got == (one + one.T) / 2).all() and not got.diagonal().any()
+
+
+def test_kmeans_of_leading_coordinates_together(spark):
+    from tidemark.operators.sweeps import Starts, labelled
+
+    x = np.random.default_rng(9).standard_normal((60, 4)) * [5, 3, 1, 1]
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    fits = Starts(points, [2, 3, 4, 5], 2, leading=True).run()
+    rows = labelled(fits.points, [fits.centres[fits.best()[k, -1]] for k in (2, 3, 4, 5)]).orderBy("id").collect()
+    for j, k in enumerate((2, 3, 4, 5)):
+        own = points.select("id", F.slice("x", 1, k).alias("x"))
+        alone = Starts(own, [k], 2).run()
+        assert np.allclose([c for c, n in zip(fits.cost, fits.names) if n[0] == k], alone.cost)
+        want = labelled(alone.points, [alone.centres[alone.best()[k, -1]]]).orderBy("id").collect()
+        assert [r.labels[j] for r in rows] == [r.labels[0] for r in want]
