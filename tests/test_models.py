@@ -52,6 +52,40 @@ def test_components_sweep(spark):
         learn.optimize_components(frame(spark, x).limit(0))
 
 
+def test_components_are_swept_together(spark, monkeypatch):
+    """One grid of starts and one meeting of blocks for all numbers of axes, with the scores that each has alone."""
+    from tidemark.operators import sweeps
+
+    made = []
+    monkeypatch.setattr(learn, "Starts", lambda *a, **b: made.append(sweeps.Starts(*a, **b)) or made[-1])
+    x = blobs(5, dims=6)
+    rows = learn.optimize_components(frame(spark, x), range(3, 6), 3, 4).orderBy("n").collect()
+    assert len(made) == 1 and [r.n for r in rows] == [3, 4, 5]
+    every = learn.standardize(learn.pca(frame(spark, x).select("id", "x"), 5)).checkpoint()
+    for r in rows:
+        own = every.select("id", F.slice("x", 1, r.n).alias("x"))
+        fits = sweeps.Starts(own, [3], 4).run()
+        labelled = sweeps.labelled(own, [fits.centres[fits.best()[3, -1]]]).select("id", "x", F.col("labels")[0].alias("label"))
+        assert r.inertia == pytest.approx(metrics.inertia(labelled).first()[0])
+        assert r.silhouette == pytest.approx(metrics.silhouettes(labelled).agg(F.avg("s")).first()[0])
+        assert r.davies_bouldin == pytest.approx(metrics.davies_bouldin(labelled).first()[0])
+
+
+def test_groups_of_models_count_each_point_once():
+    """Sums by products of matrices are those of the nearest centres; of equally near centres the first has the point."""
+    from tidemark.operators.sweeps import Group
+
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 4, (300, 3)).astype(float)
+    centres = [rng.integers(0, 4, (4, 3)).astype(float) for _ in range(5)]
+    found = Group(list(range(5)), centres, np.array([2.0, 2, 2])).sums((x - 2).T.copy())
+    for m, c in enumerate(centres):
+        d = ((x[:, None] - c) ** 2).sum(2)
+        own = np.eye(4)[d.argmin(1)]
+        assert np.allclose(found[:, m, -1], own.sum(0)) and np.allclose(found[:, m, :-1], own.T @ (x - 2))
+        assert Group([0], [c], np.zeros(3)).cost(x)[0] == d.min(1).sum()
+
+
 def test_kmeans_cost(spark):
     """Labels are each point's nearest mean, and no single restart of plain Lloyd is better by much."""
     x = blobs(3)

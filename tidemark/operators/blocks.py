@@ -44,6 +44,21 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def nested(a: np.ndarray, b: np.ndarray, widths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, distances over so many of the first coordinates), ascending; sums go on from one width to the next."""
+    if widths == [a.shape[1]]:
+        yield a.shape[1], distances(a, b)
+        return
+    sums, at = np.zeros((len(a), len(b))), 0
+    for width in widths:
+        for j in range(at, width):
+            d = a[:, j, None] - b[:, j]
+            d *= d
+            sums += d
+        at = width
+        yield width, np.sqrt(sums)
+
+
 def matrix(x: pd.Series) -> np.ndarray:
     return np.array([np.asarray(v, float) for v in x])
 

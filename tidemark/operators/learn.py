@@ -206,7 +206,8 @@ def spectral(points: DataFrame, k: int, neighbors: int = 10, starts: int = 10) -
 
 def optimize_components(points: DataFrame, ns: range = range(3, 11), k: int = 5, seeds: int = 50) -> DataFrame:
     """(n, explained_pct, silhouette, davies_bouldin, calinski_harabasz, inertia) of k-means on the standardised scores of the
-    first n axes; n of as many as rows or coordinates are passed over. The axes are found once."""
+    first n axes; n of as many as rows or coordinates are passed over. The axes are found once; starts of all n are advanced
+    together, and blocks of points meet once for all silhouettes."""
     first = points.first()
     if first is None:
         raise ValueError("no points")
@@ -218,11 +219,9 @@ def optimize_components(points: DataFrame, ns: range = range(3, 11), k: int = 5,
     ensure_checkpoint_dir(points.sparkSession)
     share = np.cumsum(explained(points, max(usable)))
     every = standardize(pca(points.select("id", "x"), max(usable))).checkpoint()
-    rows = []
-    for n in usable:
-        fits = Starts(every.select("id", F.slice("x", 1, n).alias("x")), [k], seeds).run()
-        found = scores(labelled(fits.points, [fits.centres[fits.best()[k, -1]]]), [k])[0]
-        rows.append((n, round(float(share[n - 1]) * 100, 2), *(found[c] for c in ("silhouette", "davies_bouldin", "calinski_harabasz", "inertia"))))
+    fits = Starts(every, [k], seeds, first=usable).run()
+    found = scores(labelled(fits.points, [fits.centres[fits.best(n)[k, -1]] for n in usable]), [k] * len(usable), usable)
+    rows = [(n, round(float(share[n - 1]) * 100, 2), *(r[c] for c in ("silhouette", "davies_bouldin", "calinski_harabasz", "inertia"))) for n, r in zip(usable, found)]
     return points.sparkSession.createDataFrame(rows, "n int, explained_pct double, silhouette double, davies_bouldin double, calinski_harabasz double, inertia double")
 
 

@@ -16,29 +16,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship
-from .blocks import distances
+from .blocks import nested
 from .near import Placed, Rows, batch_of, columns, visit
 
-#: Rows of points that a task works on at once; clusters of which sums of distances are a product of matrices.
-STEP, FEW = 4096, 16
+#: Rows of points that a task reads at once, and that all models of a group are compared with at once; clusters of which sums of
+#: distances are a product of matrices.
+STEP, CHUNK, FEW = 4096, 1024, 16
 
 
-def uniform(ids: np.ndarray, *key: int) -> np.ndarray:
-    """Numbers in (0, 1) that follow from the ids and the key."""
+def mixed(x: np.ndarray, *key: int) -> np.ndarray:
+    """Hashes that follow from hashes and the key; more of a key may follow later."""
     with np.errstate(over="ignore"):
-        x = ids.astype(np.uint64)
-        for k in (0x9E3779B97F4A7C15, *key):
+        for k in key:
             x = x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k & 0xFFFFFFFFFFFFFFFF)
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             x ^= x >> np.uint64(31)
+    return x
+
+
+def hashed(ids: np.ndarray, *key: int) -> np.ndarray:
+    return mixed(ids.astype(np.uint64), 0x9E3779B97F4A7C15, *key)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Hashes as numbers in (0, 1)."""
     return ((x >> np.uint64(11)).astype(float) + 0.5) / 2**53
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+def uniform(ids: np.ndarray, *key: int) -> np.ndarray:
+    """Numbers in (0, 1) that follow from the ids and the key."""
+    return unit(hashed(ids, *key))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], step: int = STEP) -> Iterator[tuple[np.ndarray, ...]]:
     for batch in batches:
-        for at in range(0, batch.num_rows, STEP):
-            yield tuple(columns(batch.slice(at, STEP)).values())
+        for at in range(0, batch.num_rows, step):
+            yield tuple(columns(batch.slice(at, step)).values())
 
 
 def totals(points: DataFrame, measure: Callable[..., Iterable[tuple[int, np.ndarray]]], *more: str) -> dict[int, np.ndarray]:
@@ -64,11 +78,11 @@ def totals(points: DataFrame, measure: Callable[..., Iterable[tuple[int, np.ndar
 
 
 def winners(points: DataFrame, race: Callable[[np.ndarray, np.ndarray], Iterable[tuple[int, np.ndarray, np.ndarray]]]) -> dict[int, np.ndarray]:
-    """For each model the point with the largest value; ``race`` (ids, x) gives (model, values, points)."""
+    """For each model the point with the largest value; ``race`` (ids, x) of CHUNK rows gives (model, values, points)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[float, int, list[float]]] = {}
-        for ids, x in _parts(batches):
+        for ids, x in _parts(batches, CHUNK):
             for model, value, own in race(ids, x):
                 at = int(value.argmax())
                 if model not in best or value[at] > best[model][0]:
@@ -82,23 +96,73 @@ def winners(points: DataFrame, race: Callable[[np.ndarray, np.ndarray], Iterable
 
 
 def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((x[:, None] - c[None]) ** 2).sum(2)
+    """Squared distances, coordinate by coordinate; in memory a row for each of ``c``, so that long rows are worked on."""
+    out = np.zeros((len(c), len(x)))
+    for j in range(x.shape[1]):
+        d = x[:, j] - c[:, j, None]
+        d *= d
+        out += d
+    return out.T
+
+
+class Group:
+    """Models of as many clusters over the same coordinates of one set, whose distances to points are one product of matrices."""
+
+    def __init__(self, models: list[int], centres: list[np.ndarray], origin: np.ndarray):
+        self.models, self.k, self.width = models, len(centres[0]), centres[0].shape[1]
+        self.exact = np.stack(centres, 1)  # cluster, model, coordinate
+        own = self.exact - origin[: self.width]
+        self.matrix = np.concatenate([-2 * own, (own * own).sum(2, keepdims=True)], 2).reshape(-1, self.width + 1)
+
+    def reduced(self, rows: np.ndarray) -> np.ndarray:
+        """(cluster, model and point): squared distances less the points' squared norms. ``rows``: coordinates less the origin."""
+        ones = np.ones((1, rows.shape[1]))
+        return (self.matrix @ np.concatenate([rows[: self.width], ones])).reshape(self.k, -1)
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        """(cluster, model, coordinate and number) of the points that are nearest to each, the first of equally near ones."""
+        d = self.reduced(rows)
+        right = np.concatenate([rows[: self.width], np.ones((1, rows.shape[1]))]).T
+
+        def total(own: np.ndarray) -> np.ndarray:
+            return (own.reshape(-1, rows.shape[1]).astype(float) @ right).reshape(self.k, -1, self.width + 1)
+
+        out = total(d == d.min(0))
+        if out[:, :, -1].sum() != len(self.models) * rows.shape[1]:
+            out = total(np.arange(self.k)[:, None] == d.argmin(0))
+        return out
+
+    def nearest(self, rows: np.ndarray) -> np.ndarray:
+        """(model, point): squared distances to the nearest, so far as a product of matrices tells them."""
+        own = rows[: self.width]
+        return np.maximum(self.reduced(rows).min(0).reshape(-1, rows.shape[1]) + (own * own).sum(0), 0)
+
+    def cost(self, x: np.ndarray) -> np.ndarray:
+        """Of each model the sum of squared distances to the nearest, from differences."""
+        d = np.zeros((self.k, len(self.models), len(x)))
+        for j in range(self.width):
+            one = x[:, j] - self.exact[:, :, j, None]
+            one *= one
+            d += one
+        return d.min(0).sum(1)
 
 
 class Starts:
     """A grid of k-means models (k, reference set or -1 for the points themselves, start) with their centres.
 
-    ``leading``: a model of k clusters sees the first k coordinates only.
+    ``leading``: a model of k clusters sees the first k coordinates only. ``first``: the whole grid is there for each of these
+    numbers of first coordinates. Models of one k, set and number of coordinates are worked on together.
     """
 
-    def __init__(self, points: DataFrame, ks: Iterable[int], starts: int, boots: Iterable[int] = (-1,), seed: int = 0, leading: bool = False):
+    def __init__(self, points: DataFrame, ks: Iterable[int], starts: int, boots: Iterable[int] = (-1,), seed: int = 0, leading: bool = False, first: Iterable[int] = ()):
         ship(points.sparkSession)
         ensure_checkpoint_dir(points.sparkSession)
         points = points.select("id", "x")
         tasks = points.sparkSession.sparkContext.defaultParallelism
         self.points = (points.repartition(tasks) if points.rdd.getNumPartitions() < tasks else points).checkpoint()  # scanned many times
         self.seed = seed
-        self.names = [(k, b, s) for b in boots for k in ks for s in range(starts)]
+        first = list(first)
+        self.names = [(k, b, s) for b in boots for _ in first or (0,) for k in ks for s in range(starts)]
         head = self.points.agg(F.count("*").alias("n")).first()
         self.n = head.n
         if not self.n:
@@ -108,7 +172,7 @@ class Starts:
         box = winners(self.points, lambda ids, x: [(j + side * x.shape[1], (1 - 2 * side) * x[:, j], x) for j in range(x.shape[1]) for side in (0, 1)])
         d = len(moments[0])
         self.high, self.low = (np.array([box[j + side * d][j] for j in range(d)]) for side in (0, 1))
-        self.widths = [min(k, d) if leading else d for k, _, _ in self.names]
+        self.widths = [w for _ in boots for w in first for _ in ks for _ in range(starts)] if first else [min(k, d) if leading else d for k, _, _ in self.names]
         self.tolerance, *self.rests = (1e-4 * float(np.mean(spread[:w])) for w in (d, *self.widths))
         self.centres: list[np.ndarray] = [np.zeros((0, w)) for w in self.widths]
         self.cost = np.full(len(self.names), np.inf)
@@ -122,47 +186,77 @@ class Starts:
 
         return make
 
-    def _each(self, models: list[int], fn: Callable[[int, np.ndarray, np.ndarray], tuple]) -> Callable[[np.ndarray, np.ndarray], Iterator[tuple]]:
-        """``fn`` (model, ids, x) of every model over its own set, which is made once for all models of it."""
-        by_boot: dict[int, list[int]] = {}
+    def _sets(self, models: list[int]) -> Callable[[np.ndarray, np.ndarray], Iterator[tuple[slice, np.ndarray, list[tuple[np.ndarray, np.ndarray, list[Group]]]]]]:
+        """Of every CHUNK of rows its place and ids, and for each set its points, these less an origin by coordinates, and the models' groups."""
+        by_set: dict[int, dict[tuple[int, int], list[int]]] = {}
         for m in models:
-            by_boot.setdefault(self.names[m][1], []).append(m)
-        sets, widths = [(self.reference(b), own) for b, own in by_boot.items()], self.widths
+            k, b, _ = self.names[m]
+            by_set.setdefault(b, {}).setdefault((k, self.widths[m]), []).append(m)
+        origin = (self.low + self.high) / 2
+        sets = [(self.reference(b), [Group(own, [self.centres[m] for m in own], origin) for own in groups.values()]) for b, groups in by_set.items()]
 
-        def run(ids: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
-            for make, own in sets:
-                data = make(ids, x)
-                for m in own:
-                    yield fn(m, ids, data[:, : widths[m]])
+        def run(ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, list]]:
+            for at in range(0, len(ids), CHUNK):
+                own, rows = ids[at : at + CHUNK], x[at : at + CHUNK]
+                made = [(make(own, rows), groups) for make, groups in sets]
+                yield own, [(data, np.ascontiguousarray((data - origin).T), groups) for data, groups in made]
 
         return run
 
     def seed_centres(self) -> None:
         """k-means++ for all models at once, a centre of each a scan."""
-        for step in range(max(k for k, _, _ in self.names)):
-            models = [m for m, (k, _, _) in enumerate(self.names) if k > step]
-            centres, seed, names = self.centres, self.seed, self.names
-
-            def race(m: int, ids: np.ndarray, x: np.ndarray) -> tuple:
-                weight = squares(x, centres[m]).min(1) if step else np.ones(len(x))  # noqa: B023
-                noise = -np.log(-np.log(uniform(ids, seed, 7 + names[m][2], names[m][0], step)))  # noqa: B023
-                return m, np.log(weight + 1e-300) + noise, x
-
-            found = winners(self.points, self._each(models, race))
+        seed, names = self.seed, self.names
+        for step in range(max(k for k, _, _ in names)):
+            models = [m for m, (k, _, _) in enumerate(names) if k > step]
+            chunks = self._sets(models)
+
+            def race(ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+                for own, sets in chunks(ids, x):  # noqa: B023
+                    begun = hashed(own, seed)
+                    drawn: dict[tuple[int, int], np.ndarray] = {}  # the same for all sets
+                    by_start: dict[int, np.ndarray] = {}
+                    for data, rows, groups in sets:
+                        for group in groups:
+                            weight = group.nearest(rows) + 1e-300 if step else np.ones((len(group.models), len(own)))  # noqa: B023
+                            for i, m in enumerate(group.models):
+                                k, _, s = names[m]
+                                if s not in by_start:
+                                    by_start[s] = mixed(begun, 7 + s)
+                                if (k, s) not in drawn:
+                                    drawn[k, s] = -1 / np.log(unit(mixed(by_start[s], k, step)))  # noqa: B023
+                                yield m, weight[i] * drawn[k, s], data[:, : group.width]
+
+            found = winners(self.points, race)
             for m in models:
                 self.centres[m] = np.vstack([self.centres[m], found[m]])
 
     def _sums(self, models: list[int]) -> dict[int, np.ndarray]:
-        centres = self.centres
+        """Of each model the sums of its clusters' points and their numbers."""
+        chunks, origin = self._sets(models), (self.low + self.high) / 2
+
+        def measure(ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+            for _, sets in chunks(ids, x):
+                for _, rows, groups in sets:
+                    for group in groups:
+                        found = group.sums(rows)
+                        found[:, :, :-1] += found[:, :, -1:] * origin[: group.width]
+                        for i, m in enumerate(group.models):
+                            yield m, np.concatenate([found[:, i, :-1].ravel(), found[:, i, -1]])
 
-        def measure(m: int, ids: np.ndarray, x: np.ndarray) -> tuple:
-            d = squares(x, centres[m])
-            label = d.argmin(1)
-            own = np.zeros((len(x), len(centres[m])))
-            own[np.arange(len(x)), label] = 1
-            return m, np.concatenate([(own.T @ x).ravel(), own.sum(0), [d.min(1).sum()]])
+        return totals(self.points, measure)
 
-        return totals(self.points, self._each(models, measure))
+    def _costs(self) -> dict[int, np.ndarray]:
+        """Of every model the sum of squared distances to the nearest centres."""
+        chunks = self._sets(list(range(len(self.names))))
+
+        def measure(ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+            for _, sets in chunks(ids, x):
+                for data, _, groups in sets:
+                    for group in groups:
+                        for m, cost in zip(group.models, group.cost(data)):
+                            yield m, np.array([cost])
+
+        return totals(self.points, measure)
 
     def run(self, rounds: int = 300) -> Starts:
         """Lloyd's algorithm for all models until their centres rest; a centre without points stays where it is."""
@@ -174,21 +268,23 @@ class Starts:
             still = []
             for m, v in self._sums(moving).items():
                 k, d = self.centres[m].shape
-                count = v[k * d : k * d + k]
+                count = v[k * d :]
                 new = np.where(count[:, None] > 0, v[: k * d].reshape(k, d) / np.maximum(count, 1)[:, None], self.centres[m])
                 shift = float(((new - self.centres[m]) ** 2).sum())
-                self.centres[m], self.cost[m] = new, v[-1]
+                self.centres[m] = new
                 if shift > self.rests[m]:
                     still.append(m)
             moving = still
-        for m, v in self._sums(list(range(len(self.names)))).items():
-            self.cost[m] = v[-1]
+        for m, v in self._costs().items():
+            self.cost[m] = v[0]
         return self
 
-    def best(self) -> dict[tuple[int, int], int]:
-        """(k, boot): the cheapest start."""
+    def best(self, width: int | None = None) -> dict[tuple[int, int], int]:
+        """(k, boot): the cheapest start, of those over ``width`` coordinates."""
         out: dict[tuple[int, int], int] = {}
         for m, (k, b, _) in enumerate(self.names):
+            if width is not None and self.widths[m] != width:
+                continue
             if (k, b) not in out or self.cost[m] < self.cost[out[k, b]]:
                 out[k, b] = m
         return out
@@ -315,25 +411,34 @@ def mixtures(points: DataFrame, grid: list[tuple[int, str]], starts: int = 10, s
 
 
 class _Silhouettes:
-    """Sums of the silhouettes of a block's points, of all labellings at once; labels under 0 are no points of a labelling."""
+    """Sums of the silhouettes of a block's points, of all labellings at once; labels under 0 are no points of a labelling.
+
+    ``widths``: how many of the first coordinates each labelling's distances are over.
+    """
 
-    def __init__(self, own: Rows, counts: list[np.ndarray]):
-        self.own, self.counts = own, counts
+    def __init__(self, own: Rows, counts: list[np.ndarray], widths: list[int]):
+        self.own, self.counts, self.widths = own, counts, widths
         self.sums = [np.zeros((len(own["id"]), len(c))) for c in counts]
 
     def see(self, other: Rows) -> None:
-        d = distances(self.own["x"], other["x"])
-        for l, s in enumerate(self.sums):
-            label = other["labels"][:, l]
-            some = np.flatnonzero(label >= 0)
-            if s.shape[1] <= FEW:
-                one = np.zeros((len(label), s.shape[1]))
-                one[some, label[some]] = 1
-                s += d @ one
-            elif len(some):
-                some = some[np.argsort(label[some], kind="stable")]
-                names, first = np.unique(label[some], return_index=True)
-                s[:, names] += np.add.reduceat(d[:, some], first, axis=1)
+        # Points near each other have few different rows of labels: distances are summed by these, then by label.
+        rows, which = np.unique(other["labels"], axis=0, return_inverse=True)
+        which = which.ravel()
+        order = np.argsort(which, kind="stable")
+        x, first = other["x"][order], np.searchsorted(which[order], np.arange(len(rows)))
+        for width, d in nested(self.own["x"], x, sorted(set(self.widths))):
+            part = d @ (which[order][:, None] == np.arange(len(rows))).astype(float) if len(rows) <= 2 * FEW else np.add.reduceat(d, first, axis=1)
+            for l, s in enumerate(self.sums):
+                some = np.flatnonzero(rows[:, l] >= 0)
+                if self.widths[l] != width or not len(some):
+                    continue
+                label = rows[some, l]
+                if s.shape[1] <= FEW:
+                    s += part[:, some] @ (label[:, None] == np.arange(s.shape[1])).astype(float)
+                else:
+                    some = some[np.argsort(label, kind="stable")]
+                    names, begin = np.unique(rows[some, l], return_index=True)
+                    s[:, names] += np.add.reduceat(part[:, some], begin, axis=1)
 
     def done(self) -> pa.RecordBatch:
         totals_, n = [], []
@@ -352,19 +457,26 @@ class _Silhouettes:
         return batch_of("labelling int, s double, n long", np.arange(len(n)), totals_, n)
 
 
-def silhouettes(points: DataFrame, counts: list[np.ndarray]) -> list[float | None]:
-    """Mean silhouette of each of ``labels`` (an array by point), with the sizes of its clusters; pairs of blocks meet once for all."""
+def silhouettes(points: DataFrame, counts: list[np.ndarray], widths: list[int] | None = None) -> list[float | None]:
+    """Mean silhouette of each of ``labels`` (an array by point), with the sizes of its clusters; pairs of blocks meet once for all.
+
+    ``widths``: how many of the first coordinates each is over; all of them, unless given.
+    """
     if not sum(int(c.sum()) for c in counts):
         return [None] * len(counts)
     # What is noise in all labellings has no silhouette and is in nobody's.
     placed = Placed(points.filter(F.exists("labels", lambda v: v >= 0)).select("id", "x", "labels"))
-    rows = visit(placed.rows, placed.pairs(math.inf), lambda own: _Silhouettes(own, counts), "labelling int, s double, n long")
+    widths = widths or [placed.bounds.pivots.shape[1]] * len(counts)
+    rows = visit(placed.rows, placed.pairs(math.inf), lambda own: _Silhouettes(own, counts, widths), "labelling int, s double, n long")
     found = {r.labelling: (r.s, r.n) for r in rows.groupBy("labelling").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
     return [found[l][0] / found[l][1] if l in found and found[l][1] else None for l in range(len(counts))]
 
 
-def scores(points: DataFrame, sizes: list[int]) -> list[dict[str, float | None]]:
-    """inertia, silhouette, calinski_harabasz and davies_bouldin of each of ``labels`` (an array by point), numbered below ``sizes``."""
+def scores(points: DataFrame, sizes: list[int], widths: list[int] | None = None) -> list[dict[str, float | None]]:
+    """inertia, silhouette, calinski_harabasz and davies_bouldin of each of ``labels`` (an array by point), numbered below ``sizes``.
+
+    ``widths``: how many of the first coordinates each is over; all of them, unless given.
+    """
     ship(points.sparkSession)
     points = points.select("id", "x", "labels").checkpoint()
 
@@ -376,16 +488,18 @@ def scores(points: DataFrame, sizes: list[int]) -> list[dict[str, float | None]]
     first = totals(points, sums, "labels")
     counts = [first[l][:k] for l, k in enumerate(sizes)]
     means = [first[l][k:].reshape(k, -1) / np.maximum(first[l][:k], 1)[:, None] for l, k in enumerate(sizes)]
+    if widths:
+        means = [m[:, :w] for m, w in zip(means, widths)]
 
     def spreads(ids: np.ndarray, x: np.ndarray, labels: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         for l, k in enumerate(sizes):
             own = labels[:, l] >= 0
-            d = ((x[own] - means[l][labels[own, l]]) ** 2).sum(1)
+            d = ((x[own, : means[l].shape[1]] - means[l][labels[own, l]]) ** 2).sum(1)
             yield l, np.concatenate([np.bincount(labels[own, l], np.sqrt(d), k), [d.sum()]])
 
     second = totals(points, spreads, "labels")
     out = []
-    for l, silhouette in enumerate(silhouettes(points, counts)):
+    for l, silhouette in enumerate(silhouettes(points, counts, widths)):
         n, m = counts[l][counts[l] > 0], means[l][counts[l] > 0]
         spread, within, k = second[l][:-1][counts[l] > 0] / n, float(second[l][-1]), len(n)
         between = float((n * ((m - (n[:, None] * m).sum(0) / n.sum()) ** 2).sum(1)).sum()) if k else 0.0
