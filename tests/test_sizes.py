@@ -88,3 +88,28 @@ def test_copies_one_point_and_few_points(spark):
     assert sorted(r.n for r in same.groupBy("label").agg(F.count("*").alias("n")).collect()) == [30, 30, 30]
     assert learn.balanced_kmeans(frame(spark, np.ones((1, 2))), 3, 2).count() == 1
     assert {r.label for r in learn.balanced_kmeans(frame(spark, cloud(1, 20)), 1, 2).collect()} == {0}
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_prices_part_far_clusters(monkeypatch, seed):
+    """Between clusters far apart few points tell how to change prices: steps that lower the dual are taken back, and all starts
+    end with sizes near the goal, so the bounds that they are compared by mean something."""
+
+    def summed(x, measure):
+        out = {}
+        for m, v in measure(np.arange(len(x)), x):
+            out[m] = out.get(m, 0) + v
+        return out
+
+    monkeypatch.setattr(sizes, "totals", summed)
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(0, 6, 4) + rng.standard_normal((int(150 * rng.uniform(0.3, 2)), 4)) for _ in range(9)])
+    goal, spread = len(x) / 4, x.var(0).mean()
+    models = {m: sizes.Priced(x[rng.choice(len(x), 4, replace=False)], np.zeros(4), sizes.SOFT * spread * 4) for m in range(6)}
+    sizes._rest(x, models, goal, 40, 0.05 * goal, 1e-4 * spread)
+    for model in models.values():
+        sizes.scan(x, {0: model})
+        cost, label = model.labels(x)
+        assert (np.bincount(label, minlength=4) == model.hard).all() and np.abs(model.hard - goal).max() <= 0.15 * goal
+        bound = model.value - goal * model.prices.sum()
+        assert model.value == pytest.approx((cost + model.prices).min(1).sum()) and bound <= cost[np.arange(len(x)), label].sum() + np.abs(model.prices).max() * np.abs(model.hard - goal).sum()

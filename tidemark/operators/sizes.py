@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .near import batch_of, columns
-from .sweeps import STEP, Starts, squares, totals
+from .sweeps import CHUNK, STEP, Starts, split, squares, totals
 
 #: Movers listed of each two clusters at first, and points that prices may leave to moves.
 LISTED, LEFT = 1024, 64
+#: Scans at most for the prices of one set of centres.
+PRICED = 96
 #: The dual's softness at first, as a share of the points' variance.
 SOFT = 0.02
 
@@ -38,6 +40,9 @@ class Priced:
     shares: np.ndarray | None = None
     products: np.ndarray | None = None
     value: float = np.inf
+    soft_value: float = np.inf
+    radius: float = 0.0
+    kept: tuple | None = None
 
     def labels(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared distances to the centres, and the cluster of each point."""
@@ -47,34 +52,77 @@ class Priced:
     def read(self, v: np.ndarray) -> None:
         k, d = self.centres.shape
         self.sums, self.hard, self.shares, self.products, last = np.split(v, np.cumsum([k * d, k, k, k * k]))
-        self.sums, self.products, self.value = self.sums.reshape(k, d), self.products.reshape(k, k), float(last[0])
+        self.sums, self.products, (self.value, self.soft_value) = self.sums.reshape(k, d), self.products.reshape(k, k), last.tolist()
+
+    def judged(self, goal: float) -> bool:
+        """Whether the prices are no worse by the softened dual than those before them, which come back otherwise, with shorter steps."""
+        dual = self.soft_value - goal * float(self.prices.sum())
+        if self.kept is None or dual >= self.kept[0] - 1e-12 * abs(self.kept[0]):
+            if self.kept is not None:
+                self.radius = max(self.radius, 2 * float(np.abs(self.prices - self.kept[1]).max()))
+            self.kept = (dual, self.prices, self.shares, self.products)
+            return True
+        self.radius = min(self.radius, float(np.abs(self.prices - self.kept[1]).max())) / 4
+        _, self.prices, self.shares, self.products = self.kept
+        return False
+
+    def changed(self, centres: np.ndarray | None = None, soft: float | None = None) -> None:
+        """Other centres or another softness, by which no dual is known yet."""
+        self.centres = self.centres if centres is None else centres
+        self.soft = soft or self.soft
+        self.kept, self.radius = None, max(self.radius, 5 * self.soft)
+
+    def off(self, goal: float) -> float:
+        """By how much soft sizes miss the goal."""
+        return float(np.abs(self.shares - goal).max())
+
+    def fits(self, goal: float) -> bool:
+        """Whether soft sizes miss the goal by few of the points between clusters, so that sharper prices can be found from these."""
+        return self.off(goal) <= max(1.0, float((self.shares - np.diag(self.products)).sum()) / 8)
 
     def step(self, goal: float) -> None:
-        """Prices by one Newton step towards equal soft sizes, no longer than where softness makes it trusted."""
+        """Prices by one Newton step towards equal soft sizes, shortened to what is trusted."""
+        self.radius = self.radius or 5 * self.soft
         bend = (np.diag(self.shares) - self.products) / self.soft
         bend += np.eye(len(bend)) * 1e-9 * (goal + 1) / self.soft
-        move = np.clip(np.linalg.solve(bend, self.shares - goal), -5 * self.soft, 5 * self.soft)
-        self.prices = self.prices + move - move.mean()
+        move = np.linalg.solve(bend, self.shares - goal)
+        move -= move.mean()
+        self.prices = self.prices + move * min(1.0, self.radius / max(1e-300, float(np.abs(move).max())))
 
     def means(self) -> np.ndarray:
         return np.where(self.hard[:, None] > 0, self.sums / np.maximum(self.hard, 1)[:, None], self.centres)
 
-    def bound(self, goal: float) -> float:
-        """What sizes of ``goal`` cost at least around these centres."""
-        return self.value - goal * float(self.prices.sum())
-
 
 def scan(points: DataFrame, models: dict[int, Priced]) -> None:
-    """One scan of the points for all models: sums and sizes by cluster, soft sizes and their products, sum of priced distances."""
+    """One scan of the points for all models: sums and sizes by cluster, soft sizes and their products, sums of priced
+    distances and of softened ones.
+
+    Distances are summed as ``squares`` does, so sizes are those of ``Priced.labels``.
+    """
+    k = len(next(iter(models.values())).centres)
+    groups = [(part, *(np.stack([getattr(models[m], c) for m in part], -1) for c in ("centres", "prices", "soft"))) for part in split(list(models), k)]
 
     def measure(ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        for m, model in models.items():
-            d = squares(x, model.centres) + model.prices
-            least = d.min(1)
-            share = np.exp((least[:, None] - d) / model.soft)
-            share /= share.sum(1, keepdims=True)
-            own = (d.argmin(1)[:, None] == np.arange(d.shape[1])).astype(float)
-            yield m, np.concatenate([(own.T @ x).ravel(), own.sum(0), share.sum(0), (share.T @ share).ravel(), [least.sum()]])
+        for at in range(0, len(x), CHUNK):
+            rows = x[at : at + CHUNK]
+            for part, centres, prices, soft in groups:
+                d = np.zeros((k, len(part), len(rows)))
+                for j in range(x.shape[1]):
+                    one = rows[:, j] - centres[:, j, :, None]
+                    one *= one
+                    d += one
+                d += prices[:, :, None]
+                least = d.min(0)
+                own = (d == least).astype(float)
+                if own.sum() != least.size:
+                    own = (np.arange(k)[:, None, None] == d.argmin(0)).astype(float)
+                share = np.exp((least - d) / soft[:, None])
+                whole = share.sum(0)
+                share /= whole
+                softest = (least - soft[:, None] * np.log(whole)).sum(1)
+                each = share.transpose(1, 0, 2)
+                for i, (m, products) in enumerate(zip(part, each @ each.transpose(0, 2, 1))):
+                    yield m, np.concatenate([(own[:, i] @ rows).ravel(), own[:, i].sum(1), share[:, i].sum(1), products.ravel(), [least[i].sum(), softest[i]]])
 
     for m, v in totals(points, measure).items():
         models[m].read(v)
@@ -248,15 +296,20 @@ def settled(points: DataFrame, model: Priced, n: int, least: int, most: int) ->
     """The cheapest assignment to the model's centres with sizes in bounds: prices made sharper, then moves."""
     k, goal = len(model.centres), n / len(model.centres)
     best, sharp = None, model.soft
-    for _ in range(24):
+    for _ in range(PRICED):
         scan(points, {0: model})
+        if not model.judged(goal):
+            model.step(goal)
+            continue
         left = float(np.maximum(model.hard - most, 0).sum() + np.maximum(least - model.hard, 0).sum())
         if best is None or left < best[0]:
             best = (left, Priced(model.centres, model.prices, model.soft, model.sums, model.hard, value=model.value))
         if left <= LEFT or model.soft < 1e-9 * sharp:
             break
+        sharper = model.fits(goal)
         model.step(goal)
-        model.soft /= 3
+        if sharper:
+            model.changed(soft=model.soft / 3)
     own = best[1]
     sizes, listed = own.hard.round().astype(int), LISTED
     while True:
@@ -275,44 +328,66 @@ def settled(points: DataFrame, model: Priced, n: int, least: int, most: int) ->
     return Settled(own, moved, total, means)
 
 
+def _rest(points: DataFrame, models: dict[int, Priced], goal: float, rounds: int, wide: float, still: float) -> None:
+    """Centres go to their clusters' means whenever prices fit them, until they move by ``still`` at most with sizes within
+    ``wide`` of the goal, ``rounds`` times at most. One scan a step for all models."""
+    moving, moved = dict(models), dict.fromkeys(models, 0)
+    for _ in range(10 * rounds):
+        if not moving:
+            break
+        scan(points, moving)
+        for m, model in list(moving.items()):
+            if not model.judged(goal):
+                model.step(goal)
+                continue
+            off = float(np.abs(model.hard - goal).max())
+            if off <= wide or model.off(goal) <= max(1.0, 0.01 * goal):
+                new = model.means()
+                shift = float(((new - model.centres) ** 2).sum())
+                model.changed(new)
+                moved[m] += 1
+                if shift <= still and off <= wide or moved[m] >= rounds:
+                    del moving[m]
+            model.step(goal)
+
+
 def fit(points: DataFrame, k: int, starts: int, slack: int, rounds: int = 40) -> tuple[DataFrame, Settled]:
     """(points, the cheapest model found) with sizes within ``slack`` of n // k, or what comes nearest to that.
 
-    All starts move their centres and prices by one scan a round. The one whose priced bound is least is settled, and its
+    All starts move their centres and prices by one scan a step. The one whose priced bound is least is settled, and its
     centres follow the settled clusters until that lowers the cost no more.
     """
     base = Starts(points, [k], starts)
     base.seed_centres()
-    n = base.n
+    n, goal = base.n, base.n / k
     least, most = max(0, n // k - slack), max(n // k + slack, -(-n // k))
     soft = SOFT * base.tolerance * 1e4 * len(base.low) or 1.0  # all points may be equal
     models = {m: Priced(c, np.zeros(k), soft) for m, c in enumerate(base.centres)}
-    moving = dict(models)
-    for _ in range(rounds):
-        if not moving:
-            break
-        scan(base.points, moving)
-        for m, model in list(moving.items()):
-            new = model.means()
-            shift, off = float(((new - model.centres) ** 2).sum()), float(np.abs(model.hard - n / k).max())
-            model.centres = new
-            model.step(n / k)
-            if shift <= base.tolerance and off <= max(slack, 0.05 * n / k):
-                del moving[m]
-    for _ in range(3):  # sharper prices around resting centres, so that bounds can be compared
-        for model in models.values():
-            model.soft /= 3
-        scan(base.points, models)
+    _rest(base.points, models, goal, rounds, max(slack, 0.05 * goal), base.tolerance)
+    # Sharper prices around resting centres; any prices prove a bound, so the highest counts.
+    bounds = dict.fromkeys(models, -np.inf)
+    for _ in range(3):
         for model in models.values():
-            value = model.bound(n / k)
-            model.step(n / k)
-            model.value = value
-    model = min(models.values(), key=lambda m: m.value)
+            model.changed(soft=model.soft / 3)
+        open_ = dict(models)
+        for _ in range(rounds):
+            scan(base.points, open_)
+            for m, model in list(open_.items()):
+                bounds[m] = max(bounds[m], model.value - goal * float(model.prices.sum()))
+                if model.judged(goal) and model.fits(goal):
+                    del open_[m]
+                model.step(goal)
+            if not open_:
+                break
+    model = models[min(bounds, key=lambda m: bounds[m])]
     best: Settled | None = None
     for _ in range(rounds):
-        now = settled(base.points, Priced(model.centres, model.prices, model.soft), n, least, most)
+        # Prices alone let centres come near to their rest, so that few assignments must be settled.
+        own = Priced(model.centres, model.prices, model.soft)
+        _rest(base.points, {0: own}, goal, rounds, max(slack, 0.05 * goal), 1e-6 * base.tolerance)
+        now = settled(base.points, Priced(own.centres, own.prices, own.soft), n, least, most)
         if best is not None and now.cost >= best.cost * (1 - 1e-6):
             return base.points, now if now.cost < best.cost else best
         best = now
-        model = Priced(now.means, now.model.prices, model.soft)
+        model = Priced(now.means, now.model.prices, own.soft)
     return base.points, best

@@ -19,9 +19,9 @@ from ..session import ensure_checkpoint_dir, ship
 from .blocks import nested
 from .near import Placed, Rows, batch_of, columns, visit
 
-#: Rows of points that a task reads at once, and that all models of a group are compared with at once; clusters of which sums of
-#: distances are a product of matrices.
-STEP, CHUNK, FEW = 4096, 1024, 16
+#: Rows of points that a task reads at once, and that models are compared with at once; centres of a group of models, few enough
+#: for distances to stay in a core's cache; clusters of which sums of distances are a product of matrices.
+STEP, CHUNK, WIDE, FEW = 4096, 1024, 128, 16
 
 
 def mixed(x: np.ndarray, *key: int) -> np.ndarray:
@@ -105,6 +105,12 @@ def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out.T
 
 
+def split(models: list[int], k: int) -> Iterator[list[int]]:
+    """Models of ``k`` clusters in parts that have WIDE centres or one model."""
+    n = max(1, WIDE // k)
+    return (models[at : at + n] for at in range(0, len(models), n))
+
+
 class Group:
     """Models of as many clusters over the same coordinates of one set, whose distances to points are one product of matrices."""
 
@@ -178,46 +184,49 @@ class Starts:
         self.cost = np.full(len(self.names), np.inf)
 
     def reference(self, boot: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-        """Points of a reference set, uniform in the box of all points; of -1, the points."""
-        low, span, seed = self.low, self.high - self.low, self.seed
+        """Points of a reference set, uniform in the box of all points, from hashes of ids and seed; of -1, the points."""
+        low, span = self.low, self.high - self.low
 
-        def make(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
-            return x if boot < 0 else low + span * np.stack([uniform(ids, seed, boot, j) for j in range(len(low))], 1)
+        def make(begun: np.ndarray, x: np.ndarray) -> np.ndarray:
+            if boot < 0:
+                return x
+            own = mixed(begun, boot)
+            return low + span * np.stack([unit(mixed(own, j)) for j in range(len(low))], 1)
 
         return make
 
-    def _sets(self, models: list[int]) -> Callable[[np.ndarray, np.ndarray], Iterator[tuple[slice, np.ndarray, list[tuple[np.ndarray, np.ndarray, list[Group]]]]]]:
-        """Of every CHUNK of rows its place and ids, and for each set its points, these less an origin by coordinates, and the models' groups."""
+    def _sets(self, models: list[int]) -> Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, list[Group]]]]]]:
+        """Of every CHUNK of rows the hashes of ids and seed, and for each set its points, these less an origin by coordinates, and
+        the models' groups."""
         by_set: dict[int, dict[tuple[int, int], list[int]]] = {}
         for m in models:
             k, b, _ = self.names[m]
             by_set.setdefault(b, {}).setdefault((k, self.widths[m]), []).append(m)
-        origin = (self.low + self.high) / 2
-        sets = [(self.reference(b), [Group(own, [self.centres[m] for m in own], origin) for own in groups.values()]) for b, groups in by_set.items()]
+        origin, seed = (self.low + self.high) / 2, self.seed
+        sets = [(self.reference(b), [Group(part, [self.centres[m] for m in part], origin) for (k, _), own in groups.items() for part in split(own, k)]) for b, groups in by_set.items()]
 
         def run(ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, list]]:
             for at in range(0, len(ids), CHUNK):
-                own, rows = ids[at : at + CHUNK], x[at : at + CHUNK]
-                made = [(make(own, rows), groups) for make, groups in sets]
-                yield own, [(data, np.ascontiguousarray((data - origin).T), groups) for data, groups in made]
+                begun, rows = hashed(ids[at : at + CHUNK], seed), x[at : at + CHUNK]
+                made = [(make(begun, rows), groups) for make, groups in sets]
+                yield begun, [(data, np.ascontiguousarray((data - origin).T), groups) for data, groups in made]
 
         return run
 
     def seed_centres(self) -> None:
         """k-means++ for all models at once, a centre of each a scan."""
-        seed, names = self.seed, self.names
+        names = self.names
         for step in range(max(k for k, _, _ in names)):
             models = [m for m, (k, _, _) in enumerate(names) if k > step]
             chunks = self._sets(models)
 
             def race(ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-                for own, sets in chunks(ids, x):  # noqa: B023
-                    begun = hashed(own, seed)
+                for begun, sets in chunks(ids, x):  # noqa: B023
                     drawn: dict[tuple[int, int], np.ndarray] = {}  # the same for all sets
                     by_start: dict[int, np.ndarray] = {}
                     for data, rows, groups in sets:
                         for group in groups:
-                            weight = group.nearest(rows) + 1e-300 if step else np.ones((len(group.models), len(own)))  # noqa: B023
+                            weight = group.nearest(rows) + 1e-300 if step else np.ones((len(group.models), len(begun)))  # noqa: B023
                             for i, m in enumerate(group.models):
                                 k, _, s = names[m]
                                 if s not in by_start:
