@@ -283,3 +283,19 @@ def test_sweeps_cluster_standardised_scores(spark, monkeypatch, name):
     QUERIES[name](spark, "/root/testdata/sf0.001")
     x = np.array([r.x for r in given[0].collect()])
     assert x.shape[1] == 5 and np.allclose(x.mean(0), 0) and np.allclose(x.std(0), 1)
+
+
+def test_reference_sets_are_made_once_for_groups_of_bounded_size():
+    """Groups of models have WIDE centres or one model; a set's points follow from ids as ``uniform`` draws them."""
+    from tidemark.operators import sweeps
+
+    fits = object.__new__(sweeps.Starts)
+    fits.names = [(k, b, s) for b in (-1, 0, 3) for k in (2, 11) for s in range(20)]
+    fits.low, fits.high, fits.seed, fits.widths = np.zeros(2), np.array([1.0, 4]), 42, [2] * len(fits.names)
+    rng = np.random.default_rng(0)
+    fits.centres = [rng.uniform(0, 1, (k, 2)) for k, _, _ in fits.names]
+    ids, x = np.arange(5000, 5300), rng.uniform(0, 1, (300, 2))
+    ((_, sets),) = list(fits._sets(list(range(len(fits.names))))(ids, x))
+    assert len(sets) == 3 and all(len(g.models) == 1 or len(g.models) * g.k <= sweeps.WIDE for _, _, groups in sets for g in groups)
+    assert sorted(m for _, _, groups in sets for g in groups for m in g.models) == list(range(len(fits.names)))
+    assert (sets[0][0] == x).all() and np.allclose(sets[2][0], fits.high * np.stack([sweeps.uniform(ids, 42, 3, j) for j in (0, 1)], 1))
