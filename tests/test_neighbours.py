@@ -1,6 +1,7 @@
 """Neighbour search, DBSCAN and HDBSCAN in blocks of any size against brute force."""
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import blocks, density, hierarchy, near
 
@@ -205,3 +206,58 @@ def test_points_above_their_components_bound_are_passed_over(spark, monkeypatch)
     assert met == [(3, 1)]
     found = lightest.done().to_pylist()
     assert [(r["comp"], r["w"], r["a"], r["b"], r["other"]) for r in found] == [(0, 3.0, 1, 4, 4), (3, 1.0, 3, 4, 4)]
+
+
+def _points(spark, x, **more):
+    names = ["id", "x", *more]
+    kinds = {"id": "long", "x": "array<double>", "label": "int"}
+    return spark.createDataFrame([(i, v.tolist(), *(int(c[i]) for c in more.values())) for i, v in enumerate(x)], ", ".join(f"{n} {kinds[n]}" for n in names))
+
+
+def test_visitors_of_one_block_are_joined(spark, monkeypatch):
+    """Where tasks keep few others at hand, a block is visited in turns; results are those of all pairs, copies included."""
+    from tidemark.operators import metrics, near
+
+    monkeypatch.setattr(near, "HELD", 4000)
+    monkeypatch.setattr(near, "TASKS", 2)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal((70, 9)), np.repeat(rng.standard_normal((2, 9)), 15, 0)]) + 100
+    label = rng.integers(0, 3, len(x))
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    placed = near.Placed(_points(spark, x), 16)
+    got = density.nearest_of(placed, 4).orderBy("id", "rn").collect()
+    want = [sorted(zip(row, range(len(x))))[:4] for row in d]
+    assert [[(r.d, r.other) for r in got if r.id == i] for i in range(len(x))] == want
+    found = {r.id: r.s for r in metrics.silhouettes(_points(spark, x, label=label)).collect()}
+    for i in range(len(x)):
+        means = [d[i, label == c].sum() / max(1, (label == c).sum() - (c == label[i])) for c in range(3)]
+        a, b = means[label[i]], min(m for c, m in enumerate(means) if c != label[i])
+        assert found[i] == pytest.approx((b - a) / max(a, b), abs=1e-8)
+
+
+def test_pairs_in_doubt_are_told_by_differences():
+    """Products of matrices lose digits of near points far from the origin; what they leave in doubt is measured again."""
+    rng = np.random.default_rng(4)
+    a, b = rng.standard_normal((60, 12)), rng.standard_normal((50, 12))
+    a[:20], b[:20] = a[20:40] + 1e-9 * rng.standard_normal((20, 12)), a[20:40]
+    a, b = a + 1e3, b + 1e3
+    d = blocks.distances(a, b)
+    assert np.allclose(blocks.quick(a, b), d, rtol=1e-8, atol=0)
+    for eps in (d[25, 5], d[3, 7], d[40, 30], np.nextafter(d[40, 30], 0), 0.0):
+        assert (blocks.within(a, b, eps) == (d <= eps)).all()
+
+
+def test_methods_meet_once(spark, monkeypatch):
+    from tidemark.operators import metrics, sweeps
+
+    met, visit = [], sweeps.visit
+    monkeypatch.setattr(sweeps, "visit", lambda *a: met.append(1) or visit(*a))
+    x = np.random.default_rng(6).standard_normal((50, 9))
+    labels = spark.createDataFrame([(i, m, (i * j + i // 7) % 3 - (m == "c" and i % 5 == 0)) for i in range(50) for j, m in enumerate("bac", 1)], "id long, method string, label int")
+    rows = metrics.compare_methods(_points(spark, x), labels).collect()
+    assert len(met) == 1 and [r.method for r in rows] == ["a", "b", "c"]
+    for r in rows:
+        own = _points(spark, x).join(labels.filter((F.col("method") == r.method) & (F.col("label") >= 0)), "id")
+        assert r.silhouette == pytest.approx(metrics.silhouettes(own).agg(F.avg("s")).first()[0])
+        assert r.davies_bouldin == pytest.approx(metrics.davies_bouldin(own).first()[0])
+        assert r.calinski_harabasz == pytest.approx(metrics.calinski_harabasz(own).first()[0])

@@ -5,13 +5,17 @@ take any number of points, as measures over centres do.
 """
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance, squared_distance
-from .blocks import all_blocks, distances, matrix, numbered
+from ..session import ensure_checkpoint_dir
+from .blocks import numbered
+from .near import Placed, visit
+from .sweeps import _Each, scores
 
 def _mean_vector(x: str = "x") -> Column:
     return F.avg(x)
@@ -31,19 +35,16 @@ def inertia(points: DataFrame) -> DataFrame:
 def silhouettes(points: DataFrame) -> DataFrame:
     """(id, label, s): Euclidean; 0 where a label has one point."""
 
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found, which = np.unique(b.label.to_numpy(), return_inverse=True)
-        s = distances(matrix(a.x), matrix(b.x)) @ np.eye(len(found))[which]
-        n = np.bincount(which)
-        return pd.DataFrame({"id": np.repeat(a.id.to_numpy(), len(found)), "label": np.repeat(a.label.to_numpy(), len(found)), "label2": np.tile(found, len(a)), "s": s.ravel(), "n": np.tile(n, len(a))})
-
-    parts = all_blocks(points.select("id", "label", "x"), sums, "id long, label long, label2 long, s double, n long")
-    means = parts.groupBy("id", "label", "label2").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    inner = F.max(F.when(F.col("label") == F.col("label2"), F.try_divide(F.col("s"), F.col("n") - 1)))
-    size = F.max(F.when(F.col("label") == F.col("label2"), F.col("n")))
-    outer = F.min(F.when(F.col("label") != F.col("label2"), F.col("s") / F.col("n")))
-    rows = means.groupBy("id", "label").agg(inner.alias("a"), outer.alias("b"), size.alias("n"))
-    return rows.select("id", "label", F.when(F.col("n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("s")).withColumn("label", F.col("label").cast(points.schema["label"].dataType))
+    counts = points.filter("label is not null").groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()  # a row a cluster
+    spark, kind = points.sparkSession, points.schema["label"].dataType.simpleString()
+    if not counts:
+        return points.select("id", "label", F.lit(0.0).alias("s")).limit(0)
+    codes = spark.createDataFrame([(r.label, i) for i, r in enumerate(counts)], f"label {kind}, code int")
+    coded = points.select("id", "label", "x").join(F.broadcast(codes), "label").select("id", "x", F.array("code").alias("labels"))
+    placed, n = Placed(coded), [np.array([float(r.n) for r in counts])]
+    widths = [placed.bounds.pivots.shape[1]]
+    found = visit(placed.rows, placed.near(math.inf), lambda own: _Each(own, n, widths), "id long, code int, s double")
+    return found.join(F.broadcast(codes), "code").select("id", "label", "s")
 
 
 def calinski_harabasz(points: DataFrame) -> DataFrame:
@@ -83,17 +84,28 @@ def rand_index(labels: DataFrame) -> DataFrame:
 def compare_methods(points: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a method: clusters, noise, silhouette, Davies-Bouldin, Calinski-Harabasz, over the points that are no noise.
 
-    labels is (id, method, label). Methods are few: one plan for each, joined by a union.
+    labels is (id, method, label). Methods are few: a plan for each, joined by a union; blocks of points meet once for all of them.
     """
+    methods = [r.method for r in labels.select("method").distinct().orderBy("method").collect()]
+    own = labels.filter("label >= 0")
+    codes = {m: {r.label: i for i, r in enumerate(own.filter(F.col("method") == m).groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect())} for m in methods}
+    wide = own.select("id", "method", "label").groupBy("id").pivot("method", methods).agg(F.max("label")) if methods else None
+    if wide is None:
+        raise ValueError("no methods")
+    spark = points.sparkSession
+    every = points.select("id", "x").join(wide, "id")
+    for i, m in enumerate(methods):
+        named = spark.createDataFrame(sorted((int(l), c) for l, c in codes[m].items()), f"_l{i} long, _c{i} int")
+        every = every.withColumn(f"_l{i}", F.col(f"`{m}`").cast("long")).join(F.broadcast(named), f"_l{i}", "left")
+    every = every.select("id", "x", F.array(*(F.coalesce(f"_c{i}", F.lit(-1)) for i in range(len(methods)))).alias("labels"))
+    ensure_checkpoint_dir(spark)
+    every = every.checkpoint()
+    found = scores(every, [max(1, len(codes[m])) for m in methods])
     out = None
-    for r in labels.select("method").distinct().orderBy("method").collect():
-        own = labels.filter(F.col("method") == r.method)
-        met = points.select("id", "x").join(own.filter("label >= 0").select("id", "label"), "id")
-        head = own.agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("clusters"), F.count_if(F.col("label") < 0).alias("noise"))
-        sil = silhouettes(met).agg(F.avg("s").alias("silhouette"))
-        row = head.crossJoin(sil).crossJoin(davies_bouldin(met)).crossJoin(calinski_harabasz(met))
+    for i, m in enumerate(methods):
+        head = labels.filter(F.col("method") == m).agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("clusters"), F.count_if(F.col("label") < 0).alias("noise"))
         enough = F.col("clusters") >= 2
-        row = row.select(F.lit(r.method).alias("method"), "clusters", "noise", *(F.when(enough, F.col(c)).alias(c) for c in ("silhouette", "davies_bouldin", "calinski_harabasz")))
+        row = head.select(F.lit(m).alias("method"), "clusters", "noise", *(F.when(enough, F.lit(found[i][c])).cast("double").alias(c) for c in ("silhouette", "davies_bouldin", "calinski_harabasz")))
         out = row if out is None else out.unionByName(row)
     return out
 
