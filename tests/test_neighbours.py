@@ -261,3 +261,17 @@ def test_methods_meet_once(spark, monkeypatch):
         assert r.silhouette == pytest.approx(metrics.silhouettes(own).agg(F.avg("s")).first()[0])
         assert r.davies_bouldin == pytest.approx(metrics.davies_bouldin(own).first()[0])
         assert r.calinski_harabasz == pytest.approx(metrics.calinski_harabasz(own).first()[0])
+
+
+def test_affinity_finds_the_nearest_once(spark):
+    """The graph and its transpose come from one table of nearest points."""
+    x = np.random.default_rng(7).standard_normal((40, 3))
+    edges = density.affinity(_points(spark, x), 4)
+    assert "Cartesian" not in edges._jdf.queryExecution().toString()
+    order = [sorted(range(40), key=lambda j: (((x[i] - x[j]) ** 2).sum(), j))[:4] for i in range(40)]
+    want = {}
+    for i, own in enumerate(order):
+        for j in own:
+            want[i, j] = want.get((i, j), 0) + 0.5
+            want[j, i] = want.get((j, i), 0) + 0.5
+    assert {(r.id, r.other): r.w for r in edges.collect()} == want
